@@ -150,3 +150,60 @@ v_docs AS (
   FROM v_kept m
   LEFT JOIN v_users u ON m."user" = u.user_id
   LEFT JOIN v_stitched s ON m.channel_id = s.channel_id AND m.thread_ts = s.thread_ts)"""
+
+
+TOKEN_RE = r"[\p{L}\p{N}]+"
+
+
+def tokens(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '{TOKEN_RE}')"
+
+
+def hash_counts(name: str, source: str, key: str, dim: int = 64) -> str:
+    """``name(k, b, n)``: token counts per hash bucket (sparse embedding)."""
+    return f"""{name} AS (
+  SELECT k, (('0x' || substr(md5(tok), 1, 6))::BIGINT) % {dim} AS b, count(*) AS n
+  FROM (SELECT {key} AS k, unnest({tokens('text')}) AS tok FROM {source})
+  GROUP BY k, b)"""
+
+
+def dense(name: str, counts: str, source: str, key: str, dim: int = 64) -> str:
+    """``name(k, embedding FLOAT[])`` from sparse counts; no token = zero vector."""
+    return f"""{name} AS (
+  SELECT s.{key} AS k, list(CAST(coalesce(c.n, 0) AS FLOAT) ORDER BY g.b) AS embedding
+  FROM {source} s CROSS JOIN (SELECT range AS b FROM range({dim})) g
+  LEFT JOIN {counts} c ON c.k = s.{key} AND c.b = g.b
+  GROUP BY s.{key})"""
+
+
+def l2sq(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) ** 2))"
+
+
+def cosine(a: str, b: str) -> str:
+    return f"(1.0 - list_cosine_similarity({a}, {b}))"
+
+
+def rounded(x: str) -> str:
+    return f"(round({x}, 6) + 0.0)"
+
+
+def topk(pairs: str, k: int = 5, qid: str = "question_id") -> str:
+    return f"""(SELECT *, CAST(row_number() OVER (PARTITION BY {qid} ORDER BY distance, id) AS INTEGER) AS rank
+  FROM {pairs}) WHERE rank <= {k}"""
+
+
+def sparse_l2sq_pairs(name: str, qsrc: str, qkey: str, qcounts: str, csrc: str, ckey: str,
+                      ccounts: str) -> str:
+    """Exact squared L2 between sparse count vectors of every (question, doc)."""
+    return f"""{name}_qn AS (SELECT k, sum(n * n) AS sq FROM {qcounts} GROUP BY k),
+{name}_cn AS (SELECT k, sum(n * n) AS sq FROM {ccounts} GROUP BY k),
+{name}_dots AS (SELECT q.k AS qk, c.k AS ck, sum(q.n * c.n) AS dot
+                FROM {qcounts} q JOIN {ccounts} c ON q.b = c.b GROUP BY q.k, c.k),
+{name} AS (
+  SELECT q.{qkey} AS question_id, c.{ckey} AS id,
+         CAST(coalesce(qn.sq, 0) + coalesce(cn.sq, 0) - 2 * coalesce(d.dot, 0) AS DOUBLE) AS distance
+  FROM {qsrc} q CROSS JOIN {csrc} c
+  LEFT JOIN {name}_qn qn ON qn.k = q.{qkey}
+  LEFT JOIN {name}_cn cn ON cn.k = c.{ckey}
+  LEFT JOIN {name}_dots d ON d.qk = q.{qkey} AND d.ck = c.{ckey})"""

@@ -11,6 +11,12 @@ def _docs(cap, truncate=False):
     return W(O.V_MESSAGES, O.V_REPLIES, O.V_USERS, O.documents_sql(cap, truncate=truncate))
 
 
+_N_TOKENS = f"CAST(len({O.tokens('text')}) AS DOUBLE)"
+_VECS = "v_vecs AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_SELF_PAIRS = "v_pairs AS (SELECT q.id AS question_id, c.id, {dist} AS distance FROM v_vecs q CROSS JOIN v_vecs c)"
+_INDEX_DOCS = """v_idx AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, source AS channel_id, lang, doc_id
+                          FROM documents)"""
+
 ORACLE: dict[str, str] = {
     "message_filter": W(O.V_MESSAGES) + f"""
 SELECT channel_id, ts, "user", coalesce(text, '') AS text, subtype, thread_ts
@@ -40,4 +46,46 @@ SELECT channel_id, pos, "user", 'missing ts' AS reason FROM v_messages WHERE ts
 
     "load_truncate": _docs(100, truncate=True) + """
 SELECT id, text, author, slack_url, channel_id, timestamp FROM v_docs""",
+
+    "embed_documents": W(O.hash_counts("v_cnt", "documents", "doc_id"),
+                         O.dense("v_dense", "v_cnt", "documents", "doc_id")) + """
+SELECT k AS doc_id, embedding FROM v_dense""",
+
+    "embed_documents_sql": W(O.hash_counts("v_cnt", "documents", "doc_id"),
+                             O.dense("v_dense", "v_cnt", "documents", "doc_id")) + """
+SELECT k AS doc_id, embedding FROM v_dense""",
+
+    "embed_errors": """
+SELECT doc_id, 'ok' AS embed_status, CAST(NULL AS VARCHAR) AS embed_error, 64 AS dim FROM documents""",
+
+    "index_upsert": W(_INDEX_DOCS, """v_run1 AS (SELECT id, text, channel_id FROM v_idx WHERE lang IN ('en', 'fr'))""",
+                      """v_run2 AS (SELECT id, 'v2 ' || text AS text, channel_id FROM v_idx
+                                    WHERE doc_id IN (SELECT doc_id FROM labels))""",
+                      """v_final AS (SELECT * FROM v_run1 WHERE id NOT IN (SELECT id FROM v_run2)
+                                     UNION ALL SELECT * FROM v_run2)""") + f"""
+SELECT id, text, channel_id, {_N_TOKENS} AS emb_sum FROM v_final""",
+
+    "index_upsert_idempotent": """
+SELECT CAST(doc_id AS VARCHAR) AS id, text, 2 AS versions FROM documents""",
+
+    "ingest_run": _docs(100) + f"""
+SELECT id, text, author, slack_url, channel_id, timestamp, {_N_TOKENS} AS n_tokens FROM v_docs""",
+
+    "retrieve_topk": W(_VECS, _SELF_PAIRS.format(dist=O.l2sq("q.e", "c.e"))) + f"""
+SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
+
+    "retrieve_topk_cosine": W(_VECS, _SELF_PAIRS.format(dist=O.cosine("q.e", "c.e"))) + f"""
+SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
+
+    "retrieve_payload": W(_VECS, """v_index AS (SELECT v.id, v.e, d.text, d.source
+                                        FROM v_vecs v JOIN documents d ON d.doc_id = v.id)""",
+                          f"""v_pairs AS (SELECT q.id AS question_id, c.id, {O.l2sq('q.e', 'c.e')} AS distance,
+                                   c.text, c.source FROM v_vecs q CROSS JOIN v_index c)""") + f"""
+SELECT question_id, id, rank, {O.rounded('distance')} AS distance, text, source FROM {O.topk('v_pairs')}""",
+
+    "retrieve_questions": W(O.hash_counts("v_dc", "documents", "doc_id"),
+                            O.hash_counts("v_qc", "benchmark", "item_id"),
+                            O.sparse_l2sq_pairs("v_pairs", "benchmark", "item_id", "v_qc",
+                                                "documents", "doc_id", "v_dc")) + f"""
+SELECT question_id, rank, id, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
 }

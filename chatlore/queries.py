@@ -6,14 +6,18 @@ its DuckDB twin with the same output columns is in ``chatlore.oracle_queries``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlore.config import Params
-from chatlore.operators import authors, documents, messages as msg, stitch
+from chatlore.operators import authors, documents, embed as E, knn, messages as msg, stitch
+from chatlore.plans import ingest as P_ingest, retrieve as P_retrieve
+from chatlore.session import scratch_path
 from chatlore.sources import chat, views
+from chatlore.sources.vector_index import VectorIndex
 
 ALL_CHANNELS = ("C0", "C1", "C2", "C3")
 
@@ -62,6 +66,119 @@ def load_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return documents.flatten(docs)
 
 
+def _index_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """``documents`` as index rows: string id, text, metadata (channel = source)."""
+    d = views.table(spark, sf, "documents")
+    return d.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.col("text"),
+        F.struct(
+            F.lit(None).cast("string").alias("author"),
+            F.lit(None).cast("string").alias("slack_url"),
+            F.col("source").alias("channel_id"),
+            F.concat((F.lit(views.BASE_EPOCH) + F.col("doc_id")).cast("string"), F.lit(".000000"))
+            .alias("timestamp"),
+        ).alias("metadata"),
+        F.col("lang"),
+    )
+
+
+def _fresh_index(spark: SparkSession, name: str) -> VectorIndex:
+    return VectorIndex(spark, scratch_path(spark, f"index-{name}-{uuid.uuid4().hex}"))
+
+
+def _emb_sum(c: str = "embedding") -> F.Column:
+    return F.aggregate(F.col(c), F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double"))
+
+
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    return E.embed(docs, "text").select("doc_id", "embedding")
+
+
+def embed_documents_sql(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    return E.hash_embed_sql(docs, "doc_id", "text", 64)
+
+
+def embed_errors(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    out = E.embed(docs, "text", fail_fast=False)
+    return out.select("doc_id", "embed_status", "embed_error",
+                      F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))
+
+
+def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Run 1 indexes the English and French documents; run 2 re-ingests the
+    labelled documents with edited text (updates some ids, inserts others)."""
+    docs = _index_docs(spark, sf)
+    labels = views.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    index = _fresh_index(spark, "upsert")
+    run1 = docs.where(F.col("lang").isin("en", "fr")).drop("lang")
+    run2 = (docs.join(labels, "id", "left_semi").drop("lang")
+            .withColumn("text", F.concat(F.lit("v2 "), F.col("text"))))
+    for run in (run1, run2):
+        index.upsert(P_ingest.embedded_documents(run).drop("embed_status", "embed_error"))
+    snap = index.read()
+    return snap.select("id", "text", F.col("metadata.channel_id").alias("channel_id"),
+                       _emb_sum().alias("emb_sum"))
+
+
+def index_upsert_idempotent(spark: SparkSession, sf: str) -> DataFrame:
+    """The same batch twice, then an empty batch: rows unchanged, two versions."""
+    docs = _index_docs(spark, sf).drop("lang")
+    index = _fresh_index(spark, "idem")
+    batch = P_ingest.embedded_documents(docs).drop("embed_status", "embed_error")
+    index.upsert(batch)
+    index.upsert(batch)
+    index.upsert(batch.limit(0))
+    versions = len(index.versions())
+    return index.read().select("id", "text", F.lit(versions).alias("versions"))
+
+
+def ingest_run(spark: SparkSession, sf: str) -> DataFrame:
+    index = _fresh_index(spark, "ingest")
+    P_ingest.ingest(views.messages(spark, sf), views.replies(spark, sf), views.users(spark, sf), index)
+    snap = documents.flatten(index.read())
+    return snap.join(index.read().select("id", _emb_sum().alias("n_tokens")), "id")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector of ``embeddings`` searches the whole set: exact top-5, l2sq."""
+    vecs = views.vectors(spark, sf)
+    hits = knn.topk(vecs.withColumnRenamed("id", "question_id"), vecs, k=5, metric="l2sq")
+    return _rounded(hits)
+
+
+def retrieve_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    vecs = views.vectors(spark, sf)
+    hits = knn.topk(vecs.withColumnRenamed("id", "question_id"), vecs, k=5, metric="cosine")
+    return _rounded(hits)
+
+
+def retrieve_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of ``embeddings`` indexed with the text of the document of the
+    same id; the ranking reads vectors only, text is joined to the winners."""
+    vecs = views.vectors(spark, sf)
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    index = vecs.join(docs, "id", "inner")
+    hits = knn.topk(vecs.withColumnRenamed("id", "question_id"), index.select("id", "embedding"), k=5)
+    out = knn.with_payload(hits, index, payload=("text", "source"))
+    return _rounded(out)
+
+
+def retrieve_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """``benchmark`` questions against the hash-embedded ``documents``: top-5."""
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = E.embed(docs, "text").select("id", "embedding")
+    hits = P_retrieve.search(views.questions(spark, sf), index, Params(), payload=False)
+    return _rounded(hits)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "message_filter": message_filter,
     "channel_recent_cap": channel_recent_cap,
@@ -71,4 +188,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "build_documents": build_documents,
     "load_errors": load_errors,
     "load_truncate": load_truncate,
+    "embed_documents": embed_documents,
+    "embed_documents_sql": embed_documents_sql,
+    "embed_errors": embed_errors,
+    "index_upsert": index_upsert,
+    "index_upsert_idempotent": index_upsert_idempotent,
+    "ingest_run": ingest_run,
+    "retrieve_topk": retrieve_topk,
+    "retrieve_topk_cosine": retrieve_topk_cosine,
+    "retrieve_payload": retrieve_payload,
+    "retrieve_questions": retrieve_questions,
 }
