@@ -207,3 +207,91 @@ def sparse_l2sq_pairs(name: str, qsrc: str, qkey: str, qcounts: str, csrc: str,
   LEFT JOIN {name}_qn qn ON qn.k = q.{qkey}
   LEFT JOIN {name}_cn cn ON cn.k = c.{ckey}
   LEFT JOIN {name}_dots d ON d.qk = q.{qkey} AND d.ck = c.{ckey})"""
+
+
+def routed() -> str:
+    dm = "type = 'message' AND channel_type = 'im'"
+    return f"""v_routed AS (
+  SELECT *, CASE WHEN type = 'app_mention' AND text IS NULL THEN 'no_text'
+                 WHEN type = 'app_mention' THEN 'mention'
+                 WHEN {dm} AND NOT {falsy('bot_id')} THEN 'bot'
+                 WHEN {dm} AND text IS NULL THEN 'no_text'
+                 WHEN {dm} THEN 'dm' ELSE 'ignored' END AS kind
+  FROM v_events)"""
+
+
+def prepared() -> str:
+    q = f"CASE WHEN kind = 'mention' THEN {mention_strip(py_strip('text'))} ELSE {py_strip('text')} END"
+    return f"""v_prep0 AS (SELECT *, {q} AS query FROM v_routed WHERE kind IN ('mention', 'dm')),
+v_prep AS (
+  SELECT *, (kind <> 'mention' AND lower(query) IN {in_list(C.SMALL_TALK)}) AS small_talk,
+         CASE WHEN kind = 'mention' THEN coalesce(thread_ts, ts)
+              WHEN {falsy('thread_ts')} THEN "user" ELSE thread_ts END AS session_key,
+         CASE WHEN kind = 'mention' THEN coalesce(thread_ts, ts)
+              WHEN {falsy('thread_ts')} THEN NULL ELSE thread_ts END AS reply_thread_ts
+  FROM v_prep0)"""
+
+
+V_DM_DOCS = f"""v_dm_docs AS (
+  SELECT sha256(m.channel_id || '_' || m.ts) AS id, coalesce(m.text, '') AS text,
+         {author('m."user"', 'u.user_id IS NOT NULL', 'u.real_name')} AS author,
+         {permalink('m.channel_id', 'm.ts')} AS url
+  FROM v_doc_messages m LEFT JOIN v_users u ON m."user" = u.user_id)"""
+
+
+def answers(questions: str) -> str:
+    """CTEs from ``questions(text)`` (distinct) to ``v_ans(query, context,
+    bare_context, n_docs, prompt, instruction, answer)`` over ``v_dm_docs``."""
+    sep = lit(C.CONTEXT_SEPARATOR)
+    header = (f"'[Source: ' || coalesce(d.url, {lit(C.MISSING_URL)}) || ' | Author: ' || "
+              f"coalesce(d.author, {lit(C.MISSING_AUTHOR)}) || ']' || chr(10) || coalesce(d.text, '')")
+    cited = (f"'According to ' || coalesce(b.best_author, {lit(C.MISSING_AUTHOR)}) || ' (' || "
+             f"coalesce(b.best_url, {lit(C.MISSING_URL)}) || '):' || chr(10) || coalesce(b.best_text, '')")
+    return f"""{hash_counts('v_qc', questions, 'text')},
+{hash_counts('v_dc', 'v_dm_docs', 'id')},
+{sparse_l2sq_pairs('v_pairs', questions, 'text', 'v_qc', 'v_dm_docs', 'id', 'v_dc')},
+v_top AS (SELECT * FROM {topk('v_pairs')}),
+v_blocks AS (
+  SELECT t.question_id AS qtext,
+         string_agg({header}, {sep} ORDER BY t.rank) AS context,
+         string_agg(coalesce(d.text, ''), {sep} ORDER BY t.rank) AS bare_context,
+         count(*) AS n_docs,
+         max(CASE WHEN t.rank = 1 THEN d.text END) AS best_text,
+         max(CASE WHEN t.rank = 1 THEN d.author END) AS best_author,
+         max(CASE WHEN t.rank = 1 THEN d.url END) AS best_url
+  FROM v_top t JOIN v_dm_docs d ON d.id = t.id GROUP BY t.question_id),
+v_ans AS (
+  SELECT q.text AS query, coalesce(b.context, '') AS context, coalesce(b.bare_context, '') AS bare_context,
+         CAST(coalesce(b.n_docs, 0) AS INTEGER) AS n_docs,
+         CASE WHEN coalesce(b.n_docs, 0) > 0 THEN {cited} ELSE {lit(C.NO_CONTEXT_ANSWER)} END AS answer
+  FROM {questions} q LEFT JOIN v_blocks b ON b.qtext = q.text),
+v_ans2 AS (
+  SELECT *, {lit(C.DEFAULT_SYSTEM_PROMPT + chr(10) * 2 + 'Context:' + chr(10))} || context
+            || chr(10) || chr(10) || 'User Query: ' || query AS prompt
+  FROM v_ans),
+v_answers AS (
+  SELECT *, {lit('Use the following context to answer the user.' + chr(10) * 2 + 'Context:' + chr(10))}
+            || bare_context || chr(10) || chr(10) || 'User Prompt: ' || prompt AS instruction
+  FROM v_ans2)"""
+
+
+def chat_turns() -> str:
+    """CTEs ending in ``v_turns`` (answered events with history_len) and
+    ``v_replies_out`` (all replies incl. greetings)."""
+    return f"""{routed()},
+{prepared()},
+{V_DM_DOCS},
+v_q AS (SELECT DISTINCT query AS text FROM v_prep WHERE NOT small_talk),
+{answers('v_q')},
+v_turns AS (
+  SELECT p.event_id, p.channel, p.reply_thread_ts AS thread_ts, a.answer AS text, 'ok' AS status, p.kind,
+         p.session_key,
+         CAST(2 * coalesce(count(*) OVER (PARTITION BY p.session_key ORDER BY CAST(p.ts AS DECIMAL(20,6)), p.event_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS history_len
+  FROM v_prep p JOIN v_answers a ON a.query = p.query WHERE NOT p.small_talk),
+v_replies_out AS (
+  SELECT * FROM v_turns
+  UNION ALL
+  SELECT event_id, channel, reply_thread_ts AS thread_ts, {lit(C.DEFAULT_GREETING)} AS text, 'greeting' AS status,
+         kind, session_key, CAST(NULL AS BIGINT) AS history_len
+  FROM v_prep WHERE small_talk)"""

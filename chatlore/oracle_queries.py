@@ -88,4 +88,58 @@ SELECT question_id, id, rank, {O.rounded('distance')} AS distance, text, source
                             O.sparse_l2sq_pairs("v_pairs", "benchmark", "item_id", "v_qc",
                                                 "documents", "doc_id", "v_dc")) + f"""
 SELECT question_id, rank, id, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
+
+    "event_route": W(O.V_EVENTS, O.routed()) + """
+SELECT event_id, kind FROM v_routed""",
+
+    "mention_strip": W(O.V_EVENTS, O.routed(), O.prepared()) + """
+SELECT event_id, kind, query FROM v_prep""",
+
+    "small_talk": W(O.V_EVENTS, O.routed(), O.prepared()) + """
+SELECT event_id, small_talk FROM v_prep""",
+
+    "session_key": W(O.V_EVENTS, O.routed(), O.prepared()) + """
+SELECT event_id, session_key, reply_thread_ts FROM v_prep""",
+
+    "session_history": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
+SELECT event_id, session_key, history_len FROM v_turns""",
+
+    "context_block": W(O.V_DOC_MESSAGES, O.V_USERS, O.V_DM_DOCS,
+                       "v_bq AS (SELECT DISTINCT text FROM benchmark)", O.answers("v_bq")) + """
+SELECT b.item_id AS question_id, a.context, a.bare_context, a.n_docs
+FROM benchmark b JOIN v_answers a ON a.query = b.text""",
+
+    "prompt_build": W(O.V_DOC_MESSAGES, O.V_USERS, O.V_DM_DOCS,
+                      "v_bq AS (SELECT DISTINCT text FROM benchmark)", O.answers("v_bq")) + """
+SELECT b.item_id AS question_id, a.prompt, a.instruction, 1 AS n_messages
+FROM benchmark b JOIN v_answers a ON a.query = b.text""",
+
+    "answer_questions": W(O.V_DOC_MESSAGES, O.V_USERS, O.V_DM_DOCS,
+                          "v_bq AS (SELECT DISTINCT text FROM benchmark)", O.answers("v_bq")) + """
+SELECT b.item_id AS question_id, a.answer, 'ok' AS status
+FROM benchmark b JOIN v_answers a ON a.query = b.text""",
+
+    "reply_route": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
+SELECT event_id, channel, thread_ts, status, kind FROM v_replies_out""",
+
+    "chat_batch": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
+SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out""",
+
+    "response_extract": """
+WITH landed AS (
+  SELECT conv_id, turn, role,
+         CASE WHEN role = 'assistant' THEN to_json({'message': {'role': 'assistant', 'content': text}})::VARCHAR
+              WHEN role = 'user' THEN to_json({'embedding': [conv_id::DOUBLE, turn::DOUBLE]})::VARCHAR
+              ELSE text END AS body
+  FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN role = 'assistant' THEN json_extract_string(body, '$.message.content') END AS content,
+       CASE WHEN role = 'user' THEN CAST(json_extract(body, '$.embedding') AS DOUBLE[]) END AS embedding,
+       CASE WHEN role = 'system' THEN body END AS error
+FROM landed""",
+
+    "run_metrics": _docs(100) + """
+SELECT channel_id, count(*) AS n_docs, sum(length(text)) AS n_chars, max(length(text)) AS max_chars,
+       count(*) AS n_embedded, 64 AS dimensions
+FROM v_docs GROUP BY channel_id""",
 }

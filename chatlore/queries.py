@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from chatlore.config import Params
 from chatlore.operators import authors, documents, embed as E, knn, messages as msg, stitch
-from chatlore.plans import ingest as P_ingest, retrieve as P_retrieve
+from chatlore.functions.responses import chat_content, embedding_of, error_of
+from chatlore.operators import context as CTX, events as EV, history as H
+from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
 from chatlore.session import scratch_path
 from chatlore.sources import chat, views
 from chatlore.sources.vector_index import VectorIndex
@@ -179,6 +181,94 @@ def retrieve_questions(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hits)
 
 
+def _doc_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Index for the chat queries: every ``documents`` row as a channel
+    message (channel = source), author resolved, hash-embedded."""
+    return P_chat.document_index(views.document_messages(spark, sf), views.users(spark, sf),
+                                 Params(history_cap=None))
+
+
+def _answered_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    qs = views.questions(spark, sf).withColumnRenamed("text", "query")
+    ans = P_chat.answer_distinct(qs, _doc_index(spark, sf), Params())
+    return qs.withColumn("qkey", P_retrieve.question_key(F.col("query"))).join(ans.drop("query"), "qkey")
+
+
+def event_route(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.route(views.events(spark, sf)).select("event_id", "kind")
+
+
+def mention_strip(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.prepare(views.events(spark, sf)).select("event_id", "kind", "query")
+
+
+def small_talk(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.prepare(views.events(spark, sf)).select("event_id", "small_talk")
+
+
+def session_key(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.prepare(views.events(spark, sf)).select("event_id", "session_key", "reply_thread_ts")
+
+
+def session_history(spark: SparkSession, sf: str) -> DataFrame:
+    replies = P_chat.chat_batch(views.events(spark, sf), _doc_index(spark, sf), Params())
+    return replies.where(F.col("status") != "greeting").select("event_id", "session_key", "history_len")
+
+
+def context_block(spark: SparkSession, sf: str) -> DataFrame:
+    return _answered_benchmark(spark, sf).select("question_id", "context", "bare_context", "n_docs")
+
+
+def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
+    df = CTX.message_list(_answered_benchmark(spark, sf).withColumn("history", F.lit(None)))
+    return df.select("question_id", "prompt", "instruction", F.size("messages").alias("n_messages"))
+
+
+def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return _answered_benchmark(spark, sf).select("question_id", "answer", "status")
+
+
+def reply_route(spark: SparkSession, sf: str) -> DataFrame:
+    replies = P_chat.chat_batch(views.events(spark, sf), _doc_index(spark, sf), Params())
+    return replies.select("event_id", "channel", "thread_ts", "status", "kind")
+
+
+def chat_batch(spark: SparkSession, sf: str) -> DataFrame:
+    replies = P_chat.chat_batch(views.events(spark, sf), _doc_index(spark, sf), Params())
+    return replies.select("event_id", "channel", "thread_ts", "text", "status", "history_len")
+
+
+def response_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed model-service responses built from ``conversations``: assistant
+    turns are chat responses, user turns embedding responses, system turns a
+    non-JSON error body; the fields are read back with JSON functions."""
+    conv = views.table(spark, sf, "conversations")
+    body = (
+        F.when(F.col("role") == "assistant", F.to_json(F.struct(
+            F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))))
+        .when(F.col("role") == "user", F.to_json(F.struct(
+            F.array(F.col("conv_id").cast("double"), F.col("turn").cast("double")).alias("embedding"))))
+        .otherwise(F.col("text"))
+    )
+    landed = conv.select("conv_id", "turn", body.alias("body"))
+    return landed.select("conv_id", "turn", chat_content("body").alias("content"),
+                         embedding_of("body").alias("embedding"), error_of("body").alias("error"))
+
+
+def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Per channel: documents loaded, text sizes, embedded dimensions."""
+    docs = documents.load_documents(views.messages(spark, sf), views.replies(spark, sf),
+                                    views.users(spark, sf), Params())
+    emb = P_ingest.embedded_documents(docs.drop("pos"))
+    return emb.groupBy(F.col("metadata.channel_id").alias("channel_id")).agg(
+        F.count("*").alias("n_docs"),
+        F.sum(F.length("text")).alias("n_chars"),
+        F.max(F.length("text")).alias("max_chars"),
+        F.sum((F.col("embed_status") == "ok").cast("long")).alias("n_embedded"),
+        F.max(F.size("embedding")).alias("dimensions"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "message_filter": message_filter,
     "channel_recent_cap": channel_recent_cap,
@@ -198,4 +288,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retrieve_topk_cosine": retrieve_topk_cosine,
     "retrieve_payload": retrieve_payload,
     "retrieve_questions": retrieve_questions,
+    "event_route": event_route,
+    "mention_strip": mention_strip,
+    "small_talk": small_talk,
+    "session_key": session_key,
+    "session_history": session_history,
+    "context_block": context_block,
+    "prompt_build": prompt_build,
+    "answer_questions": answer_questions,
+    "reply_route": reply_route,
+    "chat_batch": chat_batch,
+    "response_extract": response_extract,
+    "run_metrics": run_metrics,
 }
