@@ -142,4 +142,10 @@ FROM landed""",
 SELECT channel_id, count(*) AS n_docs, sum(length(text)) AS n_chars, max(length(text)) AS max_chars,
        count(*) AS n_embedded, 64 AS dimensions
 FROM v_docs GROUP BY channel_id""",
+
+    "chat_stream": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
+SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out""",
+
+    "ingest_stream": _docs(None) + """
+SELECT id, text, author, slack_url, channel_id, timestamp FROM v_docs""",
 }

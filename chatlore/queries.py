@@ -20,6 +20,7 @@ from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_ret
 from chatlore.session import scratch_path
 from chatlore.sources import chat, views
 from chatlore.sources.vector_index import VectorIndex
+from chatlore.streaming import chat_stream as S_chat, ingest_stream as S_ingest
 
 ALL_CHANNELS = ("C0", "C1", "C2", "C3")
 
@@ -269,6 +270,35 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chat_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The chat as two streaming queries over landed event files; with
+    in-order arrival the replies equal ``chat_batch``."""
+    work = scratch_path(spark, f"chat-stream-{uuid.uuid4().hex}")
+    views.events(spark, sf).write.parquet(f"{work}/events")
+    index = _doc_index(spark, sf)
+    _, _, out = S_chat.start(spark, f"{work}/events", lambda: index, work, Params(),
+                             max_files_per_trigger=None)
+    return S_chat.read_replies(spark, out).select(
+        "event_id", "channel", "thread_ts", "text", "status", "history_len")
+
+
+def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Incremental ingestion: first turns land, later turns arrive afterwards
+    and re-stitch their (older) threads; the index ends equal to a full load."""
+    work = scratch_path(spark, f"ingest-stream-{uuid.uuid4().hex}")
+    msgs, reps = views.messages(spark, sf), views.replies(spark, sf)
+    msgs.write.parquet(f"{work}/messages")
+    reps.where(F.col("ts").endswith(".000000") | F.col("ts").endswith(".000001")) \
+        .write.parquet(f"{work}/replies")
+    index = VectorIndex(spark, f"{work}/index")
+    users = views.users(spark, sf)
+    S_ingest.start(spark, f"{work}/messages", f"{work}/replies", users, index, work)
+    reps.where(~(F.col("ts").endswith(".000000") | F.col("ts").endswith(".000001"))) \
+        .write.mode("append").parquet(f"{work}/replies")
+    S_ingest.start(spark, f"{work}/messages", f"{work}/replies", users, index, work)
+    return documents.flatten(index.read())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "message_filter": message_filter,
     "channel_recent_cap": channel_recent_cap,
@@ -300,4 +330,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_batch": chat_batch,
     "response_extract": response_extract,
     "run_metrics": run_metrics,
+    "chat_stream": chat_stream,
+    "ingest_stream": ingest_stream,
 }
