@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlore import schemas
+from chatlore.operators.parallel import flatten_structs, spread, unflatten
 
 TOKEN_RE = r"[\p{L}\p{N}]+"
 
@@ -104,14 +105,15 @@ def embed(df: DataFrame, text_col: str = "text", embedder: Callable[[], EmbedFn]
     ``pd.Series[str] -> list[vector]``; it runs once per task.
     """
     make = embedder or (lambda: HashEmbedder(dim or 64))
-    keep = [f for f in df.schema.fields if f.name not in ("embedding", "embed_status", "embed_error")]
-    out_schema = T.StructType(keep + [
+    names = [f.name for f in df.schema.fields if f.name not in ("embedding", "embed_status", "embed_error")]
+    flat, structs = flatten_structs(df, names)
+    out_schema = T.StructType(list(flat.schema.fields) + [
         T.StructField("embedding", schemas.EMBEDDING, True),
         T.StructField("embed_status", T.StringType(), False),
         T.StructField("embed_error", T.StringType(), True),
     ])
-    src = df.select(*[f.name for f in keep])
-    return src.mapInPandas(_embed_batches(make, text_col, dim, fail_fast, model), out_schema)
+    embedded = spread(flat).mapInPandas(_embed_batches(make, text_col, dim, fail_fast, model), out_schema)
+    return unflatten(embedded, structs, names + ["embedding", "embed_status", "embed_error"])
 
 
 def hash_bucket(tok: F.Column, dim: int) -> F.Column:

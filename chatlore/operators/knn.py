@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlore.functions.vectors import METRICS
+from chatlore.operators.parallel import spread
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
 _CELLS = 1 << 22  # distance-matrix cells per numpy step (32 MiB of doubles)
@@ -170,18 +171,18 @@ def _broadcast_scan(spark, qsel, csel, qid, id_col, dim, k, metric, out) -> Data
         yield pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],
                             id_col: res["id"].to_numpy(), "distance": res["distance"].to_numpy()})
 
-    return csel.mapInPandas(scan, out)
+    return spread(csel).mapInPandas(scan, out)
 
 
 def _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, qblocks, cblocks) -> DataFrame:
     corpus_rep = csel.select(
         "*",
-        F.pmod(F.xxhash64(id_col), F.lit(cblocks)).alias("_cb"),
+        F.pmod(F.xxhash64(id_col), F.lit(cblocks)).cast("int").alias("_cb"),
         F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("_qb"),
     )
     q_rep = qsel.select(
         "*",
-        F.pmod(F.xxhash64(qid), F.lit(qblocks)).alias("_qb"),
+        F.pmod(F.xxhash64(qid), F.lit(qblocks)).cast("int").alias("_qb"),
         F.explode(F.sequence(F.lit(0), F.lit(cblocks - 1))).alias("_cb"),
     )
 

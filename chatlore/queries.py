@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlore.config import Params
-from chatlore.operators import authors, documents, embed as E, knn, messages as msg, stitch
+from chatlore.operators import authors, documents, embed as E, ivf, knn, messages as msg, stitch
 from chatlore.functions.responses import chat_content, embedding_of, error_of
 from chatlore.operators import context as CTX, events as EV, history as H
 from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
@@ -163,6 +163,14 @@ def retrieve_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hits)
 
 
+def retrieve_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate top-5 (inverted lists over k-means centroids), same inputs
+    as ``retrieve_topk``; recall against it is tested, not the exact rows."""
+    vecs = views.vectors(spark, sf)
+    hits = ivf.topk_ivf(vecs.withColumnRenamed("id", "question_id"), vecs, k=5, n_lists=16, n_probe=10)
+    return _rounded(hits)
+
+
 def retrieve_payload(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of ``embeddings`` indexed with the text of the document of the
     same id; the ranking reads vectors only, text is joined to the winners."""
@@ -316,6 +324,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_run": ingest_run,
     "retrieve_topk": retrieve_topk,
     "retrieve_topk_cosine": retrieve_topk_cosine,
+    "retrieve_topk_ivf": retrieve_topk_ivf,
     "retrieve_payload": retrieve_payload,
     "retrieve_questions": retrieve_questions,
     "event_route": event_route,
