@@ -138,6 +138,9 @@ def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2s
         raise ValueError(f"unknown metric {metric!r}")
     spark = questions.sparkSession
     qsel = questions.select(F.col(qid), F.col(qvec).alias("_qv")).where(F.col("_qv").isNotNull())
+    # the question side is read by the size check and then by the search:
+    # checkpoint it (shared folder) so its upstream work runs once
+    qsel = qsel.checkpoint(eager=True)
     stats = qsel.agg(F.count("*").alias("n"), F.max(F.size("_qv")).alias("dmax"),
                      F.min(F.size("_qv")).alias("dmin")).first()
     n, dim = stats["n"], stats["dmax"]

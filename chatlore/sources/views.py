@@ -10,11 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlore.operators.parallel import spread
+
 BASE_EPOCH = 1704067200  # 2024-01-01T00:00:00Z, first conversation second
 
 
+# tables whose rows drive the heavy stages; a scan of fewer partitions than
+# cores (a small single-row-group file) is spread over the cores first
+_WIDE = ("events", "documents", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in _WIDE else df
 
 
 def _turn_ts(conv_id: F.Column, turn: F.Column) -> F.Column:
