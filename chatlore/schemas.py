@@ -37,7 +37,7 @@ METADATA = T.StructType([
     T.StructField("timestamp", S, True),
 ])
 
-EMBEDDING = T.ArrayType(T.FloatType(), containsNull=False)
+EMBEDDING = T.ArrayType(T.FloatType(), containsNull=True)
 
 DOCUMENTS = T.StructType([
     T.StructField("id", S, False),

@@ -1,0 +1,157 @@
+"""Events, memory, context, replies (FIXTURES.md section 3) and batch = stream."""
+
+import os
+import time
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from chatlore import schemas
+from chatlore.config import DEFAULT_GREETING, ERROR_REPLY, Params
+from chatlore.operators import answer as A
+from chatlore.operators import context as CTX
+from chatlore.operators import events as EV
+from chatlore.operators import history as H
+from chatlore.plans import chat as P
+from chatlore.session import scratch_path
+from chatlore.sources import views
+from chatlore.streaming import chat_stream as S
+from conftest import SF_SMALL
+
+
+def ev(spark, rows):
+    """rows: (event_id, type, channel, channel_type, ts, thread_ts, user, bot_id, text)"""
+    return spark.createDataFrame(rows, schemas.EVENTS)
+
+
+def test_routing_and_guards(spark):
+    rows = [(1, "app_mention", "C1", None, "1.0", None, "U1", "B1", "<@U1> q"),
+            (2, "message", "D1", "im", "2.0", None, "U1", "B1", "q"),
+            (3, "message", "C1", "channel", "3.0", None, "U1", None, "q"),
+            (4, "message", "D1", "im", "4.0", None, "U1", None, None),
+            (5, "message", "D1", "im", "5.0", None, "U1", "", "q")]
+    kinds = {r.event_id: r.kind for r in EV.route(ev(spark, rows)).collect()}
+    assert kinds == {1: "mention", 2: "bot", 3: "ignored", 4: "no_text", 5: "dm"}
+
+
+def test_keys_small_talk_and_reply_threads(spark):
+    rows = [(1, "app_mention", "C1", None, "1.0", None, "U1", None, " <@U1> hi "),
+            (2, "app_mention", "C2", None, "2.0", "9.0", "U1", None, "<@U1> x"),
+            (3, "message", "D1", "im", "3.0", "", "U7", None, " HELLO "),
+            (4, "message", "D1", "im", "4.0", "9.0", "U7", None, "hi!")]
+    got = {r.event_id: r for r in EV.prepare(ev(spark, rows)).collect()}
+    assert (got[1].query, got[1].small_talk, got[1].session_key, got[1].reply_thread_ts) == ("hi", False, "1.0", "1.0")
+    assert (got[2].session_key, got[2].reply_thread_ts) == ("9.0", "9.0")
+    assert (got[3].small_talk, got[3].session_key, got[3].reply_thread_ts) == (True, "U7", None)
+    assert (got[4].small_talk, got[4].session_key) == (False, "9.0")  # shares memory with event 2
+
+
+def test_context_defaults_and_empty(spark):
+    hits = spark.createDataFrame(
+        [("q", 1, "t1", {"author": None, "slack_url": None, "channel_id": "C", "timestamp": "1"}),
+         ("q", 2, "t2", {"author": "Ann", "slack_url": "u", "channel_id": "C", "timestamp": "2"})],
+        "qkey string, rank int, text string, metadata struct<author:string,slack_url:string,channel_id:string,"
+        "timestamp:string>")
+    b = CTX.context_blocks(hits).first()
+    assert b.context == ("[Source: No URL available | Author: Unknown Author]\nt1\n\n---\n\n"
+                         "[Source: u | Author: Ann]\nt2")
+    assert b.bare_context == "t1\n\n---\n\nt2"
+    qs = spark.createDataFrame([("q",), ("none",)], "qkey string").withColumn("query", F.lit("Q"))
+    out = {r.qkey: r for r in CTX.with_prompts(CTX.attach_context(qs, CTX.context_blocks(hits)), "SYS").collect()}
+    assert out["none"].context == "" and out["none"].prompt == "SYS\n\nContext:\n\n\nUser Query: Q"
+    assert out["none"].instruction.startswith("Use the following context to answer the user.\n\nContext:\n\n\n")
+
+
+def test_history_success_failure_success(spark):
+    turns = spark.createDataFrame(
+        [(1, "s", "1.0", "ok"), (2, "s", "2.0", "error"), (3, "s", "3.0", "ok"), (4, "t", "1.5", "ok")],
+        "event_id long, session_key string, ts string, status string")
+    got = {r.event_id: r.history_len for r in H.with_history_len(turns, F.col("status") == "ok").collect()}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 0}
+
+
+def test_history_split_over_buckets_equals_window(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 5}", f"{1000 + i * 37}.000001", "ok" if i % 4 else "error")
+            for i in range(600)]
+    turns = spark.createDataFrame(rows, "event_id long, session_key string, ts string, status string")
+    ok = F.col("status") == "ok"
+    a = H.running_count(turns, "session_key", F.col("ts").cast("decimal(20,6)"), ok, "n", bucket_seconds=50)
+    b = H.running_count(turns, "session_key", F.col("ts").cast("decimal(20,6)"), ok, "n", bucket_seconds=10 ** 9)
+    assert a.exceptAll(b).count() == 0
+
+
+def test_history_messages_and_message_list(spark):
+    turns = spark.createDataFrame([(1, "s", "1.0", "q1", "a1", "ok"), (2, "s", "2.0", "q2", "x", "error"),
+                                   (3, "s", "3.0", "q3", "a3", "ok")],
+                                  "event_id long, session_key string, ts string, query string, answer string, "
+                                  "status string")
+    h = H.history_messages(turns, F.col("status") == "ok").withColumn("instruction", F.lit("I"))
+    got = {r.event_id: r for r in CTX.message_list(h).collect()}
+    assert [(m.role, m.content) for m in got[3].messages] == [("user", "q1"), ("assistant", "a1"), ("user", "I")]
+    assert len(got[1].messages) == 1
+
+
+def test_generate_isolates_failing_rows(spark):
+    df = spark.createDataFrame([("ok one", "i"), ("boom", "i")], "prompt string, instruction string")
+
+    def make():
+        def gen(pdf: pd.DataFrame):
+            if (pdf["prompt"] == "boom").any():
+                raise RuntimeError("model down")
+            return ["fine"] * len(pdf)
+        return gen
+
+    got = {r.prompt: (r.answer, r.status) for r in A.generate(df, make).collect()}
+    assert got == {"ok one": ("fine", "ok"), "boom": (ERROR_REPLY, "error")}
+
+
+def test_sequential_sessions_with_history_aware_generator(spark):
+    turns = spark.createDataFrame([(1, "s", "1.0", "a", "I1"), (2, "s", "2.0", "fail", "I2"),
+                                   (3, "s", "3.0", "c", "I3")],
+                                  "event_id long, session_key string, ts string, query string, instruction string")
+
+    def make():
+        def gen(history, instruction):
+            if instruction == "I2":
+                raise RuntimeError("x")
+            return f"{len(history)}"
+        return gen
+
+    got = {r.event_id: (r.history_len, r.answer, r.status) for r in P.chat_sessions_sequential(turns, make).collect()}
+    assert got == {1: (0, "0", "ok"), 2: (2, ERROR_REPLY, "error"), 3: (2, "2", "ok")}
+
+
+def test_chat_batch_counts(spark):
+    out = P.chat_batch(views.events(spark, SF_SMALL), P.document_index(
+        views.document_messages(spark, SF_SMALL), views.users(spark, SF_SMALL), Params(history_cap=None)))
+    rows = out.collect()
+    assert len({r.event_id for r in rows}) == len(rows)
+    greet = [r for r in rows if r.status == "greeting"]
+    assert greet and all(r.text == DEFAULT_GREETING and r.history_len is None for r in greet)
+    assert all(r.status == "ok" for r in rows if r.status != "greeting")
+    mentions = [r for r in rows if r.kind == "mention"]
+    assert all(r.thread_ts is not None for r in mentions)
+
+
+def test_batch_equals_stream_for_in_order_arrival(spark):
+    events = views.events(spark, SF_SMALL).cache()
+    index = P.document_index(views.document_messages(spark, SF_SMALL), views.users(spark, SF_SMALL),
+                             Params(history_cap=None)).checkpoint()
+    batch = P.chat_batch(events, index)
+    work = scratch_path(spark, f"test-stream-{uuid.uuid4().hex}")
+    src = f"{work}/events"
+    os.makedirs(src, exist_ok=True)
+    pdf = events.toPandas().sort_values("ts")
+    bounds = [0, 300, 600, len(pdf)]
+    for i in range(3):  # one file per chunk, rising modification times
+        part = pdf.iloc[bounds[i]:bounds[i + 1]]
+        spark.createDataFrame(part, schemas.EVENTS).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    _, _, out = S.start(spark, src, lambda: index, work, max_files_per_trigger=1)
+    stream = S.read_replies(spark, out)
+    cols = ["event_id", "channel", "thread_ts", "text", "status", "history_len"]
+    assert stream.count() == batch.count()
+    assert stream.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+    # memory really crossed micro-batches
+    assert stream.where(F.col("history_len") > 0).count() > 0
