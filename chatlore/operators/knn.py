@@ -128,7 +128,7 @@ def _global_topk(cands: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
 def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2sq",
          qid: str = "question_id", qvec: str = "embedding", id_col: str = "id",
          vec: str = "embedding", max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-         corpus_blocks: int | None = None) -> DataFrame:
+         corpus_blocks: int | None = None, materialize: bool = True) -> DataFrame:
     """``(qid, id, rank, distance)``: the ``k`` nearest corpus rows per question.
 
     A question with fewer than ``k`` corpus rows gets them all; an empty corpus
@@ -139,8 +139,10 @@ def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2s
     spark = questions.sparkSession
     qsel = questions.select(F.col(qid), F.col(qvec).alias("_qv")).where(F.col("_qv").isNotNull())
     # the question side is read by the size check and then by the search:
-    # checkpoint it (shared folder) so its upstream work runs once
-    qsel = qsel.checkpoint(eager=True)
+    # checkpoint it (shared folder) so its upstream work runs once, unless
+    # the caller already materialised it
+    if materialize:
+        qsel = qsel.checkpoint(eager=True)
     stats = qsel.agg(F.count("*").alias("n"), F.max(F.size("_qv")).alias("dmax"),
                      F.min(F.size("_qv")).alias("dmin")).first()
     n, dim = stats["n"], stats["dmax"]

@@ -36,7 +36,7 @@ def search(questions: DataFrame, index: DataFrame, params: Params = Params(), em
     uniq = distinct_questions(questions, text_col)
     vecs = E.embed(uniq, "text", embedder, params.dim, fail_fast=True, model=params.model)
     hits = knn.topk(vecs.select("qkey", "embedding"), index.select("id", "embedding"),
-                    k=params.top_k, metric=params.metric, qid="qkey")
+                    k=params.top_k, metric=params.metric, qid="qkey")  # checkpoints the questions
     if payload:
         winners = hits.select("id").distinct()
         docs = index.select("id", "text", "metadata").join(winners, "id", "left_semi")
