@@ -42,7 +42,8 @@ def _nearest_lists(q: np.ndarray, centroids: np.ndarray, n_probe: int) -> np.nda
 def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2sq",
              qid: str = "question_id", qvec: str = "embedding", id_col: str = "id", vec: str = "embedding",
              n_lists: int | None = None, n_probe: int = 4, train_rows: int = 50_000,
-             max_group_rows: int = 100_000, max_group_questions: int = 20_000, seed: int = 42) -> DataFrame:
+             max_group_rows: int = 100_000, max_group_questions: int = 20_000, seed: int = 42,
+             max_iter: int = 10) -> DataFrame:
     spark = corpus.sparkSession
     csel = corpus.select(F.col(id_col), F.col(vec).alias("_cv")).where(F.col("_cv").isNotNull())
     qsel = questions.select(F.col(qid), F.col(qvec).alias("_qv")).where(F.col("_qv").isNotNull())
@@ -56,7 +57,7 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
     lists = min(lists, n)
     frac = min(1.0, max(train_rows, 20 * lists) / n)
     train = csel.sample(fraction=frac, seed=seed) if frac < 1.0 else csel
-    model = KMeans(k=lists, seed=seed, maxIter=20, featuresCol="_f", predictionCol="_list").fit(
+    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_list").fit(
         train.select(array_to_vector("_cv").alias("_f")))
     centroids = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     lists = centroids.shape[0]

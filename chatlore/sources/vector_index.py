@@ -96,22 +96,22 @@ class VectorIndex:
         snapshot is then only scanned, not shuffled), and the batch is
         appended.  Returns the new version, or None for an empty batch.
         """
-        if docs.isEmpty():  # stops at the first row; no new snapshot for an empty batch
-            return None
         batch = docs
         if "content_hash" not in batch.columns:
             batch = batch.withColumn("content_hash", content_hash(F.col("text"), F.col("metadata")))
         batch = dedup_batch(batch.select(*INDEX_SCHEMA.fieldNames()))
         batch = batch.select(*[F.col(f.name).cast(f.dataType) for f in INDEX_SCHEMA.fields])
+        # materialise the batch once in the shared folder: the emptiness test,
+        # the anti join (its ids) and the union all read it, and the work
+        # upstream (embedding) must not run again
+        batch = batch.checkpoint(eager=True)
+        if batch.isEmpty():
+            return None
         current = self.current_version()
         nxt = (current or 0) + 1
         if current is None:
             merged = batch
         else:
-            # the batch is read twice (ids for the anti join, rows for the
-            # union): checkpoint it in the shared folder so the embedding
-            # work upstream runs once
-            batch = batch.checkpoint(eager=True)
             old = self.read(current)
             merged = old.join(batch.select("id"), "id", "left_anti").unionByName(batch)
         if self.buckets:

@@ -61,3 +61,21 @@ def test_ingest_error_policy_fail_fast(spark):
         P_ingest.ingest(views.messages(spark, SF_SMALL), views.replies(spark, SF_SMALL),
                         views.users(spark, SF_SMALL), index, Params(), embedder=broken)
     assert index.current_version() is None  # all channels or none
+
+
+def test_ingest_observation_counters(spark):
+    from pyspark.sql import Observation
+
+    index = VectorIndex(spark, scratch_path(spark, f"test-ingest-{uuid.uuid4().hex}"))
+    obs = Observation("ingest")
+    P_ingest.ingest(views.messages(spark, SF_SMALL), views.replies(spark, SF_SMALL),
+                    views.users(spark, SF_SMALL), index, observation=obs)
+    m = obs.get
+    assert m["documents"] == index.count() == m["embedded"] and m["failed"] == 0 and m["dimensions"] == 64
+
+
+def test_loader_has_no_python_stage(spark):
+    docs = E.queries()["build_documents"](spark, SF_SMALL)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    for node in ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas"):
+        assert node not in plan
