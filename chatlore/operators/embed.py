@@ -31,33 +31,38 @@ TOKEN_RE = r"[\p{L}\p{N}]+"
 EmbedFn = Callable[[pd.Series], list]
 
 
+class _BucketMemo(dict):
+    """token -> bucket; computes (md5) only for tokens not seen in this task."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, tok: str) -> int:
+        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:6], 16) % self.dim
+        if len(self) < 2_000_000:
+            self[tok] = b
+        return b
+
+
 class HashEmbedder:
-    """Counts of hashed tokens; a per-task memo keeps hashing off the hot path."""
+    """Counts of hashed tokens: one regex pass and one ``bincount`` per text."""
 
     def __init__(self, dim: int = 64):
         import regex
 
         self.dim = dim
         self._tok = regex.compile(TOKEN_RE)
-        self._memo: dict[str, int] = {}
-
-    def bucket(self, tok: str) -> int:
-        b = self._memo.get(tok)
-        if b is None:
-            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:6], 16) % self.dim
-            if len(self._memo) < 1_000_000:
-                self._memo[tok] = b
-        return b
+        self._memo = _BucketMemo(dim)
 
     def __call__(self, texts: pd.Series) -> list:
         out = []
+        memo, find, dim = self._memo, self._tok.findall, self.dim
         for text in texts:
             if text is None:
                 raise ValueError("text is null")
-            v = np.zeros(self.dim, dtype=np.float32)
-            for tok in self._tok.findall(text.lower()):
-                v[self.bucket(tok)] += 1.0
-            out.append(v)
+            ids = [memo[t] for t in find(text.lower())]
+            out.append(np.bincount(ids, minlength=dim).astype(np.float32))
         return out
 
 

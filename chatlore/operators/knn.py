@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from chatlore.functions.vectors import METRICS
 from chatlore.operators.parallel import spread
+from chatlore.session import materialize
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
 _CELLS = 1 << 22  # distance-matrix cells per numpy step (32 MiB of doubles)
@@ -128,7 +129,7 @@ def _global_topk(cands: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
 def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2sq",
          qid: str = "question_id", qvec: str = "embedding", id_col: str = "id",
          vec: str = "embedding", max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-         corpus_blocks: int | None = None, materialize: bool = True) -> DataFrame:
+         corpus_blocks: int | None = None, checkpoint_questions: bool = True) -> DataFrame:
     """``(qid, id, rank, distance)``: the ``k`` nearest corpus rows per question.
 
     A question with fewer than ``k`` corpus rows gets them all; an empty corpus
@@ -141,8 +142,8 @@ def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2s
     # the question side is read by the size check and then by the search:
     # checkpoint it (shared folder) so its upstream work runs once, unless
     # the caller already materialised it
-    if materialize:
-        qsel = qsel.checkpoint(eager=True)
+    if checkpoint_questions:
+        qsel = materialize(qsel)
     stats = qsel.agg(F.count("*").alias("n"), F.max(F.size("_qv")).alias("dmax"),
                      F.min(F.size("_qv")).alias("dmin")).first()
     n, dim = stats["n"], stats["dmax"]

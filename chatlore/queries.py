@@ -17,7 +17,7 @@ from chatlore.operators import authors, documents, embed as E, ivf, knn, message
 from chatlore.functions.responses import chat_content, embedding_of, error_of
 from chatlore.operators import context as CTX, events as EV, history as H
 from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
-from chatlore.session import scratch_path
+from chatlore.session import materialize, scratch_path
 from chatlore.sources import chat, views
 from chatlore.sources.vector_index import VectorIndex
 from chatlore.streaming import chat_stream as S_chat, ingest_stream as S_ingest
@@ -197,7 +197,7 @@ def _doc_index(spark: SparkSession, sf: str) -> DataFrame:
                                   Params(history_cap=None))
     # read twice (vectors for the search, text for the winners): materialise
     # once in the shared checkpoint folder, like a persisted index snapshot
-    return index.checkpoint(eager=True)
+    return materialize(index)
 
 
 def _answered_benchmark(spark: SparkSession, sf: str) -> DataFrame:

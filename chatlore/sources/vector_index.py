@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlore import schemas
+from chatlore.session import materialize
 
 DEFAULT_COLLECTION = "local_knowledge"
 
@@ -104,7 +105,7 @@ class VectorIndex:
         # materialise the batch once in the shared folder: the emptiness test,
         # the anti join (its ids) and the union all read it, and the work
         # upstream (embedding) must not run again
-        batch = batch.checkpoint(eager=True)
+        batch = materialize(batch)
         if batch.isEmpty():
             return None
         current = self.current_version()
