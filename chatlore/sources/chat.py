@@ -66,3 +66,32 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 def dedup_users(users: DataFrame) -> DataFrame:
     return users.groupBy("user_id").agg(F.min("real_name").alias("real_name"))
+
+
+def read_export(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """A chat-workspace export: ``<root>/<channel>/<day>.json``, each file a
+    JSON array of message objects.  Returns ``(messages, replies)``:
+
+    * messages: top-level messages (no ``thread_ts`` key, or the thread
+      parent itself), with ``pos`` = page order (newest first) and
+      ``has_thread`` by key presence;
+    * replies: every message of a thread (the parent included), the input of
+      the thread stitch.
+
+    Files are read whole (one day of one channel each) and parsed by Spark's
+    JSON functions; each message keeps its raw object so absent and null keys
+    stay distinct.
+    """
+    files = spark.read.text(f"{root.rstrip('/')}/*/*.json", wholetext=True)
+    raw = files.select(
+        F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+\.json$", 1).alias("channel_id"),
+        F.explode(F.from_json("value", "array<string>")).alias("body"),
+    )
+    parsed = parse_raw_messages(raw.withColumn("pos", F.lit(0)))
+    ts = F.col("ts").cast("decimal(20,6)")
+    top = parsed.where(~F.col("has_thread") | (F.col("thread_ts") == F.col("ts")))
+    # page order of the history API: newest first
+    top = top.withColumn("pos", (-ts * F.lit(1_000_000)).cast("long"))
+    replies = parsed.where(F.col("has_thread") & F.col("thread_ts").isNotNull()).select(
+        "channel_id", "thread_ts", "ts", "user", "text")
+    return top, replies
