@@ -139,8 +139,8 @@ SELECT conv_id, turn,
 FROM landed""",
 
     "run_metrics": _docs(100) + """
-SELECT channel_id, count(*) AS n_docs, sum(length(text)) AS n_chars, max(length(text)) AS max_chars,
-       count(*) AS n_embedded, 64 AS dimensions
+SELECT channel_id, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+       CAST(max(length(text)) AS INTEGER) AS max_chars, count(*) AS n_embedded, 64 AS dimensions
 FROM v_docs GROUP BY channel_id""",
 
     "chat_stream": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
