@@ -155,3 +155,30 @@ def test_batch_equals_stream_for_in_order_arrival(spark):
     assert stream.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     # memory really crossed micro-batches
     assert stream.where(F.col("history_len") > 0).count() > 0
+
+
+def test_stream_history_generator_matches_sequential_batch(spark):
+    def _echo_history():  # local, so workers receive it by value
+        def gen(history, instruction):
+            if instruction.endswith("User Query: fail"):
+                raise RuntimeError("generator down")
+            return f"seen {len(history)}"
+        return gen
+
+    rows = [(i, "message", "D1", "im", f"{100 + i}.000000", None, f"U{i % 2}", None,
+             "fail" if i == 3 else f"q{i % 3}") for i in range(8)]
+    events = ev(spark, rows)
+    index = P.document_index(views.document_messages(spark, SF_SMALL), views.users(spark, SF_SMALL),
+                             Params(history_cap=None)).checkpoint()
+    work = scratch_path(spark, f"test-stream-gen-{uuid.uuid4().hex}")
+    events.coalesce(1).write.parquet(f"{work}/events")
+    _, _, out = S.start(spark, f"{work}/events", lambda: index, work, history_generator=_echo_history)
+    got = {r.event_id: (r.history_len, r.text, r.status) for r in S.read_replies(spark, out).collect()}
+
+    prepared = EV.prepare(events).withColumn("qkey", P.question_key(F.col("query")))
+    ans = P.answer_distinct(prepared, index)
+    turns = prepared.join(ans.select("qkey", "instruction"), "qkey")
+    seq = {r.event_id: (r.history_len, r.answer, r.status)
+           for r in P.chat_sessions_sequential(turns, _echo_history).collect()}
+    assert got == seq
+    assert got[3] == (2, ERROR_REPLY, "error") and got[5] == (2, "seen 2", "ok")
