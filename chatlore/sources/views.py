@@ -122,7 +122,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     bench = table(spark, sf_dir, "benchmark")
     n_bench = bench.select(F.count("*")).scalar()
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # microseconds since the epoch of the wall-clock (NTZ) value: no session
+    # time zone is involved
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     day_start = F.floor(us / 86_400_000_000) * 86_400
     etype = F.col("event_type")
     eid = F.col("event_id")
