@@ -128,19 +128,15 @@ def hash_bucket(tok: F.Column, dim: int) -> F.Column:
 def hash_embed_sql(df: DataFrame, key: str, text_col: str = "text", dim: int = 64) -> DataFrame:
     """The hash embedder as built-in expressions: ``(key, embedding)``.
 
-    Tokens are exploded and counted per ``(key, bucket)`` with map-side
-    partial aggregation, then folded into a dense array per key.  Rows with no
-    token get the zero vector.
+    Tokens are exploded and counted per key with one conditional count per
+    bucket.  All tokens of a row stay in its task, so the map-side partial
+    aggregate already holds one row per key and the shuffle carries one row
+    per document.  Rows with no token get the zero vector.
     """
     toks = df.select(F.col(key), F.explode_outer(
         F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_RE), 0)).alias("_tok"))
-    counts = (
-        toks.groupBy(key, hash_bucket(F.col("_tok"), dim).alias("_b"))
-        .agg(F.count("_tok").alias("_n"))
-    )
-    per_key = counts.groupBy(key).agg(
-        F.map_from_entries(F.filter(F.collect_list(F.struct("_b", "_n")), lambda e: e["_b"].isNotNull()))
-        .alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.col("_m")[i.cast("long")], F.lit(0)).cast("float"))
-    return per_key.select(key, vec.alias("embedding"))
+    b = hash_bucket(F.col("_tok"), dim)
+    counts = toks.select(key, b.alias("_b")).groupBy(key).agg(
+        *[F.count(F.when(F.col("_b") == i, 1)).alias(f"_c{i}") for i in range(dim)])
+    vec = F.array(*[F.col(f"_c{i}").cast("float") for i in range(dim)])
+    return counts.select(key, vec.alias("embedding"))
