@@ -206,7 +206,19 @@ def _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, qblocks, cblocks) -
 
 
 def with_payload(hits: DataFrame, index: DataFrame, id_col: str = "id",
-                 payload: tuple[str, ...] = ("text", "metadata")) -> DataFrame:
+                 payload: tuple[str, ...] = ("text", "metadata"),
+                 max_broadcast_ids: int = 2_000_000) -> DataFrame:
     """Late materialisation: rank on ``(id, vector)`` only, then fetch text and
-    metadata for the winning ids (never the vector)."""
-    return hits.join(index.select(id_col, *payload), id_col, "inner")
+    metadata for the winning ids (never the vector).
+
+    The hits are materialised once (they feed the winner set and the join).
+    The index is cut to the winners with a semi join; the winner set is
+    broadcast when the hit count proves it small, so the index is then only
+    scanned and filtered, never shuffled with its text.
+    """
+    hits = materialize(hits)
+    winners = hits.select(id_col).distinct()
+    if hits.count() <= max_broadcast_ids:
+        winners = F.broadcast(winners)
+    docs = index.select(id_col, *payload).join(winners, id_col, "left_semi")
+    return hits.join(docs, id_col, "inner")
