@@ -59,6 +59,7 @@ class Params:
 
     targets: tuple[str, ...] | None = None  # None = every channel
     history_cap: int | None = DEFAULT_HISTORY_CAP  # messages per channel and run
+    reply_cap: int | None = None  # thread elements per fetch (parent included); None = all
     domain: str = DEFAULT_DOMAIN
     top_k: int = DEFAULT_TOP_K
     metric: str = "l2sq"

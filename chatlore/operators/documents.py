@@ -40,7 +40,7 @@ def load_documents(
     threads only, name lookups as joins, stitch as two partial aggregates.
     """
     parents = kept_parents(messages, params, on_error)
-    thread_rows = stitch.thread_replies(replies, parents)
+    thread_rows = stitch.cap_replies(stitch.thread_replies(replies, parents), params.reply_cap)
     named = authors.resolve(thread_rows, users, "user", "name")
     stitched = stitch.stitch(named, "name", bucket_seconds)
 

@@ -18,7 +18,7 @@ are monotone in ``ts`` so bucket order is reply order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlore.functions.text import reply_line, ts_order
@@ -36,6 +36,16 @@ def thread_replies(replies: DataFrame, parents: DataFrame) -> DataFrame:
     return replies.join(keys, THREAD_KEY, "left_semi")
 
 
+def cap_replies(replies: DataFrame, cap: int | None) -> DataFrame:
+    """The first ``cap`` elements of each thread by ts (one page, parent
+    first); ``row_number() <= cap`` plans as WindowGroupLimit, so a huge
+    thread ships at most ``cap`` rows per map task."""
+    if cap is None:
+        return replies
+    w = Window.partitionBy(*THREAD_KEY).orderBy(ts_order("ts"), F.col("ts"))
+    return replies.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+
+
 def stitch(replies: DataFrame, name_col: str = "name", bucket_seconds: int = 3600) -> DataFrame:
     """``(channel_id, thread_ts, ts, <name_col>, text)`` -> ``(channel_id, thread_ts, replies_text)``.
 

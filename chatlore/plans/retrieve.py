@@ -26,7 +26,8 @@ def distinct_questions(questions: DataFrame, text_col: str = "text") -> DataFram
 
 
 def search(questions: DataFrame, index: DataFrame, params: Params = Params(), embedder=None,
-           text_col: str = "text", qid: str = "question_id", payload: bool = True) -> DataFrame:
+           text_col: str = "text", qid: str = "question_id", payload: bool = True,
+           observation=None) -> DataFrame:
     """``(qid, rank, id, distance[, text, metadata])`` for every question.
 
     Ranking reads only ``(id, embedding)`` of the index; text and metadata
@@ -42,7 +43,14 @@ def search(questions: DataFrame, index: DataFrame, params: Params = Params(), em
     keys = questions.select(F.col(qid), question_key(F.col(text_col)).alias("qkey"))
     out = keys.join(hits, "qkey", "inner").drop("qkey")
     cols = [qid, "rank", "id", "distance"] + (["text", "metadata"] if payload else [])
-    return out.select(*cols)
+    out = out.select(*cols)
+    if observation is not None:  # run counters, filled as the result is consumed
+        counters = [F.count(F.lit(1)).alias("returned"), F.max("rank").alias("top_k_seen"),
+                    F.max("distance").alias("max_distance")]
+        if payload:
+            counters.append(F.sum(F.length("text")).alias("context_chars"))
+        out = out.observe(observation, *counters)
+    return out
 
 
 def search_vectors(questions: DataFrame, index: DataFrame, params: Params = Params(),

@@ -67,10 +67,11 @@ class VectorIndex:
     """A named collection in a directory; created empty when missing."""
 
     def __init__(self, spark: SparkSession, directory: str, collection: str = DEFAULT_COLLECTION,
-                 buckets: int | None = None):
+                 buckets: int | None = None, max_broadcast_ids: int = 5_000_000):
         self.spark = spark
         self.path = f"{directory.rstrip('/')}/{collection}"
         self.buckets = buckets
+        self.max_broadcast_ids = max_broadcast_ids
 
     def versions(self) -> list[int]:
         return committed_versions(self.spark, self.path)
@@ -114,7 +115,10 @@ class VectorIndex:
             merged = batch
         else:
             old = self.read(current)
-            merged = old.join(batch.select("id"), "id", "left_anti").unionByName(batch)
+            ids = batch.select("id")
+            if batch.count() <= self.max_broadcast_ids:  # cheap: read from the checkpoint
+                ids = F.broadcast(ids)  # the old snapshot is then scanned, not shuffled
+            merged = old.join(ids, "id", "left_anti").unionByName(batch)
         if self.buckets:
             merged = merged.repartition(self.buckets, "id")
         merged.write.mode("error").parquet(f"{self.path}/v={nxt}")

@@ -121,3 +121,22 @@ def test_ivf_recall_and_hot_list_split(spark):
     # tiny group bounds force salting of every list and blocking of questions
     salted = ivf.topk_ivf(q, vecs, k=5, n_lists=8, n_probe=6, max_group_rows=20, max_group_questions=30)
     assert salted.exceptAll(approx).count() == 0
+
+
+def test_search_observation(spark):
+    from pyspark.sql import Observation
+
+    from chatlore.config import Params
+    from chatlore.operators import embed as E
+    from chatlore.plans import retrieve as R
+    from conftest import SF_SMALL
+
+    docs = views.table(spark, SF_SMALL, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "text",
+        F.struct(F.lit("A").alias("author"), F.lit("u").alias("slack_url")).alias("metadata"))
+    index = E.embed(docs, "text").drop("embed_status", "embed_error")
+    obs = Observation("retrieval")
+    out = R.search(views.questions(spark, SF_SMALL), index, Params(top_k=3), observation=obs)
+    n = out.count()
+    assert obs.get["returned"] == n == 3 * views.questions(spark, SF_SMALL).count()
+    assert obs.get["top_k_seen"] == 3 and obs.get["context_chars"] > 0

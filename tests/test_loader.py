@@ -125,3 +125,10 @@ def test_cap_plans_as_window_group_limit(spark):
     m = msgs(spark, [("C", 0, "1.0", "U1", "a", None, None)])
     plan = M.recent_cap(m, 10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_reply_cap_keeps_first_page(spark):
+    m = [("C", 0, "1.0", "U1", "p", None, "1.0")]
+    r = [("C", "1.0", "1.0", "U1", "p")] + [("C", "1.0", f"1.{i}", "U1", f"r{i}") for i in range(1, 6)]
+    docs = load(spark, m, r, params=Params(reply_cap=3))
+    assert docs["1.0"]["text"] == "p\n\n[Reply from Ann]: r1\n\n[Reply from Ann]: r2"
