@@ -32,7 +32,7 @@ def load_documents(
     users: DataFrame,
     params: Params = Params(),
     on_error: str = "skip",
-    bucket_seconds: int = 3600,
+    bucket_seconds: int | tuple[int, ...] = (60, 86_400),
 ) -> DataFrame:
     """One document per kept top-level message: ``id, text, metadata, pos``.
 

@@ -106,7 +106,9 @@ def test_hot_thread_split_over_buckets_equals_one_bucket(spark):
     df = reps(spark, rows).withColumn("name", F.col("user"))
     one = stitch.stitch(df, "name", bucket_seconds=10 ** 9).first()["replies_text"]
     many = stitch.stitch(df, "name", bucket_seconds=7).first()["replies_text"]
-    assert one == many
+    levels = stitch.stitch(df, "name", bucket_seconds=(1, 7, 98)).first()["replies_text"]
+    default = stitch.stitch(df, "name").first()["replies_text"]
+    assert one == many == levels == default
     assert many.startswith("\n\n[Reply from U2]: r1\n\n") and many.count("[Reply from") == 2999
 
 
