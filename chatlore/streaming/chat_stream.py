@@ -4,9 +4,9 @@ Two chained queries, both restartable from their checkpoints:
 
 1. ``turns``: the event stream (A8) -> routing, cleanup, small talk, keys ->
    ``foreachBatch``: retrieval and prompt/answer for the batch's distinct
-   questions against the index snapshot current at that batch, written to
-   ``<work>/turns/batch=<id>`` with overwrite, so a replayed batch rewrites
-   the same rows (idempotent).
+   questions against the index snapshot current at that batch, published
+   once as ``<work>/turns/batch=<id>`` (staged, then renamed into place; a
+   replayed batch finds it and writes nothing).
 2. ``replies``: the turns stream -> ``applyInPandasWithState`` keyed by
    session: turns of a session in arrival order (then ts), memory appended
    after every success, greetings and failures leave it unchanged (J3).  A
@@ -20,6 +20,7 @@ Memory is unbounded like the reference's; ``max_messages`` bounds it when set.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,11 +85,32 @@ def _turns_batch(index_reader, params: Params, embedder, generator, out_dir: str
             "query", F.lit(None).cast("string").alias("instruction"),
             F.lit(params.greeting).alias("answer"), F.lit("greeting").alias("status"))
         out = turns.unionByName(greets)
-        out.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        _publish_once(batch.sparkSession, out, out_dir, batch_id)
 
     return run
 
 
+def _publish_once(spark: SparkSession, out: DataFrame, out_dir: str, batch_id: int) -> None:
+    """Write ``<out_dir>/batch=<id>`` exactly once: the rows go to a hidden
+    staging folder (ignored by file sources) and are renamed into place only
+    if no committed copy exists.  A replayed micro-batch finds its folder and
+    writes nothing, so the replies query never sees a turn twice."""
+    fs, final = _fs(spark, f"{out_dir}/batch={batch_id}")
+    if fs.exists(final):
+        return
+    stage = f"{out_dir}/_staging/batch={batch_id}-{uuid.uuid4().hex}"
+    out.write.parquet(stage)
+    _, staged = _fs(spark, stage)
+    if not fs.rename(staged, final) and not fs.exists(final):
+        raise RuntimeError(f"could not publish turns batch {batch_id}")
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _memory(make_generator, max_messages: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state):
         messages = list(state.get[0]) if state.exists else []

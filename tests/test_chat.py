@@ -182,3 +182,13 @@ def test_stream_history_generator_matches_sequential_batch(spark):
            for r in P.chat_sessions_sequential(turns, _echo_history).collect()}
     assert got == seq
     assert got[3] == (2, ERROR_REPLY, "error") and got[5] == (2, "seen 2", "ok")
+
+
+def test_turns_batch_is_published_once(spark):
+    work = scratch_path(spark, f"test-publish-{uuid.uuid4().hex}")
+    first = spark.createDataFrame([(1, "a")], "event_id long, v string")
+    replay = spark.createDataFrame([(1, "b"), (2, "c")], "event_id long, v string")
+    S._publish_once(spark, first, work, 7)
+    S._publish_once(spark, replay, work, 7)  # a replayed micro-batch writes nothing
+    got = spark.read.parquet(work).collect()
+    assert [(r.event_id, r.v, r.batch) for r in got] == [(1, "a", 7)]
