@@ -63,6 +63,9 @@ class Params:
     domain: str = DEFAULT_DOMAIN
     top_k: int = DEFAULT_TOP_K
     metric: str = "l2sq"
+    search: str = "exact"  # "exact" top-k, or "ivf" (inverted lists) for very large corpora
+    ivf_lists: int | None = None  # None: about sqrt(corpus rows)
+    ivf_probe: int = 8
     dim: int = 64
     temperature: float = 0.1
     model: str = "extractive"

@@ -222,3 +222,17 @@ def with_payload(hits: DataFrame, index: DataFrame, id_col: str = "id",
         winners = F.broadcast(winners)
     docs = index.select(id_col, *payload).join(winners, id_col, "left_semi")
     return hits.join(docs, id_col, "inner")
+
+
+def search_topk(questions: DataFrame, corpus: DataFrame, k: int, metric: str, qid: str,
+                method: str = "exact", n_lists: int | None = None, n_probe: int = 8,
+                checkpoint_questions: bool = True) -> DataFrame:
+    """Exact top-k, or the inverted-list approximation when ``method='ivf'``."""
+    if method == "exact":
+        return topk(questions, corpus, k=k, metric=metric, qid=qid,
+                    checkpoint_questions=checkpoint_questions)
+    if method == "ivf":
+        from chatlore.operators.ivf import topk_ivf
+
+        return topk_ivf(questions, corpus, k=k, metric=metric, qid=qid, n_lists=n_lists, n_probe=n_probe)
+    raise ValueError("search must be 'exact' or 'ivf'")

@@ -36,8 +36,9 @@ def search(questions: DataFrame, index: DataFrame, params: Params = Params(), em
     """
     uniq = distinct_questions(questions, text_col)
     vecs = E.embed(uniq, "text", embedder, params.dim, fail_fast=True, model=params.model)
-    hits = knn.topk(vecs.select("qkey", "embedding"), index.select("id", "embedding"),
-                    k=params.top_k, metric=params.metric, qid="qkey")  # checkpoints the questions
+    hits = knn.search_topk(vecs.select("qkey", "embedding"), index.select("id", "embedding"),
+                           params.top_k, params.metric, "qkey", params.search, params.ivf_lists,
+                           params.ivf_probe)
     if payload:
         hits = knn.with_payload(hits, index)
     keys = questions.select(F.col(qid), question_key(F.col(text_col)).alias("qkey"))

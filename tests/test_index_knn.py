@@ -140,3 +140,20 @@ def test_search_observation(spark):
     n = out.count()
     assert obs.get["returned"] == n == 3 * views.questions(spark, SF_SMALL).count()
     assert obs.get["top_k_seen"] == 3 and obs.get["context_chars"] > 0
+
+
+def test_search_switch_to_ivf(spark):
+    from chatlore.config import Params
+    from chatlore.operators import embed as E
+    from chatlore.plans import retrieve as R
+    from conftest import SF_SMALL
+
+    docs = views.table(spark, SF_SMALL, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "text",
+        F.struct(F.lit("A").alias("author"), F.lit("u").alias("slack_url")).alias("metadata"))
+    index = E.embed(docs, "text").drop("embed_status", "embed_error").cache()
+    qs = views.questions(spark, SF_SMALL)
+    exact = R.search(qs, index, Params(), payload=False)
+    approx = R.search(qs, index, Params(search="ivf", ivf_lists=4, ivf_probe=4), payload=False)
+    # probing every list is exhaustive: the approximation must equal the exact search
+    assert approx.exceptAll(exact).count() == 0 and exact.exceptAll(approx).count() == 0
