@@ -76,9 +76,16 @@ def test_history_split_over_buckets_equals_window(spark):
             for i in range(600)]
     turns = spark.createDataFrame(rows, "event_id long, session_key string, ts string, status string")
     ok = F.col("status") == "ok"
-    a = H.running_count(turns, "session_key", F.col("ts").cast("decimal(20,6)"), ok, "n", bucket_seconds=50)
-    b = H.running_count(turns, "session_key", F.col("ts").cast("decimal(20,6)"), ok, "n", bucket_seconds=10 ** 9)
-    assert a.exceptAll(b).count() == 0
+    o = F.col("ts").cast("decimal(20,6)")
+    a = H.running_count(turns, "session_key", o, ok, "n", minute=50, day=500)
+    b = H.running_count(turns, "session_key", o, ok, "n", minute=10 ** 9, day=10 ** 9)
+    c = H.running_count(turns, "session_key", o, ok, "n")
+    assert a.exceptAll(b).count() == 0 and c.exceptAll(b).count() == 0
+    brute = {}
+    for eid, key, ts, st in sorted(rows, key=lambda r: (float(r[2]), r[0])):
+        brute[eid] = sum(1 for e2, k2, t2, s2 in rows
+                         if k2 == key and (float(t2), e2) < (float(ts), eid) and s2 == "ok")
+    assert {r.event_id: r.n for r in a.collect()} == brute
 
 
 def test_history_messages_and_message_list(spark):
