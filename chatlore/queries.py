@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlore.config import Params
-from chatlore.operators import authors, documents, embed as E, ivf, knn, messages as msg, stitch
 from chatlore.functions.responses import chat_content, embedding_of, error_of
-from chatlore.operators import context as CTX, events as EV
+from chatlore.operators import authors, documents, ivf, knn, stitch
+from chatlore.operators import context as CTX
+from chatlore.operators import embed as E
+from chatlore.operators import events as EV
+from chatlore.operators import messages as msg
 from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
 from chatlore.session import materialize, scratch_path
 from chatlore.sources import chat, views
