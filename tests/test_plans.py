@@ -26,3 +26,12 @@ def test_loader_scans_prune_columns_and_push_filters(spark):
         schema = re.search(r"ReadSchema: struct<([^\n]*)>", scan).group(1)
         assert "c_acctbal" not in schema and "c_mktsegment" not in schema
     assert any("EqualTo(turn,0)" in s for s in scans)
+
+
+@pytest.mark.parametrize("name", ["channel_recent_cap", "cap_before_filter", "retrieve_topk"])
+def test_group_limits_run_map_side(spark, name):
+    """A channel or question with a third of all rows ships only k rows per
+    map task: the limit runs before the shuffle (Partial) and after it (Final)."""
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit .*Partial", plan), plan
+    assert re.search(r"WindowGroupLimit .*Final", plan), plan
