@@ -73,27 +73,26 @@ def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
     return np.where(denom == 0, 1.0, 1.0 - dots / np.where(denom == 0, 1.0, denom))
 
 
-def _chunk_candidates(q: _Questions, xids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """Candidates of one corpus chunk: every pair that can be in its top-k."""
-    kk = min(k, x.shape[0])
-    if q.metric == "l2sq":
+def _approx(q: _Questions, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fast distances of every (question, row) by one matrix product, shifted
+    by a per-question constant (which keeps each question's order), and the
+    per-question bound on their rounding error."""
+    if q.metric == "l2sq":  # |q|^2 + |x|^2 - 2 q.x, without the |q|^2 term
         xsq = (x * x).sum(axis=1)
-        approx = q.sq[:, None] + xsq[None, :] - 2.0 * (q.mat @ x.T)
-        tol = _TOL * (q.sq + (xsq.max() if len(xsq) else 0.0) + 1.0)
-    elif q.metric == "cosine":
-        xn = np.sqrt((x * x).sum(axis=1))
-        approx = 1.0 - q.unit @ (x / np.where(xn == 0, 1.0, xn)[:, None]).T
-        approx[:, xn == 0] = 1.0
-        approx[q.norm == 0, :] = 1.0
-        tol = np.full(len(q.ids), _TOL * 4)
-    else:
-        approx = 1.0 - q.mat @ x.T
-        xn = np.sqrt((x * x).sum(axis=1))
-        tol = _TOL * (q.norm * (xn.max() if len(xn) else 0.0) + 1.0)
-    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-    qi, xj = np.nonzero(approx <= (kth + 2 * tol)[:, None])
-    dist = _exact(q.mat[qi], x[xj], q.metric)
-    return pd.DataFrame({"_qi": qi, "id": xids[xj], "distance": dist})
+        g = q.mat @ x.T
+        g *= -2.0
+        g += xsq[None, :]
+        return g, _TOL * (q.sq + xsq.max() + 1.0)
+    xn = np.sqrt((x * x).sum(axis=1))
+    if q.metric == "cosine":  # 1 - cos, without the 1
+        g = q.unit @ (x / np.where(xn == 0, 1.0, xn)[:, None]).T
+        np.negative(g, out=g)
+        g[:, xn == 0] = 0.0
+        g[q.norm == 0, :] = 0.0
+        return g, np.full(len(q.ids), _TOL * 4)
+    g = q.mat @ x.T  # 1 - q.x, without the 1
+    np.negative(g, out=g)
+    return g, _TOL * (q.norm * xn.max() + 1.0)
 
 
 def _prune(cands: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -105,15 +104,44 @@ def _prune(cands: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
-    rows = max(1, _CELLS // max(1, len(q.ids)))
-    kept = []
-    held = 0
+    """Local top-k (ties included) of every question over the rows of a task.
+
+    A running k-th best approximate distance per question is kept with a
+    vectorised ``np.partition`` merge; a row becomes a candidate (exact
+    distance recomputed) only if its approximate distance is within twice the
+    rounding bound of that running value, so after the first chunks only rows
+    that can still enter a top-k cost anything.
+    """
+    nq = len(q.ids)
+    rows = max(1, _CELLS // max(1, nq))
+    best = np.full((nq, k), np.inf)
+    kth = np.full(nq, np.inf)
+    tol = np.zeros(nq)
+    filled = False
+    kept, held = [], 0
     for xids, x in batches:
         for s in range(0, x.shape[0], rows):
-            c = _chunk_candidates(q, xids[s:s + rows], x[s:s + rows], k)
+            xs, ids = x[s:s + rows], xids[s:s + rows]
+            approx, t = _approx(q, xs)
+            tol = np.maximum(tol, t)
+            if not filled:  # until every question has k rows: merge the whole chunk
+                best = np.partition(np.concatenate([best, approx], axis=1), k - 1, axis=1)[:, :k]
+                kth = best.max(axis=1)
+                filled = bool(np.isfinite(kth).all())
+                mask = approx <= (kth + 2 * tol)[:, None]
+            else:  # then only rows under the running k-th are candidates
+                mask = approx <= (kth + 2 * tol)[:, None]
+                touched = np.flatnonzero(mask.any(axis=1))
+                if len(touched):
+                    sub = np.where(mask[touched], approx[touched], np.inf)
+                    best[touched] = np.partition(np.concatenate([best[touched], sub], axis=1),
+                                                 k - 1, axis=1)[:, :k]
+                    kth[touched] = best[touched].max(axis=1)
+            qi, xj = np.nonzero(mask)
+            c = pd.DataFrame({"_qi": qi, "id": ids[xj], "distance": _exact(q.mat[qi], xs[xj], q.metric)})
             kept.append(c)
             held += len(c)
-            if held > 4 * k * len(q.ids) + 4096:
+            if held > 4 * k * nq + 4096:
                 kept = [_prune(pd.concat(kept, ignore_index=True), k)]
                 held = len(kept[0])
     if not kept:
