@@ -21,7 +21,7 @@ _LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": os.environ.get("CHATLORE_DRIVER_MEMORY", "8g"),
 }
 
 
