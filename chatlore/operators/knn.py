@@ -235,18 +235,22 @@ def _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, qblocks, cblocks) -
 
 def with_payload(hits: DataFrame, index: DataFrame, id_col: str = "id",
                  payload: tuple[str, ...] = ("text", "metadata"),
-                 max_broadcast_ids: int = 2_000_000) -> DataFrame:
+                 max_rows: int | None = None, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Late materialisation: rank on ``(id, vector)`` only, then fetch text and
     metadata for the winning ids (never the vector).
 
-    The hits are materialised once (they feed the winner set and the join).
-    The index is cut to the winners with a semi join; the winner set is
-    broadcast when the hit count proves it small, so the index is then only
-    scanned and filtered, never shuffled with its text.
+    ``max_rows`` is a proven bound on the hits (questions x k: the global
+    ``row_number() <= k`` guarantees it).  Within the broadcast bound the hits
+    are the build side of a broadcast join streamed by the index scan, so the
+    index is filtered where it is read and never shuffled with its text.
+    Without a bound the hits are materialised once and the index is cut to
+    the distinct winner ids by a semi join first.
     """
+    if max_rows is not None and max_rows <= max_broadcast_rows:
+        return index.select(id_col, *payload).join(F.broadcast(hits), id_col, "inner")
     hits = materialize(hits)
     winners = hits.select(id_col).distinct()
-    if hits.count() <= max_broadcast_ids:
+    if hits.count() <= max_broadcast_rows:
         winners = F.broadcast(winners)
     docs = index.select(id_col, *payload).join(winners, id_col, "left_semi")
     return hits.join(docs, id_col, "inner")

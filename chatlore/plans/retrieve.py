@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chatlore.config import Params
 from chatlore.operators import embed as E
 from chatlore.operators import knn
+from chatlore.session import materialize
 
 
 def question_key(text: F.Column) -> F.Column:
@@ -36,11 +37,11 @@ def search(questions: DataFrame, index: DataFrame, params: Params = Params(), em
     """
     uniq = distinct_questions(questions, text_col)
     vecs = E.embed(uniq, "text", embedder, params.dim, fail_fast=True, model=params.model)
-    hits = knn.search_topk(vecs.select("qkey", "embedding"), index.select("id", "embedding"),
-                           params.top_k, params.metric, "qkey", params.search, params.ivf_lists,
-                           params.ivf_probe)
+    vecs = materialize(vecs.select("qkey", "embedding"))  # read by the search and the bound
+    hits = knn.search_topk(vecs, index.select("id", "embedding"), params.top_k, params.metric, "qkey",
+                           params.search, params.ivf_lists, params.ivf_probe, checkpoint_questions=False)
     if payload:
-        hits = knn.with_payload(hits, index)
+        hits = knn.with_payload(hits, index, max_rows=vecs.count() * params.top_k)
     keys = questions.select(F.col(qid), question_key(F.col(text_col)).alias("qkey"))
     out = keys.join(hits, "qkey", "inner").drop("qkey")
     cols = [qid, "rank", "id", "distance"] + (["text", "metadata"] if payload else [])

@@ -181,7 +181,8 @@ def retrieve_payload(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     index = vecs.join(docs, "id", "inner")
     hits = knn.topk(vecs.withColumnRenamed("id", "question_id"), index.select("id", "embedding"), k=5)
-    out = knn.with_payload(hits, index, payload=("text", "source"))
+    n_questions = vecs.count()
+    out = knn.with_payload(hits, index, payload=("text", "source"), max_rows=n_questions * 5)
     return _rounded(out)
 
 
