@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlore.operators.knn import _as_matrix, _global_topk, _Questions, _scan_topk
+from chatlore.operators.knn import _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk
 
 
 def _nearest_lists(q: np.ndarray, centroids: np.ndarray, n_probe: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
 
     def pair(corp: pd.DataFrame, ques: pd.DataFrame) -> pd.DataFrame:
         if corp.empty or ques.empty:
-            return pd.DataFrame({qid: [], id_col: [], "distance": []})
+            return _no_rows(qid, id_col)
         q = _Questions(ques[qid].to_numpy(), _as_matrix(ques["_qv"], dim), metric)
         res = _scan_topk(q, iter([(corp[id_col].to_numpy(), _as_matrix(corp["_cv"], dim))]), k)
         return pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],

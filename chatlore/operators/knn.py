@@ -149,6 +149,12 @@ def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]],
     return _prune(pd.concat(kept, ignore_index=True), k)
 
 
+def _no_rows(qid: str, id_col: str) -> pd.DataFrame:
+    """An empty result whose (object) columns convert to any Spark type."""
+    return pd.DataFrame({qid: pd.Series([], dtype=object), id_col: pd.Series([], dtype=object),
+                         "distance": pd.Series([], dtype="float64")})
+
+
 def _global_topk(cands: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
     w = Window.partitionBy(qid).orderBy(F.col("distance"), F.col(id_col))
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -202,8 +208,9 @@ def _broadcast_scan(spark, qsel, csel, qid, id_col, dim, k, metric, out) -> Data
         ids, mat = bq.value
         q = _Questions(ids, mat, metric)
         res = _scan_topk(q, ((b[id_col].to_numpy(), _as_matrix(b["_cv"], dim)) for b in batches), k)
-        yield pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],
-                            id_col: res["id"].to_numpy(), "distance": res["distance"].to_numpy()})
+        if len(res):  # a task without corpus rows emits nothing
+            yield pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],
+                                id_col: res["id"].to_numpy(), "distance": res["distance"].to_numpy()})
 
     return spread(csel).mapInPandas(scan, out)
 
@@ -222,7 +229,7 @@ def _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, qblocks, cblocks) -
 
     def pair(corp: pd.DataFrame, ques: pd.DataFrame) -> pd.DataFrame:
         if corp.empty or ques.empty:
-            return pd.DataFrame({qid: [], id_col: [], "distance": []})
+            return _no_rows(qid, id_col)
         q = _Questions(ques[qid].to_numpy(), _as_matrix(ques["_qv"], dim), metric)
         res = _scan_topk(q, iter([(corp[id_col].to_numpy(), _as_matrix(corp["_cv"], dim))]), k)
         return pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],

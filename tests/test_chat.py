@@ -199,3 +199,17 @@ def test_turns_batch_is_published_once(spark):
     S._publish_once(spark, replay, work, 7)  # a replayed micro-batch writes nothing
     got = spark.read.parquet(work).collect()
     assert [(r.event_id, r.v, r.batch) for r in got] == [(1, "a", 7)]
+
+
+def test_empty_index_answers_without_context_and_empty_events(spark):
+    from chatlore.config import NO_CONTEXT_ANSWER
+
+    empty_index = spark.createDataFrame([], schemas.DOCUMENTS)
+    rows = [(1, "message", "D1", "im", "1.0", None, "U1", None, "where is the runbook?"),
+            (2, "message", "D1", "im", "2.0", None, "U1", None, "hi")]
+    out = {r.event_id: r for r in P.chat_batch(ev(spark, rows), empty_index).collect()}
+    assert out[1].text == NO_CONTEXT_ANSWER and out[1].status == "ok" and out[1].history_len == 0
+    assert out[2].status == "greeting"
+    ans = P.answer_distinct(EV.prepare(ev(spark, rows[:1])), empty_index).first()
+    assert ans.n_docs == 0 and ans.context == "" and "User Query: where is the runbook?" in ans.prompt
+    assert P.chat_batch(ev(spark, []), empty_index).count() == 0
