@@ -167,6 +167,8 @@ def start(spark: SparkSession, events_path: str, index_reader, work_dir: str, pa
 
 
 def _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, max_messages, available_now):
+    fs, path = _fs(spark, turns_dir)
+    fs.mkdirs(path)  # an event stream without any batch yet still has a turns folder
     schema = T.StructType(list(TURNS.fields) + [T.StructField("batch", T.LongType(), True)])
     turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(turns_dir)
     replies = turns.groupBy("session_key").applyInPandasWithState(
@@ -181,4 +183,8 @@ def _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, m
 
 
 def read_replies(spark: SparkSession, replies_dir: str) -> DataFrame:
+    """Committed replies (the file sink's log decides what is visible)."""
+    fs, path = _fs(spark, replies_dir)
+    if not fs.exists(path):  # no micro-batch has committed yet
+        return spark.createDataFrame([], REPLIES)
     return spark.read.schema(REPLIES).parquet(replies_dir)

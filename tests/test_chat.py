@@ -213,3 +213,11 @@ def test_empty_index_answers_without_context_and_empty_events(spark):
     ans = P.answer_distinct(EV.prepare(ev(spark, rows[:1])), empty_index).first()
     assert ans.n_docs == 0 and ans.context == "" and "User Query: where is the runbook?" in ans.prompt
     assert P.chat_batch(ev(spark, []), empty_index).count() == 0
+
+
+def test_stream_over_no_events(spark):
+    work = scratch_path(spark, f"test-stream-empty-{uuid.uuid4().hex}")
+    ev(spark, []).write.parquet(f"{work}/events")
+    index = spark.createDataFrame([], schemas.DOCUMENTS)
+    _, _, out = S.start(spark, f"{work}/events", lambda: index, work)
+    assert S.read_replies(spark, out).count() == 0
