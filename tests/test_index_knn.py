@@ -157,3 +157,21 @@ def test_search_switch_to_ivf(spark):
     approx = R.search(qs, index, Params(search="ivf", ivf_lists=4, ivf_probe=4), payload=False)
     # probing every list is exhaustive: the approximation must equal the exact search
     assert approx.exceptAll(exact).count() == 0 and exact.exceptAll(approx).count() == 0
+
+
+@pytest.mark.parametrize("seed,n,k", [(1, 1, 5), (2, 4, 5), (3, 30, 5), (4, 30, 1)])
+def test_topk_properties(spark, seed, n, k):
+    rng = np.random.default_rng(seed)
+    corpus = vec_frame(spark, [(i, rng.integers(0, 3, size=4).astype(float).tolist()) for i in range(n)])
+    ques = vec_frame(spark, [(i, rng.integers(0, 3, size=4).astype(float).tolist()) for i in range(6)],
+                     "question_id")
+    rows = knn.topk(ques, corpus, k=k).collect()
+    by_q = {}
+    for r in rows:
+        by_q.setdefault(r.question_id, []).append(r)
+    assert set(by_q) == set(range(6))
+    for hits in by_q.values():
+        hits.sort(key=lambda r: r.rank)
+        assert [h.rank for h in hits] == list(range(1, min(k, n) + 1))
+        assert all(a.distance <= b.distance for a, b in zip(hits, hits[1:]))
+        assert all(a.id < b.id for a, b in zip(hits, hits[1:]) if a.distance == b.distance)
