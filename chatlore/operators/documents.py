@@ -28,7 +28,7 @@ def kept_parents(messages: DataFrame, params: Params, on_error: str = "skip") ->
 
 def load_documents(
     messages: DataFrame,
-    replies: DataFrame,
+    replies: DataFrame | None,
     users: DataFrame,
     params: Params = Params(),
     on_error: str = "skip",
@@ -40,12 +40,15 @@ def load_documents(
     threads only, name lookups as joins, stitch as two partial aggregates.
     """
     parents = kept_parents(messages, params, on_error)
-    thread_rows = stitch.cap_replies(stitch.thread_replies(replies, parents), params.reply_cap)
-    named = authors.resolve(thread_rows, users, "user", "name")
-    stitched = stitch.stitch(named, "name", bucket_seconds)
-
-    parents = authors.resolve(parents, users, "user", "author")
-    with_threads = parents.join(stitched, stitch.THREAD_KEY, "left")
+    if replies is None:  # no thread replies at all: the documents are the messages
+        with_threads = authors.resolve(parents, users, "user", "author").withColumn(
+            "replies_text", F.lit(None).cast("string"))
+    else:
+        thread_rows = stitch.cap_replies(stitch.thread_replies(replies, parents), params.reply_cap)
+        named = authors.resolve(thread_rows, users, "user", "name")
+        stitched = stitch.stitch(named, "name", bucket_seconds)
+        parents = authors.resolve(parents, users, "user", "author")
+        with_threads = parents.join(stitched, stitch.THREAD_KEY, "left")
     text = F.when(
         F.col("has_thread"), F.concat(F.col("text"), F.coalesce(F.col("replies_text"), F.lit("")))
     ).otherwise(F.col("text"))
