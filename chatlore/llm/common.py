@@ -71,21 +71,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Powers:
+    """Powers of the rolling hash's multiplier and its inverse, grown as longer texts come."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) <= n:
+            size = max(1 << 16, 2 * n)
+            cls.up, cls.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, x, np.uint64))), dtype=np.uint64)
+                                for x in (_BASE, _INVERSE))
+        return cls.up, cls.down
+
+
 class RollingHash:
     """Hashes of any windows of a sequence of 64-bit word hashes."""
 
     def __init__(self, h: np.ndarray):
-        n = len(h)
-        steps = np.full(n + 1, _BASE, np.uint64)
-        steps[0] = 1
-        back = np.full(n + 1, _INVERSE, np.uint64)
-        back[0] = 1
-        self._back = np.cumprod(back, dtype=np.uint64)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * np.cumprod(steps, dtype=np.uint64)[:n], out=self._sums[1:])
+        up, self._down = _Powers.to(len(h))
+        self._sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[:len(h)], out=self._sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._back[start])
+        return mix((self._sums[end] - self._sums[start]) * self._down[start])
+
+    def every(self, width: int) -> np.ndarray:
+        """All windows of ``width`` words in order."""
+        n = len(self._sums) - width
+        return mix((self._sums[width:] - self._sums[:n]) * self._down[:n])
 
 
 def as_long(values: np.ndarray) -> pa.Array:

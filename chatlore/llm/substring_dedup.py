@@ -33,6 +33,7 @@ WINDOW = 35
 ROUNDS = 3
 MARGIN = 2 ** ROUNDS          # words at either end of a window whose symbols may differ
 _STARTS = WINDOW - 2 * MARGIN - 2 ** ROUNDS + 1  # places where an anchor may start
+_PLACE = np.uint64((1 << 20) - 1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -42,7 +43,7 @@ def symbols(h: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
     length = np.diff(np.append(first, len(h))).astype(np.uint64)
     names = np.where(length > 1, mix(h[first] + mix(length)), h[first])
     for r in range(rounds):
-        coin = (mix(names + np.uint64(r + 1)) & np.uint64(1)).astype(bool)
+        coin = (names >> np.uint64(r + 1) & np.uint64(1)).astype(bool)
         joins = ~coin[:-1] & coin[1:]
         left = np.flatnonzero(joins)
         names = names.copy()
@@ -61,17 +62,27 @@ class Passage:
         self.windows = self.n - WINDOW + 1
         self.rolling = RollingHash(h)
         names, first = symbols(h)
-        at = np.full(self.n, _TOP, np.uint64)
-        at[first] = mix(names)
         ends = np.zeros(self.n, np.int64)
         ends[first] = np.append(first[1:], self.n)
-        middle = np.lib.stride_tricks.sliding_window_view(at[MARGIN:], _STARTS)[: self.windows]
-        self.anchor = middle.argmin(axis=1) + np.arange(self.windows) + MARGIN
+        # least name per middle, the first of equals: names keep their upper bits, places go below
+        place = np.arange(self.n, dtype=np.uint64)
+        at = np.full(self.n, _TOP, np.uint64)
+        at[first] = names & ~_PLACE | place[first] & _PLACE
+        least = at[MARGIN:]
+        width = 1
+        while 2 * width <= _STARTS:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[:len(least) - (_STARTS - width)], least[_STARTS - width:])[:self.windows]
+        begin = place[MARGIN:MARGIN + self.windows]
+        self.anchor = (begin + ((least - begin) & _PLACE)).astype(np.int64)
         # windows that touch a run: no anchor, always verified
         twice = np.concatenate(([0], np.cumsum(h[1:] == h[:-1]), [0]))
         twice[-1] = twice[-2]
         self.loose = twice[WINDOW - 1: WINDOW - 1 + self.windows] > twice[: self.windows]
-        self.places = np.unique(self.anchor[~self.loose])
+        self.anchor[self.loose] = 0
+        tight = self.anchor[~self.loose]         # in order, as the least of moving windows is
+        self.places = tight[np.append(True, tight[1:] != tight[:-1])[:len(tight)]]
         self._ends = ends
 
     def keys(self) -> np.ndarray:
@@ -165,13 +176,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined by one space, ``''`` without any).  Repeated rows are documents like any others, so all their
     windows go.  A null ``doc_id`` is kept as it is.  An empty table gives an empty result.
     """
-    rows = id_and_text(docs).withColumn("ref", row_ref())
-    anchors = rows.select("ref", "text").mapInArrow(_anchors, "key long, ref long, place int")
-    single = _single(anchors, "places")
+    # one exchange of the texts serves all three passes (each takes all columns, so that it is one)
+    rows = id_and_text(docs).withColumn("ref", row_ref()).repartition("ref")
+    single = _single(rows.mapInArrow(_anchors, "key long, ref long, place int"), "places")
     known = rows.join(single, F.col("ref") == F.col("of"), "left").drop("of")
-    windows = known.select("ref", "text", "places").mapInArrow(_windows, "key long, ref long, place int")
-    found = known.join(_single(windows, "windows"), F.col("ref") == F.col("of"), "left")
-    return found.select("doc_id", "text", "places", "windows").mapInArrow(
+    windows = _single(known.mapInArrow(_windows, "key long, ref long, place int"), "windows")
+    return known.join(windows, F.col("ref") == F.col("of"), "left").drop("of").mapInArrow(
         _removal, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
