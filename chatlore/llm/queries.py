@@ -5,16 +5,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlore.llm import substring_dedup
+from chatlore.llm import best_fit, cutting_stock, ngram_join, substring_dedup
 from chatlore.llm.common import table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.digest(best_fit.pack_matrices(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
+    "op6_packing": op6_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_best_fit": op10_best_fit,
 }
 
 ORACLE: dict[str, str] = {}
