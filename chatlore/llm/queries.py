@@ -5,18 +5,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlore.llm import best_fit, cutting_stock, ngram_join, substring_dedup
+from chatlore.llm import (best_fit, cutting_stock, decontaminate, language_id, ngram_join, pii, quality_knn,
+                          substring_dedup)
 from chatlore.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting_stock.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, and which."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("ref")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -26,8 +44,12 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
+    "op3_quality_knn": op3_quality_knn,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op7_decontaminate": op7_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit": op10_best_fit,
 }
