@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlore.llm import (best_fit, cutting_stock, decontaminate, language_id, ngram_join, pii, quality_knn,
-                          substring_dedup)
+from chatlore.llm import (best_fit, cutting_stock, decontaminate, language_id, line_dedup, ngram_join, pii, quality_knn,
+                          quality_rules, substring_dedup)
 from chatlore.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("ref")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -47,11 +55,16 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_knn": op3_quality_knn,
+    "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit": op10_best_fit,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+}
