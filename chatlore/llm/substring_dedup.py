@@ -11,7 +11,8 @@ the one with the least name.  Equal windows have the same anchor, so a window re
 anchor (the symbol with 8 words on either side, all inside the window) does.  Spark counts the
 anchors, a seventh of the words; then, for windows whose anchor repeats, the windows themselves,
 which verifies the find exactly.  Both counts keep the single ones, so nothing is joined on a hot
-key, and a passage that a third of all documents share is pre-aggregated like any other.
+key, and a passage that a third of all documents share is pre-aggregated like any other.  Of whole
+texts that occur again, one sends its windows.
 
 Windows that touch a run are always verified, as a run's symbol has no bounded length.
 """
@@ -118,9 +119,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        for text, ref, single in zip(utf8(batch.column("text")), batch.column("ref").to_numpy(),
-                                     batch.column("places").to_pylist(), strict=True):
-            parts = words(text)
+        for text, ref, single, spare in zip(utf8(batch.column("text")), batch.column("ref").to_numpy(),
+                                            batch.column("places").to_pylist(), batch.column("spare").to_pylist(), strict=True):
+            parts = [] if spare else words(text)        # its copy stands for it
             if len(parts) >= WINDOW:
                 p = Passage(word_hashes(parts))
                 if len(start := p.candidates(single)):
@@ -129,10 +130,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          pa.array(start.astype(np.int32))], names=["key", "ref", "place"])
 
 
-def kept_words(parts: list[bytes], single_anchors: list[int] | None, single_windows: list[int] | None) -> np.ndarray:
+def kept_words(parts: list[bytes], single_anchors: list[int] | None, single_windows: list[int] | None,
+               copied: bool) -> np.ndarray:
     """Which words of a document stay."""
     cover = np.zeros(len(parts) + 1, np.int32)
-    if len(parts) >= WINDOW:
+    if len(parts) >= WINDOW and copied:
+        cover[0] = 1
+    elif len(parts) >= WINDOW:
         p = Passage(word_hashes(parts))
         repeated = np.zeros(p.windows, bool)
         repeated[p.candidates(single_anchors)] = True
@@ -147,10 +151,10 @@ def kept_words(parts: list[bytes], single_anchors: list[int] | None, single_wind
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n, kept = [], []
-        for text, anchors, windows in zip(utf8(batch.column("text")), batch.column("places").to_pylist(),
-                                          batch.column("windows").to_pylist(), strict=True):
+        for text, anchors, windows, spare in zip(utf8(batch.column("text")), batch.column("places").to_pylist(),
+                                                 batch.column("windows").to_pylist(), batch.column("spare").to_pylist(), strict=True):
             parts = words(text)
-            stays = kept_words(parts, anchors, windows)
+            stays = kept_words(parts, anchors, windows, spare is not None)
             n.append(len(parts))
             kept.append((int(stays.sum()), b" ".join([w for w, s in zip(parts, stays.tolist(), strict=True) if s])))
         yield pa.RecordBatch.from_arrays(
@@ -167,6 +171,13 @@ def _single(rows: DataFrame, name: str) -> DataFrame:
     return once.groupBy(F.col("ref").alias("of")).agg(F.collect_list("place").alias(name))
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """``copy, spare``: the documents whose whole text occurs again; all but one of each are spare."""
+    texts = id_and_text(docs).where("text is not null").select(row_ref().alias("copy"), F.xxhash64("text").alias("hash"))
+    more = texts.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("one")).where("n > 1")
+    return texts.join(more, "hash").select("copy", (F.col("copy") != F.col("one")).alias("spare")).distinct()
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text``: each document without the words covered by a window of
     ``WINDOW`` consecutive words that also starts anywhere else (another document, another place of
@@ -179,7 +190,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # one exchange of the texts serves all three passes (each takes all columns, so that it is one)
     rows = id_and_text(docs).withColumn("ref", row_ref()).repartition("ref")
     single = _single(rows.mapInArrow(_anchors, "key long, ref long, place int"), "places")
-    known = rows.join(single, F.col("ref") == F.col("of"), "left").drop("of")
+    known = (rows.join(single, F.col("ref") == F.col("of"), "left").drop("of")
+             .join(_copies(docs), F.col("ref") == F.col("copy"), "left").drop("copy"))
     windows = _single(known.mapInArrow(_windows, "key long, ref long, place int"), "windows")
     return known.join(windows, F.col("ref") == F.col("of"), "left").drop("of").mapInArrow(
         _removal, "doc_id long, n_words long, n_removed long, kept_text string")
