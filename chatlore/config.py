@@ -17,26 +17,15 @@ PY_SPACE_CLASS = (
 SMALL_TALK = ("hi", "hello", "hey", "help", "morning", "ping")
 # Reply sent when retrieval or generation fails.
 ERROR_REPLY = "I encountered an error while consulting the archives."
-# Thread stitch: one line per reply after the parent.
-REPLY_LINE = "\n\n[Reply from {name}]: {text}"
 # Author shown when the user id is null or empty.
 UNKNOWN_AUTHOR = "Unknown"
-# Context block: one header per document, blocks joined by a rule line.
-CONTEXT_HEADER = "[Source: {url} | Author: {author}]\n{text}"
+# Context block: cited documents are joined by a rule line.
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 MISSING_URL = "No URL available"
 MISSING_AUTHOR = "Unknown Author"
-# Prompt and instruction layouts.
-PROMPT_LAYOUT = "{system}\n\nContext:\n{context}\n\nUser Query: {query}"
-INSTRUCTION_LAYOUT = (
-    "Use the following context to answer the user.\n\n"
-    "Context:\n{context}\n\nUser Prompt: {prompt}"
-)
-# Permalink layout; the workspace domain defaults to "app".
-PERMALINK_LAYOUT = "https://{domain}.slack.com/archives/{channel}/p{ts_digits}"
+# The workspace domain of permalinks defaults to "app".
 DEFAULT_DOMAIN = "app"
 DEFAULT_TOP_K = 5
-DEFAULT_HISTORY_CAP = 100
 # ---------------------------------------------------------------------------
 
 # Our own defaults (not reference text): persona text and greeting are job
@@ -58,14 +47,13 @@ class Params:
     """Everything the reference read from its YAML config, as one value."""
 
     targets: tuple[str, ...] | None = None  # None = every channel
-    history_cap: int | None = DEFAULT_HISTORY_CAP  # messages per channel and run
+    history_cap: int | None = None  # newest messages per channel and run; None = all
     reply_cap: int | None = None  # thread elements per fetch (parent included); None = all
     domain: str = DEFAULT_DOMAIN
     top_k: int = DEFAULT_TOP_K
     metric: str = "l2sq"
-    search: str = "exact"  # "exact" top-k, or "ivf" (inverted lists) for very large corpora
+    search: str = "exact"  # "exact" top-k, or "ivf" (inverted lists, same rows) for clustered corpora
     ivf_lists: int | None = None  # None: about sqrt(corpus rows)
-    ivf_probe: int = 8
     dim: int = 64
     temperature: float = 0.1
     model: str = "extractive"

@@ -21,8 +21,8 @@ def chat_content(body: Column | str) -> Column:
     return F.from_json(_col(body), CHAT_RESPONSE).getField("message").getField("content")
 
 
-def error_of(body: Column | str) -> Column:
-    """The ``error`` field; a body that is not a JSON object is its own error."""
-    parsed = F.get_json_object(_col(body), "$.error")
-    is_object = F.from_json(_col(body), "MAP<STRING,STRING>").isNotNull()
-    return F.when(is_object, parsed).otherwise(_col(body))
+def error_of(body: Column | str, status: Column | str) -> Column:
+    """What a failed response (HTTP status of 400 or more) says: its ``error`` field, else the whole
+    body; null for a response that did not fail."""
+    said = F.get_json_object(_col(body), "$.error")
+    return F.when(_col(status) >= 400, F.coalesce(said, _col(body)))

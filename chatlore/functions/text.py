@@ -79,5 +79,5 @@ def author_name(user: Column | str, matched: Column | str, real_name: Column | s
 
 
 def ts_order(ts: Column | str) -> Column:
-    """Numeric order of a ``seconds.micros`` ts string ('10.5' sorts after '9.5')."""
-    return _col(ts).cast("decimal(20,6)")
+    """Numeric order of a ``seconds.micros`` ts string ('10.5' sorts after '9.5'); null if malformed."""
+    return _col(ts).try_cast("decimal(20,6)")

@@ -36,7 +36,8 @@ def distance(a: Column | str, b: Column | str, metric: str = "l2sq") -> Column:
     if metric == "l2sq":
         return l2sq(a, b)
     if metric == "cosine":
-        return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+        both = norm(a) * norm(b)
+        return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dot(a, b) / F.nullif(both, F.lit(0.0)))
     if metric == "ip":
         return F.lit(1.0) - dot(a, b)
     raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")

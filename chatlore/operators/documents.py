@@ -11,19 +11,22 @@ from chatlore.operators import authors, messages as msg, stitch
 from chatlore.sources.chat import with_has_thread
 
 
+def reached(messages: DataFrame, params: Params) -> DataFrame:
+    """The messages the loader looks at: target channels -> newest ``cap`` per channel -> no system messages."""
+    m = msg.select_targets(messages, params.targets)
+    return msg.drop_system(msg.recent_cap(m, params.history_cap))
+
+
 def kept_parents(messages: DataFrame, params: Params, on_error: str = "skip") -> DataFrame:
-    """Target channels -> newest ``cap`` per channel -> no system messages -> error policy."""
-    m = with_has_thread(messages)
-    m = msg.select_targets(m, params.targets)
-    m = msg.recent_cap(m, params.history_cap)
-    m = msg.drop_system(m)
+    """The reached messages after the error policy, with ``has_thread`` and without null texts."""
+    m = reached(messages, params)
     if on_error == "truncate":
         m = msg.truncate_at_error(m)
     elif on_error == "skip":
         m = msg.skip_errors(m)
     else:
         raise ValueError("on_error must be 'skip' or 'truncate'")
-    return msg.project(m)
+    return msg.project(with_has_thread(m))
 
 
 def load_documents(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlore import schemas
-from chatlore.operators.parallel import flatten_structs, spread, unflatten
+from chatlore.operators.parallel import flatten_structs, unflatten
 
 TOKEN_RE = r"[\p{L}\p{N}]+"
 
@@ -117,7 +117,7 @@ def embed(df: DataFrame, text_col: str = "text", embedder: Callable[[], EmbedFn]
         T.StructField("embed_status", T.StringType(), False),
         T.StructField("embed_error", T.StringType(), True),
     ])
-    embedded = spread(flat).mapInPandas(_embed_batches(make, text_col, dim, fail_fast, model), out_schema)
+    embedded = flat.mapInPandas(_embed_batches(make, text_col, dim, fail_fast, model), out_schema)
     return unflatten(embedded, structs, names + ["embedding", "embed_status", "embed_error"])
 
 
@@ -126,17 +126,16 @@ def hash_bucket(tok: F.Column, dim: int) -> F.Column:
 
 
 def hash_embed_sql(df: DataFrame, key: str, text_col: str = "text", dim: int = 64) -> DataFrame:
-    """The hash embedder as built-in expressions: ``(key, embedding)``.
+    """The hash embedder as built-in expressions, row by row without an exchange: ``(key, embedding)``.
 
-    Tokens are exploded and counted per key with one conditional count per
-    bucket.  All tokens of a row stay in its task, so the map-side partial
-    aggregate already holds one row per key and the shuffle carries one row
-    per document.  Rows with no token get the zero vector.
+    The buckets of a row's tokens are sorted together with one marker per
+    bucket; the count of a bucket is the gap between its marker and the next.
+    Rows with no token (or null text) get the zero vector.
     """
-    toks = df.select(F.col(key), F.explode_outer(
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_RE), 0)).alias("_tok"))
-    b = hash_bucket(F.col("_tok"), dim)
-    counts = toks.select(key, b.alias("_b")).groupBy(key).agg(
-        *[F.count(F.when(F.col("_b") == i, 1)).alias(f"_c{i}") for i in range(dim)])
-    vec = F.array(*[F.col(f"_c{i}").cast("float") for i in range(dim)])
-    return counts.select(key, vec.alias("embedding"))
+    tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_RE), 0)
+    buckets = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: hash_bucket(t, dim))
+    marked = df.select(F.col(key), F.array_sort(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim).cast("long"))))
+                       .alias("_sorted"))
+    placed = marked.select(key, F.array(*[F.array_position("_sorted", i) for i in range(dim + 1)]).alias("_at"))
+    vec = F.array(*[(F.get("_at", i + 1) - F.get("_at", i) - 1).cast("float") for i in range(dim)])
+    return placed.select(key, vec.alias("embedding"))

@@ -1,9 +1,12 @@
-"""Approximate top-k (F2): an inverted-file index over k-means lists.
-
-* centroids: ``pyspark.ml`` KMeans trained on a sample of the corpus (the
-  sample only trains centroids; every corpus row is indexed);
-* every corpus row is assigned to its nearest centroid (JVM ``transform``);
-* every question probes its ``n_probe`` nearest lists;
+"""Top-k through inverted lists (F2): k-means lists with bounds that make the pruning exact.
+
+* centroids: ``pyspark.ml`` KMeans over the whole corpus;
+* one pass assigns every row to its nearest list and keeps the row's distance
+  to the centroid; a list's radius is the largest of them;
+* a question's k-th neighbour is no farther than ``reach``: the least distance
+  within which whole lists (centroid distance plus radius) hold ``k`` rows.
+  Only lists that begin within it (centroid distance minus radius) are read,
+  so no neighbour is missed and every question gets ``min(k, N)`` rows;
 * a list holding many rows is split by a salt, and the questions probing a
   list are cut into blocks, so each ``cogroup`` group holds at most about
   ``max_group_rows`` corpus rows and ``max_group_questions`` questions
@@ -11,9 +14,9 @@
 * each group keeps its local top-k per question (numpy), a
   ``row_number() <= k`` window keeps the global top-k.
 
-Centroids and per-list sizes are bounded by ``n_lists`` and are the only
-data broadcast.  Recall against the exact search is reported by
-``recall_at_k``.
+Lists, radii and sizes are bounded by ``n_lists`` and are the only data
+broadcast.  Cosine distance is the euclidean one of unit vectors; inner
+products have no such bound and are refused.
 """
 
 from __future__ import annotations
@@ -30,20 +33,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlore.operators.knn import _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk
+from chatlore.session import materialize
+
+
+SLACK = 1e-6  # of the bounds, for rounding
+
 
+def _unit(m: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors whose euclidean distance ranks like the metric."""
+    if metric != "cosine":
+        return m
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm == 0, 1.0, norm)
 
-def _nearest_lists(q: np.ndarray, centroids: np.ndarray, n_probe: int) -> np.ndarray:
+
+def _distances(q: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     d = (q * q).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2.0 * q @ centroids.T
-    n_probe = min(n_probe, centroids.shape[0])
-    part = np.argpartition(d, n_probe - 1, axis=1)[:, :n_probe]
-    return part
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def _lists_in_reach(q: np.ndarray, centroids: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """(question, list) pairs that can hold one of the ``k`` nearest rows."""
+    d = _distances(q, centroids)
+    far = d + radius
+    order = np.argsort(far, axis=1)
+    held = np.cumsum(size[order], axis=1)
+    last = np.minimum((held < k).sum(axis=1), len(size) - 1)
+    reach = np.take_along_axis(np.take_along_axis(far, order, 1), last[:, None], 1)
+    return np.argwhere((d - radius <= reach + SLACK * (1 + reach)) & (size > 0))
 
 
 def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2sq",
              qid: str = "question_id", qvec: str = "embedding", id_col: str = "id", vec: str = "embedding",
-             n_lists: int | None = None, n_probe: int = 4, train_rows: int = 50_000,
-             max_group_rows: int = 100_000, max_group_questions: int = 20_000, seed: int = 42,
-             max_iter: int = 10) -> DataFrame:
+             n_lists: int | None = None, max_group_rows: int = 100_000, max_group_questions: int = 20_000,
+             seed: int = 42, max_iter: int = 10) -> DataFrame:
+    if metric not in ("l2sq", "cosine"):
+        raise ValueError("inverted lists need l2sq or cosine distances")
     spark = corpus.sparkSession
     csel = corpus.select(F.col(id_col), F.col(vec).alias("_cv")).where(F.col("_cv").isNotNull())
     qsel = questions.select(F.col(qid), F.col(qvec).alias("_qv")).where(F.col("_qv").isNotNull())
@@ -53,32 +78,52 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
                                T.StructField(id_col, corpus.schema[id_col].dataType),
                                T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())])
         return spark.createDataFrame([], schema)
-    lists = n_lists or max(1, min(4096, int(math.sqrt(n))))
-    lists = min(lists, n)
-    frac = min(1.0, max(train_rows, 20 * lists) / n)
-    train = csel.sample(fraction=frac, seed=seed) if frac < 1.0 else csel
-    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_list").fit(
-        train.select(array_to_vector("_cv").alias("_f")))
+    lists = min(n, n_lists or max(1, int(math.sqrt(n))))
+    points = array_to_vector("_cv")
+    if metric == "cosine":
+        from pyspark.ml.feature import Normalizer
+
+        train = Normalizer(inputCol="_v", outputCol="_f").transform(csel.select(points.alias("_v"))).select("_f")
+    else:
+        train = csel.select(points.alias("_f"))
+    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_list").fit(train)
     centroids = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-    lists = centroids.shape[0]
-    dim = centroids.shape[1]
+    lists, dim = centroids.shape
     bc = spark.sparkContext.broadcast(centroids)
 
-    assigned = model.transform(csel.withColumn("_f", array_to_vector("_cv"))).drop("_f")
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not pdf.empty:
+                m = _unit(_as_matrix(pdf["_cv"], dim), metric)
+                d = _distances(m, bc.value)
+                away = d.min(axis=1)
+                if metric == "cosine":  # a zero vector has no direction: as far as any unit vector can be
+                    away = np.where((m * m).sum(axis=1) == 0, 2.0, away)
+                yield pdf.assign(_list=d.argmin(axis=1).astype(np.int32), _away=away)
+
+    assigned = materialize(csel.mapInPandas(assign, T.StructType(
+        [*csel.schema.fields, T.StructField("_list", T.IntegerType()), T.StructField("_away", T.DoubleType())])))
+    radius, size = np.zeros(lists), np.zeros(lists, np.int64)
+    for r in assigned.groupBy("_list").agg(F.max("_away").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # n_lists rows
+        radius[r["_list"]], size[r["_list"]] = r["r"], r["n"]
+    assigned = assigned.drop("_away")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cents = bc.value
         for pdf in batches:
             if pdf.empty:
                 continue
-            near = _nearest_lists(_as_matrix(pdf["_qv"], dim), cents, n_probe)
-            yield pd.DataFrame({qid: np.repeat(pdf[qid].to_numpy(), near.shape[1]),
-                                "_qv": np.repeat(pdf["_qv"].to_numpy(), near.shape[1]),
-                                "_list": near.reshape(-1).astype(np.int32)})
+            q = _unit(_as_matrix(pdf["_qv"], dim), metric)
+            who, near = _lists_in_reach(q, bc.value, radius, size, k).T
+            if metric == "cosine":  # a zero vector is at distance 1 of all rows, and so is a zero row
+                zero = np.flatnonzero((q * q).sum(axis=1) == 0)
+                who, near = np.append(who, np.repeat(zero, lists)), np.append(near, np.tile(np.arange(lists), len(zero)))
+                who, near = np.unique(np.stack([who, near]), axis=1)
+            yield pd.DataFrame({qid: pdf[qid].to_numpy()[who], "_qv": pdf["_qv"].to_numpy()[who],
+                                "_list": near.astype(np.int32)})
 
     probe_schema = T.StructType([questions.schema[qid], T.StructField("_qv", questions.schema[qvec].dataType),
                                  T.StructField("_list", T.IntegerType())])
-    probes = qsel.mapInPandas(probe, probe_schema)
+    probes = materialize(qsel.mapInPandas(probe, probe_schema))
 
     # per-list fan-out: salts for big lists, question blocks for popular lists
     csize = assigned.groupBy("_list").agg(F.count("*").alias("_nc"))

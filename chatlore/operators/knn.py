@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlore.functions.vectors import METRICS
-from chatlore.operators.parallel import spread
 from chatlore.session import materialize
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
+HIT_BYTES = 256  # of a hit: two ids of 64 characters, rank, distance, row overhead
 _CELLS = 1 << 22  # distance-matrix cells per numpy step (32 MiB of doubles)
 _TOL = 1e-9
 
@@ -96,11 +96,8 @@ def _approx(q: _Questions, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prune(cands: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Per question keep every row whose distance rank (ties equal) is <= k."""
-    if cands.empty:
-        return cands
-    r = cands.groupby("_qi")["distance"].rank(method="min")
-    return cands[r <= k]
+    """The ``k`` nearest rows of each question, ties by id: what the global ranking keeps at most."""
+    return cands.sort_values(["_qi", "distance", "id"], kind="stable").groupby("_qi").head(k)
 
 
 def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
@@ -141,7 +138,7 @@ def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]],
             c = pd.DataFrame({"_qi": qi, "id": ids[xj], "distance": _exact(q.mat[qi], xs[xj], q.metric)})
             kept.append(c)
             held += len(c)
-            if held > 4 * k * nq + 4096:
+            if held > 4 * k * nq + 4096:  # also after one chunk of equal rows
                 kept = [_prune(pd.concat(kept, ignore_index=True), k)]
                 held = len(kept[0])
     if not kept:
@@ -195,7 +192,7 @@ def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2s
         cands = _broadcast_scan(spark, qsel, csel, qid, id_col, dim, k, metric, out)
     else:
         blocks = math.ceil(size / max_broadcast_bytes)
-        cblocks = corpus_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cblocks = corpus_blocks or max(1, math.ceil(csel.count() * dim * 8 / max_broadcast_bytes))
         cands = _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, blocks, cblocks)
     return _global_topk(cands, qid, id_col, k).select(qid, id_col, "rank", "distance")
 
@@ -212,7 +209,7 @@ def _broadcast_scan(spark, qsel, csel, qid, id_col, dim, k, metric, out) -> Data
             yield pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],
                                 id_col: res["id"].to_numpy(), "distance": res["distance"].to_numpy()})
 
-    return spread(csel).mapInPandas(scan, out)
+    return csel.mapInPandas(scan, out)
 
 
 def _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, qblocks, cblocks) -> DataFrame:
@@ -242,7 +239,7 @@ def _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, qblocks, cblocks) -
 
 def with_payload(hits: DataFrame, index: DataFrame, id_col: str = "id",
                  payload: tuple[str, ...] = ("text", "metadata"),
-                 max_rows: int | None = None, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                 max_rows: int | None = None, max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Late materialisation: rank on ``(id, vector)`` only, then fetch text and
     metadata for the winning ids (never the vector).
 
@@ -250,28 +247,22 @@ def with_payload(hits: DataFrame, index: DataFrame, id_col: str = "id",
     ``row_number() <= k`` guarantees it).  Within the broadcast bound the hits
     are the build side of a broadcast join streamed by the index scan, so the
     index is filtered where it is read and never shuffled with its text.
-    Without a bound the hits are materialised once and the index is cut to
-    the distinct winner ids by a semi join first.
+    Without a bound in bytes it is an ordinary join.
     """
-    if max_rows is not None and max_rows <= max_broadcast_rows:
-        return index.select(id_col, *payload).join(F.broadcast(hits), id_col, "inner")
-    hits = materialize(hits)
-    winners = hits.select(id_col).distinct()
-    if hits.count() <= max_broadcast_rows:
-        winners = F.broadcast(winners)
-    docs = index.select(id_col, *payload).join(winners, id_col, "left_semi")
-    return hits.join(docs, id_col, "inner")
+    docs = index.select(id_col, *payload)
+    small = max_rows is not None and max_rows * HIT_BYTES <= max_broadcast_bytes
+    return docs.join(F.broadcast(hits) if small else hits, id_col, "inner").select(*hits.columns, *payload)
 
 
 def search_topk(questions: DataFrame, corpus: DataFrame, k: int, metric: str, qid: str,
-                method: str = "exact", n_lists: int | None = None, n_probe: int = 8,
+                method: str = "exact", n_lists: int | None = None,
                 checkpoint_questions: bool = True) -> DataFrame:
-    """Exact top-k, or the inverted-list approximation when ``method='ivf'``."""
+    """Top-k by a scan, or through inverted lists when ``method='ivf'``."""
     if method == "exact":
         return topk(questions, corpus, k=k, metric=metric, qid=qid,
                     checkpoint_questions=checkpoint_questions)
     if method == "ivf":
         from chatlore.operators.ivf import topk_ivf
 
-        return topk_ivf(questions, corpus, k=k, metric=metric, qid=qid, n_lists=n_lists, n_probe=n_probe)
+        return topk_ivf(questions, corpus, k=k, metric=metric, qid=qid, n_lists=n_lists)
     raise ValueError("search must be 'exact' or 'ivf'")

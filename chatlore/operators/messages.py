@@ -48,15 +48,25 @@ def project(messages: DataFrame) -> DataFrame:
     return messages.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
 
 
+def failure(messages: DataFrame) -> F.Column:
+    """Why a message cannot be loaded, null if it can: without a numeric ``ts`` it has no link and no
+    place; replies cannot be added to a null text.  Only landings that tell absent from null
+    (``has_thread`` by key) hold null texts, an absent one is empty there."""
+    reason = F.when(F.col("ts").isNull(), "missing ts").when(ts_order("ts").isNull(), "malformed ts")
+    if "has_thread" in messages.columns:
+        reason = reason.when(F.col("has_thread") & F.col("text").isNull(), "null text in a thread")
+    return reason
+
+
 def bad_message(messages: DataFrame) -> F.Column:
-    """Row-level load failure: a message without ``ts`` cannot get a link."""
-    return F.col("ts").isNull()
+    return failure(messages).isNotNull()
 
 
 def load_errors(messages: DataFrame) -> DataFrame:
-    """Messages that would make the load fail, with a reason."""
+    """Messages that make the load fail, with a reason; pass what the loader reaches (targets, cap and
+    system filter applied: ``documents.reached``)."""
     return messages.where(bad_message(messages)).select(
-        "channel_id", "pos", "user", F.lit("missing ts").alias("reason"))
+        "channel_id", "pos", "user", failure(messages).alias("reason"))
 
 
 def truncate_at_error(messages: DataFrame) -> DataFrame:

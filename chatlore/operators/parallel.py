@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the
-    cluster's parallelism) when it has fewer; large inputs already have many
-    more scan partitions than cores and pass through untouched (no shuffle)."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+SMALL_SCAN_BYTES = 64 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan dealt over the cores if its files are so small that they give fewer splits; others
+    pass through.  The size is the optimizer's estimate from file lengths: no job is started."""
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= SMALL_SCAN_BYTES:
+        return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+    return scan
 
 
 def flatten_structs(df: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:

@@ -74,6 +74,17 @@ V_REPLIES = f"""v_replies AS (
 V_USERS = """v_users AS (
   SELECT 'U' || CAST(c_custkey AS VARCHAR) AS user_id, c_name AS real_name FROM customer)"""
 
+V_FAULTY_MESSAGES = """v_faulty AS (
+  SELECT * REPLACE (CASE WHEN conv_id % 11 = 0 THEN NULL WHEN conv_id % 13 = 0 THEN '' ELSE ts END AS ts,
+                    CASE WHEN conv_id % 9 <> 0 THEN text END AS text),
+         CASE WHEN conv_id % 11 = 0 THEN 'missing ts' WHEN conv_id % 13 = 0 THEN 'malformed ts'
+              WHEN conv_id % 9 = 0 AND thread_ts IS NOT NULL THEN 'null text in a thread' END AS reason
+  FROM v_messages)"""
+
+V_FAULTY_EVENTS = """v_events AS (
+  SELECT * REPLACE (CASE WHEN event_id % 13 <> 0 THEN "user" END AS "user", CASE WHEN event_id % 19 <> 0 THEN ts END AS ts)
+  FROM v_all_events)"""
+
 V_DOC_MESSAGES = """v_doc_messages AS (
   SELECT source AS channel_id, -doc_id AS pos,
          CAST(1704067200 + doc_id AS VARCHAR) || '.000000' AS ts,
@@ -118,7 +129,7 @@ def documents_sql(cap: int | None, domain: str = C.DEFAULT_DOMAIN, messages: str
     kept_src = "v_kept0"
     if truncate:
         trunc = """,
-v_first_bad AS (SELECT channel_id, min(pos) AS first_bad FROM v_kept0 WHERE ts IS NULL GROUP BY channel_id),
+v_first_bad AS (SELECT channel_id, min(pos) AS first_bad FROM v_kept0 WHERE reason IS NOT NULL GROUP BY channel_id),
 v_kept1 AS (SELECT k.* FROM v_kept0 k LEFT JOIN v_first_bad f USING (channel_id)
             WHERE f.first_bad IS NULL OR k.pos < f.first_bad)"""
         kept_src = "v_kept1"
@@ -275,6 +286,23 @@ v_answers AS (
   FROM v_ans2)"""
 
 
+def failing_chat() -> str:
+    """CTEs ending in ``v_turns``: every event of ``v_prep`` with its reply under the failing models."""
+    order = "CAST(ts AS DECIMAL(20,6)) NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""{routed()},
+{prepared()},
+v_status AS (
+  SELECT *, CASE WHEN small_talk THEN 'greeting' WHEN length(query) % 7 = 0 OR length(query) % 3 = 0 THEN 'error' ELSE 'ok' END AS status
+  FROM v_prep),
+v_turns AS (
+  SELECT *, CASE status WHEN 'greeting' THEN {lit(C.DEFAULT_GREETING)}
+                        WHEN 'ok' THEN 'answer to: ' || query
+                        ELSE 'I encountered an error while consulting the archives.' END AS text_out,
+         CASE WHEN NOT small_talk THEN CAST(2 * coalesce(count(*) FILTER (status = 'ok') OVER (
+           PARTITION BY session_key ORDER BY {order}), 0) AS BIGINT) END AS history_len
+  FROM v_status)"""
+
+
 def chat_turns() -> str:
     """CTEs ending in ``v_turns`` (answered events with history_len) and
     ``v_replies_out`` (all replies incl. greetings)."""

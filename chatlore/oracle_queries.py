@@ -20,7 +20,7 @@ _INDEX_DOCS = """v_idx AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, source AS
 ORACLE: dict[str, str] = {
     "message_filter": W(O.V_MESSAGES) + f"""
 SELECT channel_id, ts, "user", coalesce(text, '') AS text, subtype, thread_ts
-FROM v_messages WHERE channel_id IN ('C0', 'C1', 'C2', 'C3') AND {O.falsy('subtype')}""",
+FROM v_messages WHERE channel_id IN ('C0', 'C2') AND {O.falsy('subtype')}""",
 
     "channel_recent_cap": W(O.V_DOC_MESSAGES, O.capped("v_doc_messages", 20)) + """
 SELECT channel_id, ts, pos, "user" FROM v_capped""",
@@ -38,13 +38,14 @@ SELECT r.channel_id, r.ts, r."user",
        {O.author('r."user"', 'u.user_id IS NOT NULL', 'u.real_name')} AS name
 FROM v_replies r LEFT JOIN v_users u ON r."user" = u.user_id""",
 
-    "build_documents": _docs(100) + """
+    "build_documents": _docs(None) + """
 SELECT id, text, author, slack_url, channel_id, timestamp FROM v_docs""",
 
-    "load_errors": W(O.V_MESSAGES) + """
-SELECT channel_id, pos, "user", 'missing ts' AS reason FROM v_messages WHERE ts IS NULL""",
+    "load_errors": W(O.V_MESSAGES, O.V_FAULTY_MESSAGES) + f"""
+SELECT channel_id, pos, "user", reason FROM v_faulty WHERE reason IS NOT NULL AND {O.falsy('subtype')}""",
 
-    "load_truncate": _docs(100, truncate=True) + """
+    "load_truncate": W(O.V_MESSAGES, O.V_FAULTY_MESSAGES, O.V_REPLIES, O.V_USERS,
+                       O.documents_sql(None, messages="v_faulty", truncate=True)) + """
 SELECT id, text, author, slack_url, channel_id, timestamp FROM v_docs""",
 
     "embed_documents": W(O.hash_counts("v_cnt", "documents", "doc_id"),
@@ -56,19 +57,21 @@ SELECT k AS doc_id, embedding FROM v_dense""",
 SELECT k AS doc_id, embedding FROM v_dense""",
 
     "embed_errors": """
-SELECT doc_id, 'ok' AS embed_status, CAST(NULL AS VARCHAR) AS embed_error, 64 AS dim FROM documents""",
+SELECT doc_id, CASE WHEN length(text) % 7 = 0 THEN 'error' ELSE 'ok' END AS embed_status,
+       CASE WHEN length(text) % 7 = 0 THEN 'embedding failed for model ''hash'': model down' END AS embed_error,
+       CASE WHEN length(text) % 7 = 0 THEN 0 ELSE 64 END AS dim FROM documents""",
 
     "index_upsert": W(_INDEX_DOCS, """v_run1 AS (SELECT id, text, channel_id FROM v_idx WHERE lang IN ('en', 'fr'))""",
                       """v_run2 AS (SELECT id, 'v2 ' || text AS text, channel_id FROM v_idx
                                     WHERE doc_id IN (SELECT doc_id FROM labels))""",
-                      """v_final AS (SELECT * FROM v_run1 WHERE id NOT IN (SELECT id FROM v_run2)
+                      """v_final AS (SELECT id, text, channel_id FROM v_idx WHERE id NOT IN (SELECT id FROM v_run2)
                                      UNION ALL SELECT * FROM v_run2)""") + f"""
 SELECT id, text, channel_id, {_N_TOKENS} AS emb_sum FROM v_final""",
 
     "index_upsert_idempotent": """
 SELECT CAST(doc_id AS VARCHAR) AS id, text, 2 AS versions FROM documents""",
 
-    "ingest_run": _docs(100) + f"""
+    "ingest_run": _docs(None) + f"""
 SELECT id, text, author, slack_url, channel_id, timestamp, {_N_TOKENS} AS n_tokens FROM v_docs""",
 
     "retrieve_topk": W(_VECS, _SELF_PAIRS.format(dist=O.l2sq("q.e", "c.e"))) + f"""
@@ -77,6 +80,9 @@ SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('
     "retrieve_topk_cosine": W(_VECS, _SELF_PAIRS.format(dist=O.cosine("q.e", "c.e"))) + f"""
 SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
 
+    "retrieve_topk_ivf": W(_VECS, _SELF_PAIRS.format(dist=O.l2sq("q.e", "c.e"))) + f"""
+SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
+
     "retrieve_payload": W(_VECS, """v_index AS (SELECT v.id, v.e, d.text, d.source
                                         FROM v_vecs v JOIN documents d ON d.doc_id = v.id)""",
                           f"""v_pairs AS (SELECT q.id AS question_id, c.id, {O.l2sq('q.e', 'c.e')} AS distance,
@@ -122,6 +128,20 @@ FROM benchmark b JOIN v_answers a ON a.query = b.text""",
     "reply_route": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
 SELECT event_id, channel, thread_ts, status, kind FROM v_replies_out""",
 
+    "chat_errors": W(O.V_EVENTS.replace("v_events AS", "v_all_events AS"), O.V_FAULTY_EVENTS, O.failing_chat()) + """
+SELECT event_id, session_key, text_out AS text, status, history_len FROM v_turns""",
+
+    "session_messages": W(O.V_EVENTS.replace("v_events AS", "v_all_events AS"), O.V_FAULTY_EVENTS, O.failing_chat(),
+                          """v_before AS (
+  SELECT event_id, query, list(CASE WHEN status = 'ok' THEN 'user: ' || query || chr(10) || 'assistant: ' || text_out END) OVER (
+           PARTITION BY session_key ORDER BY CAST(ts AS DECIMAL(20,6)) NULLS FIRST, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM v_turns WHERE NOT small_talk)""",
+                          """v_list AS (SELECT event_id, query, list_filter(coalesce(earlier, []), lambda x: x IS NOT NULL) AS e FROM v_before)""") + """
+SELECT event_id, CAST(2 * len(e) + 1 AS INTEGER) AS n_messages,
+       md5(CASE WHEN len(e) > 0 THEN array_to_string(e, chr(10)) || chr(10) ELSE '' END || 'user: ' || query) AS messages_md5
+FROM v_list""",
+
     "chat_batch": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
 SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out""",
 
@@ -130,15 +150,17 @@ WITH landed AS (
   SELECT conv_id, turn, role,
          CASE WHEN role = 'assistant' THEN to_json({'message': {'role': 'assistant', 'content': text}})::VARCHAR
               WHEN role = 'user' THEN to_json({'embedding': [conv_id::DOUBLE, turn::DOUBLE]})::VARCHAR
-              ELSE text END AS body
+              WHEN conv_id % 3 = 0 THEN to_json({'error': text})::VARCHAR
+              WHEN conv_id % 3 = 1 THEN to_json({'detail': text})::VARCHAR
+              ELSE text END AS body, text
   FROM conversations)
 SELECT conv_id, turn,
        CASE WHEN role = 'assistant' THEN json_extract_string(body, '$.message.content') END AS content,
        CASE WHEN role = 'user' THEN CAST(json_extract(body, '$.embedding') AS DOUBLE[]) END AS embedding,
-       CASE WHEN role = 'system' THEN body END AS error
+       CASE WHEN role = 'system' THEN CASE WHEN conv_id % 3 = 0 THEN text ELSE body END END AS error
 FROM landed""",
 
-    "run_metrics": _docs(100) + """
+    "run_metrics": _docs(None) + """
 SELECT channel_id, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars,
        CAST(max(length(text)) AS INTEGER) AS max_chars, count(*) AS n_embedded, 64 AS dimensions
 FROM v_docs GROUP BY channel_id""",

@@ -39,7 +39,7 @@ def search(questions: DataFrame, index: DataFrame, params: Params = Params(), em
     vecs = E.embed(uniq, "text", embedder, params.dim, fail_fast=True, model=params.model)
     vecs = materialize(vecs.select("qkey", "embedding"))  # read by the search and the bound
     hits = knn.search_topk(vecs, index.select("id", "embedding"), params.top_k, params.metric, "qkey",
-                           params.search, params.ivf_lists, params.ivf_probe, checkpoint_questions=False)
+                           params.search, params.ivf_lists, checkpoint_questions=False)
     if payload:
         hits = knn.with_payload(hits, index, max_rows=vecs.count() * params.top_k)
     keys = questions.select(F.col(qid), question_key(F.col(text_col)).alias("qkey"))
@@ -53,10 +53,3 @@ def search(questions: DataFrame, index: DataFrame, params: Params = Params(), em
             counters.append(F.sum(F.length("text")).alias("context_chars"))
         out = out.observe(observation, *counters)
     return out
-
-
-def search_vectors(questions: DataFrame, index: DataFrame, params: Params = Params(),
-                   qid: str = "question_id") -> DataFrame:
-    """Questions that already carry an ``embedding`` (no embedding step)."""
-    return knn.topk(questions.select(qid, "embedding"), index.select("id", "embedding"),
-                    k=params.top_k, metric=params.metric, qid=qid)

@@ -18,6 +18,7 @@ from chatlore.operators import authors, documents, ivf, knn, stitch
 from chatlore.operators import context as CTX
 from chatlore.operators import embed as E
 from chatlore.operators import events as EV
+from chatlore.operators import history as H
 from chatlore.operators import messages as msg
 from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
 from chatlore.session import materialize, scratch_path
@@ -25,12 +26,12 @@ from chatlore.sources import chat, views
 from chatlore.sources.vector_index import VectorIndex
 from chatlore.streaming import chat_stream as S_chat, ingest_stream as S_ingest
 
-ALL_CHANNELS = ("C0", "C1", "C2", "C3")
+TARGETS = ("C0", "C2")
 
 
 def message_filter(spark: SparkSession, sf: str) -> DataFrame:
     m = chat.with_has_thread(views.messages(spark, sf))
-    m = msg.project(msg.drop_system(msg.select_targets(m, ALL_CHANNELS)))
+    m = msg.project(msg.drop_system(msg.select_targets(m, TARGETS)))
     return m.select("channel_id", "ts", "user", "text", "subtype", "thread_ts")
 
 
@@ -63,11 +64,11 @@ def build_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def load_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return msg.load_errors(views.messages(spark, sf))
+    return msg.load_errors(documents.reached(views.faulty_messages(spark, sf), Params()))
 
 
 def load_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents.load_documents(views.messages(spark, sf), views.replies(spark, sf),
+    docs = documents.load_documents(views.faulty_messages(spark, sf), views.replies(spark, sf),
                                     views.users(spark, sf), Params(), on_error="truncate")
     return documents.flatten(docs)
 
@@ -107,23 +108,39 @@ def embed_documents_sql(spark: SparkSession, sf: str) -> DataFrame:
     return E.hash_embed_sql(docs, "doc_id", "text", 64)
 
 
+class _FailsOnSome:
+    """The hash embedder, down for texts whose length is divisible by 7."""
+
+    def __init__(self):
+        self.embed = E.HashEmbedder()
+
+    def __call__(self, texts):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise RuntimeError("model down")
+        return self.embed(texts)
+
+
 def embed_errors(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select("doc_id", "text")
-    out = E.embed(docs, "text", fail_fast=False)
+    out = E.embed(docs, "text", _FailsOnSome)
     return out.select("doc_id", "embed_status", "embed_error",
                       F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))
 
 
 def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Run 1 indexes the English and French documents; run 2 re-ingests the
-    labelled documents with edited text (updates some ids, inserts others)."""
+    labelled documents with edited text (updates some ids, inserts others),
+    every fourth twice in the batch (the newer one stays); run 3 adds the rest."""
     docs = _index_docs(spark, sf)
     labels = views.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
     index = _fresh_index(spark, "upsert")
     run1 = docs.where(F.col("lang").isin("en", "fr")).drop("lang")
     run2 = (docs.join(labels, "id", "left_semi").drop("lang")
             .withColumn("text", F.concat(F.lit("v2 "), F.col("text"))))
-    for run in (run1, run2):
+    older = (run2.where(F.col("id").cast("long") % 4 == 0).withColumn("text", F.concat(F.lit("old "), F.col("text")))
+             .withColumn("metadata", F.col("metadata").withField("timestamp", F.lit("1.000000"))))
+    run3 = docs.where(~F.col("lang").isin("en", "fr") | F.col("lang").isNull()).join(labels, "id", "left_anti").drop("lang")
+    for run in (run1, run2.unionByName(older), run3):
         index.upsert(P_ingest.embedded_documents(run).drop("embed_status", "embed_error"))
     snap = index.read()
     return snap.select("id", "text", F.col("metadata.channel_id").alias("channel_id"),
@@ -167,10 +184,9 @@ def retrieve_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieve_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
-    """Approximate top-5 (inverted lists over k-means centroids), same inputs
-    as ``retrieve_topk``; recall against it is tested, not the exact rows."""
+    """Top-5 through inverted lists over k-means centroids: same inputs and rows as ``retrieve_topk``."""
     vecs = views.vectors(spark, sf)
-    hits = ivf.topk_ivf(vecs.withColumnRenamed("id", "question_id"), vecs, k=5, n_lists=16, n_probe=10)
+    hits = ivf.topk_ivf(vecs.withColumnRenamed("id", "question_id"), vecs, k=5, n_lists=16)
     return _rounded(hits)
 
 
@@ -226,6 +242,36 @@ def session_key(spark: SparkSession, sf: str) -> DataFrame:
     return EV.prepare(views.events(spark, sf)).select("event_id", "session_key", "reply_thread_ts")
 
 
+class _Echo:
+    """A generator that names the question, down for questions whose length is divisible by 3."""
+
+    def __call__(self, frame):
+        questions = [p.rsplit("User Query: ", 1)[1] for p in frame["prompt"]]
+        if any(len(q) % 3 == 0 for q in questions):
+            raise RuntimeError("model down")
+        return [f"answer to: {q}" for q in questions]
+
+
+def _failing_chat(spark: SparkSession, sf: str) -> DataFrame:
+    return P_chat.chat_batch(views.faulty_events(spark, sf), _doc_index(spark, sf), Params(), _FailsOnSome, _Echo)
+
+
+def chat_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Events without user or ts, questions that can't be embedded and a generator that fails on some:
+    every event is answered, failures by the error reply and without a trace in the memory."""
+    return _failing_chat(spark, sf).select("event_id", "session_key", "text", "status", "history_len")
+
+
+def session_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The message list a history-aware generator gets: the session's successful turns, then the question."""
+    events = EV.prepare(views.faulty_events(spark, sf)).where(~F.col("small_talk"))
+    turns = (events.select("event_id", "ts", "query").join(_failing_chat(spark, sf)
+             .select("event_id", "session_key", F.col("text").alias("answer"), "status"), "event_id"))
+    listed = CTX.message_list(H.history_messages(turns, F.col("status") == "ok").withColumn("instruction", F.col("query")))
+    lines = F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    return listed.select("event_id", F.size("messages").alias("n_messages"), F.md5(F.array_join(lines, "\n")).alias("messages_md5"))
+
+
 def session_history(spark: SparkSession, sf: str) -> DataFrame:
     replies = P_chat.chat_batch(views.events(spark, sf), _doc_index(spark, sf), Params())
     return replies.where(F.col("status") != "greeting").select("event_id", "session_key", "history_len")
@@ -256,19 +302,22 @@ def chat_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def response_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Landed model-service responses built from ``conversations``: assistant
-    turns are chat responses, user turns embedding responses, system turns a
-    non-JSON error body; the fields are read back with JSON functions."""
+    turns are chat responses, user turns embedding responses, system turns
+    failures (plain text, JSON with an error, JSON without one); the fields
+    are read back with JSON functions."""
     conv = views.table(spark, sf, "conversations")
     body = (
         F.when(F.col("role") == "assistant", F.to_json(F.struct(
             F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))))
         .when(F.col("role") == "user", F.to_json(F.struct(
             F.array(F.col("conv_id").cast("double"), F.col("turn").cast("double")).alias("embedding"))))
+        .when(F.col("conv_id") % 3 == 0, F.to_json(F.struct(F.col("text").alias("error"))))
+        .when(F.col("conv_id") % 3 == 1, F.to_json(F.struct(F.col("text").alias("detail"))))
         .otherwise(F.col("text"))
     )
-    landed = conv.select("conv_id", "turn", body.alias("body"))
+    landed = conv.select("conv_id", "turn", body.alias("body"), F.when(F.col("role") == "system", 500).otherwise(200).alias("status"))
     return landed.select("conv_id", "turn", chat_content("body").alias("content"),
-                         embedding_of("body").alias("embedding"), error_of("body").alias("error"))
+                         embedding_of("body").alias("embedding"), error_of("body", "status").alias("error"))
 
 
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,6 +392,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_build": prompt_build,
     "answer_questions": answer_questions,
     "reply_route": reply_route,
+    "chat_errors": chat_errors,
+    "session_messages": session_messages,
     "chat_batch": chat_batch,
     "response_extract": response_extract,
     "run_metrics": run_metrics,

@@ -17,6 +17,9 @@ MESSAGES = T.StructType([
     T.StructField("thread_ts", S, True),
 ])
 
+# a landing that tells an absent ``thread_ts`` from a null one
+LANDED_MESSAGES = T.StructType([*MESSAGES.fields, T.StructField("has_thread", T.BooleanType(), False)])
+
 REPLIES = T.StructType([
     T.StructField("channel_id", S, False),
     T.StructField("thread_ts", S, False),
@@ -62,11 +65,3 @@ CHAT_MESSAGE = T.StructType([
     T.StructField("role", S, False),
     T.StructField("content", S, True),
 ])
-
-REPLIES_OUT = T.StructType([
-    T.StructField("event_id", L, False),
-    T.StructField("channel", S, True),
-    T.StructField("thread_ts", S, True),
-    T.StructField("text", S, True),
-    T.StructField("status", S, False),
-])

@@ -46,12 +46,13 @@ def with_has_thread(messages: DataFrame) -> DataFrame:
 
 
 def land_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
-    """Write messages partitioned by channel so later scans prune by target."""
-    messages.write.mode(mode).partitionBy("channel_id").parquet(path)
+    """Write messages partitioned by channel so later scans prune by target; key presence
+    (``has_thread``) is part of the landing."""
+    with_has_thread(messages).write.mode(mode).partitionBy("channel_id").parquet(path)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.MESSAGES).parquet(path)
+    return spark.read.schema(schemas.LANDED_MESSAGES).parquet(path)
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlore import schemas
+from chatlore.operators import knn
 from chatlore.session import materialize
 
+ROW_BYTES = 64               # of a broadcast row besides its id
 DEFAULT_COLLECTION = "local_knowledge"
 
 INDEX_SCHEMA = T.StructType(list(schemas.DOCUMENTS.fields) + [T.StructField("content_hash", schemas.S, True)])
@@ -55,7 +57,7 @@ def dedup_batch(batch: DataFrame) -> DataFrame:
     lowest content hash.  ``min_by`` is a partial aggregate, so a batch where
     one id repeats a huge number of times collapses map-side."""
     order = F.struct(
-        (-F.coalesce(F.col("metadata.timestamp").cast("decimal(20,6)"), F.lit(0))).alias("t"),
+        (-F.coalesce(F.col("metadata.timestamp").try_cast("decimal(20,6)"), F.lit(0))).alias("t"),
         F.col("content_hash").alias("h"),
     )
     cols = [c for c in batch.columns if c != "id"]
@@ -67,11 +69,11 @@ class VectorIndex:
     """A named collection in a directory; created empty when missing."""
 
     def __init__(self, spark: SparkSession, directory: str, collection: str = DEFAULT_COLLECTION,
-                 buckets: int | None = None, max_broadcast_ids: int = 5_000_000):
+                 buckets: int | None = None, max_broadcast_bytes: int = 64 << 20):
         self.spark = spark
         self.path = f"{directory.rstrip('/')}/{collection}"
         self.buckets = buckets
-        self.max_broadcast_ids = max_broadcast_ids
+        self.max_broadcast_bytes = max_broadcast_bytes
 
     def versions(self) -> list[int]:
         return committed_versions(self.spark, self.path)
@@ -90,6 +92,18 @@ class VectorIndex:
     def count(self) -> int:
         return self.read().count()
 
+    def _next_version(self) -> int:
+        """One past the highest folder, committed or not: what a crashed write left behind is never
+        read and never in the way."""
+        fs, p = _fs(self.spark, self.path)
+        names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+        return 1 + max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
+
+    def search(self, questions: DataFrame, k: int = 5, metric: str = "l2sq", qid: str = "question_id") -> DataFrame:
+        """``(qid, rank, id, distance, text, metadata)``: the ``k`` nearest rows of the current snapshot."""
+        index = self.read()
+        return knn.with_payload(knn.topk(questions, index.select("id", "embedding"), k=k, metric=metric, qid=qid), index)
+
     def upsert(self, docs: DataFrame) -> int | None:
         """Write snapshot ``n+1`` = current with ``docs`` inserted/replaced by id.
 
@@ -110,13 +124,14 @@ class VectorIndex:
         if batch.isEmpty():
             return None
         current = self.current_version()
-        nxt = (current or 0) + 1
+        nxt = self._next_version()
         if current is None:
             merged = batch
         else:
             old = self.read(current)
             ids = batch.select("id")
-            if batch.count() <= self.max_broadcast_ids:  # cheap: read from the checkpoint
+            size = batch.agg(F.sum(F.octet_length("id") + ROW_BYTES)).first()[0]  # cheap: read from the checkpoint
+            if size <= self.max_broadcast_bytes:
                 ids = F.broadcast(ids)  # the old snapshot is then scanned, not shuffled
             merged = old.join(ids, "id", "left_anti").unionByName(batch)
         if self.buckets:
@@ -124,11 +139,6 @@ class VectorIndex:
         merged.write.mode("error").parquet(f"{self.path}/v={nxt}")
         return nxt
 
-    def unchanged(self, docs: DataFrame) -> DataFrame:
-        """Documents whose ``(id, content_hash)`` is already indexed (no-op upserts)."""
-        cur = self.read().select("id", "content_hash")
-        return docs.join(cur, ["id", "content_hash"], "left_semi")
-
     def changed(self, docs: DataFrame) -> DataFrame:
         cur = self.read().select("id", "content_hash")
         return docs.join(cur, ["id", "content_hash"], "left_anti")

@@ -1,7 +1,8 @@
 """Input views derived from the driver tables (FIXTURES.md section 2).
 
 Every view reads a whole driver table and only derives attributes from it
-(channel, ts, user, subtype ...); none drops rows.  The same formulas are
+(channel, ts, user, subtype ...); none drops rows that belong to it (``messages``
+is the first turn of each conversation, ``replies`` all turns).  The same formulas are
 written in SQL in ``chatlore.oracle`` for the DuckDB check.
 """
 
@@ -64,6 +65,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``messages`` as a landing by key presence, in which some have no ``ts``, a malformed one, or a
+    null text (``conv_id`` divisible by 11, 13, 9)."""
+    conv = -F.col("pos")
+    ts = F.when(conv % 11 == 0, F.lit(None)).when(conv % 13 == 0, F.lit("")).otherwise(F.col("ts"))
+    m = messages(spark, sf_dir).withColumn("has_thread", F.col("thread_ts").isNotNull())
+    return m.withColumn("text", F.when(conv % 9 != 0, F.col("text"))).withColumn("ts", ts)
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thread replies: every turn, the parent (turn 0) first."""
     c = _conv_columns()
@@ -78,11 +88,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User directory from customers (ids unique); ids past the table stay unresolved."""
-    return table(spark, sf_dir, "customer").select(
+    """User directory from customers, every tenth of them listed twice (the second time under a name
+    that sorts after the first); ids past the table stay unresolved."""
+    once = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("user_id"),
-        F.col("c_name").alias("real_name"),
-    )
+        F.col("c_name").alias("real_name"), (F.col("c_custkey") % 10 == 0).alias("twice"))
+    names = F.when(F.col("twice"), F.array("real_name", F.concat("real_name", F.lit(" again")))).otherwise(F.array("real_name"))
+    return once.select("user_id", F.explode(names).alias("real_name"))
 
 
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,3 +166,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("event_id", "type", "channel", "channel_type", "ts", "thread_ts", "user", "bot_id",
                 text.alias("text"))
     )
+
+
+def faulty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` in which some have no user or no ts (``event_id`` divisible by 13, 19)."""
+    eid = F.col("event_id")
+    return (events(spark, sf_dir).withColumn("user", F.when(eid % 13 != 0, F.col("user")))
+            .withColumn("ts", F.when(eid % 19 != 0, F.col("ts"))))

@@ -15,7 +15,8 @@ Two chained queries, both restartable from their checkpoints:
    event id (A9).
 
 Order (J5): no watermark, arrival order is the order, as in the reference.
-Memory is unbounded like the reference's; ``max_messages`` bounds it when set.
+Without a history-aware generator the state is a count; with one it is every message of the
+session, like the reference's; ``max_messages`` bounds what the generator reads, not the count.
 """
 
 from __future__ import annotations
@@ -59,12 +60,14 @@ REPLIES = T.StructType([
     T.StructField("history_len", T.LongType(), True),
 ])
 
+# messages are kept only for a generator that reads them; the count is always true
 STATE = T.StructType([
     T.StructField("messages", T.ArrayType(schemas.CHAT_MESSAGE), True),
+    T.StructField("n_messages", T.LongType(), True),
 ])
 
 
-def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = 1) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schemas.EVENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -113,20 +116,21 @@ def _fs(spark: SparkSession, path: str):
 
 def _memory(make_generator, max_messages: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state):
-        messages = list(state.get[0]) if state.exists else []
+        messages, count = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         messages = [{"role": m["role"], "content": m["content"]} if not isinstance(m, dict) else m
                     for m in messages]
         gen = make_generator() if make_generator else None
         pdf = pd.concat(list(batches), ignore_index=True)
         # arrival order: the turns batch first, then ts inside a batch
-        pdf = pdf.assign(_o=pd.to_numeric(pdf["ts"])).sort_values(["batch", "_o", "event_id"], kind="stable")
+        pdf = pdf.assign(_o=pd.to_numeric(pdf["ts"], errors="coerce")).sort_values(
+            ["batch", "_o", "event_id"], kind="stable", na_position="first")
         rows = []
         for r in pdf.itertuples(index=False):
             if r.status == "greeting":
                 rows.append((r.event_id, r.channel, r.thread_ts, r.answer, "greeting", r.kind,
                              r.session_key, None))
                 continue
-            before = len(messages)
+            before = count
             answer, status = r.answer, r.status
             if gen is not None and status == "ok":
                 try:
@@ -134,13 +138,14 @@ def _memory(make_generator, max_messages: int | None):
                 except Exception:  # noqa: BLE001 - memory unchanged on failure
                     status = "error"
             if status == "ok":
-                messages.append({"role": "user", "content": r.query})
-                messages.append({"role": "assistant", "content": answer})
-                if max_messages:
-                    messages = messages[-max_messages:]
+                count += 2
+                if gen is not None:
+                    messages.append({"role": "user", "content": r.query})
+                    messages.append({"role": "assistant", "content": answer})
+                    messages = messages[-max_messages:] if max_messages else messages
             text = answer if status == "ok" else ERROR_REPLY
             rows.append((r.event_id, r.channel, r.thread_ts, text, status, r.kind, r.session_key, before))
-        state.update((messages,))
+        state.update((messages, count))
         yield pd.DataFrame(rows, columns=REPLIES.fieldNames())
 
     return step
@@ -148,7 +153,7 @@ def _memory(make_generator, max_messages: int | None):
 
 def start(spark: SparkSession, events_path: str, index_reader, work_dir: str, params: Params = Params(),
           embedder=None, generator=None, history_generator=None, max_messages: int | None = None,
-          max_files_per_trigger: int | None = 1, available_now: bool = True):
+          max_files_per_trigger: int | None = None, available_now: bool = True):
     """Start both queries; returns ``(turns_query, replies_query, replies_path)``.
 
     ``index_reader()`` returns the index DataFrame and is called per batch, so

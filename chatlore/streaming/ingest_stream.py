@@ -36,7 +36,10 @@ def _rebuild(spark: SparkSession, messages_path: str, replies_path: str, users:
         by_ts = messages.join(keys.withColumnRenamed("key_ts", "ts"), ["channel_id", "ts"], "left_semi")
         by_thread = messages.join(keys.withColumnRenamed("key_ts", "thread_ts"),
                                   ["channel_id", "thread_ts"], "left_semi")
-        parents = by_ts.unionByName(by_thread).dropDuplicates(["channel_id", "ts"])
+        # of repeated (channel, ts) the least row by content, whatever the order of arrival
+        rest = [c for c in messages.columns if c not in ("channel_id", "ts")]
+        parents = (by_ts.unionByName(by_thread).groupBy("channel_id", "ts").agg(F.min(F.struct(*rest)).alias("_r"))
+                   .select("channel_id", "ts", "_r.*").select(*messages.columns))
         replies = spark.read.schema(schemas.REPLIES).parquet(replies_path)
         docs = D.load_documents(parents, replies, users, params)
         emb = embedded_documents(docs.drop("pos"), params, embedder)

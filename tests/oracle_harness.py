@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import sys
 import time
 
@@ -80,7 +81,7 @@ def compare(spark, name, fn, sql, sf_dir, con=None):
 
 
 def main(argv):
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as E
     from chatlore.session import local_session
 

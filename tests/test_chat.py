@@ -77,8 +77,8 @@ def test_history_split_over_buckets_equals_window(spark):
     turns = spark.createDataFrame(rows, "event_id long, session_key string, ts string, status string")
     ok = F.col("status") == "ok"
     o = F.col("ts").cast("decimal(20,6)")
-    a = H.running_count(turns, "session_key", o, ok, "n", minute=50, day=500)
-    b = H.running_count(turns, "session_key", o, ok, "n", minute=10 ** 9, day=10 ** 9)
+    a = H.running_count(turns, "session_key", o, ok, "n", minute=50)
+    b = H.running_count(turns, "session_key", o, ok, "n", minute=10 ** 9)
     c = H.running_count(turns, "session_key", o, ok, "n")
     assert a.exceptAll(b).count() == 0 and c.exceptAll(b).count() == 0
     brute = {}
@@ -221,3 +221,30 @@ def test_stream_over_no_events(spark):
     index = spark.createDataFrame([], schemas.DOCUMENTS)
     _, _, out = S.start(spark, f"{work}/events", lambda: index, work)
     assert S.read_replies(spark, out).count() == 0
+
+
+def test_history_keeps_rows_without_session_or_ts(spark):
+    turns = spark.createDataFrame([(1, None, "1.0", "ok"), (2, None, None, "ok"), (3, "s", None, "ok"), (4, "s", "2.0", "ok"),
+                                   (5, None, "2.0", "error"), (6, "s", "", "ok")],
+                                  "event_id long, session_key string, ts string, status string")
+    got = {r.event_id: r.history_len for r in H.with_history_len(turns, F.col("status") == "ok").collect()}
+    assert got == {2: 0, 1: 2, 5: 4, 3: 0, 6: 2, 4: 4}
+
+
+def test_stream_equals_batch_when_models_fail(spark):
+    """Several micro-batches, events without user or ts, a failing embedder and generator; the state is a count."""
+    from chatlore import queries as Q
+
+    events = views.faulty_events(spark, SF_SMALL)
+    index = Q._doc_index(spark, SF_SMALL)
+    batch = P.chat_batch(events, index, Params(), Q._FailsOnSome, Q._Echo)
+    work = scratch_path(spark, f"chat-faults-{uuid.uuid4().hex}")
+    ordered = F.coalesce(F.col("ts").cast("decimal(20,6)"), F.lit(0))
+    parts = events.withColumn("o", ordered)
+    a, b = parts.approxQuantile("o", [0.4, 0.7], 0.0)
+    for k, (low, high) in enumerate(((-1, a), (a, b), (b, 1e18))):
+        parts.where((F.col("o") > low) & (F.col("o") <= high)).drop("o").coalesce(1).write.mode("append").parquet(f"{work}/events")
+        _, _, out = S.start(spark, f"{work}/events", lambda: index, work, Params(), Q._FailsOnSome, Q._Echo)
+    cols = ["event_id", "channel", "thread_ts", "text", "status", "history_len"]
+    got, want = S.read_replies(spark, out).select(cols), batch.select(cols)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.where("status = 'error'").count() > 0

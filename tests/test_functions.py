@@ -75,11 +75,18 @@ def test_distances(spark):
 
 
 def test_response_fields(spark):
-    df = spark.createDataFrame([('{"embedding": [1, 2]}',), ('{"message": {"content": "hi"}}',),
-                                ('{"error": "model missing"}',), ("Bad Gateway",)], "b string")
+    df = spark.createDataFrame([('{"embedding": [1, 2]}', 200), ('{"message": {"content": "hi"}}', 200),
+                                ('{"error": "model missing"}', 404), ("Bad Gateway", 502), ('{"detail":"x"}', 500)],
+                               "b string, s int")
     rows = df.select(L.embedding_of("b").alias("e"), L.chat_content("b").alias("c"),
-                     L.error_of("b").alias("err")).collect()
+                     L.error_of("b", "s").alias("err")).collect()
     assert rows[0].e == [1.0, 2.0]
     assert rows[1].c == "hi"
     assert rows[2].err == "model missing"
     assert rows[3].err == "Bad Gateway"
+    assert rows[4].err == '{"detail":"x"}' and rows[0].err is None
+
+
+def test_malformed_ts_has_no_order(spark):
+    df = spark.createDataFrame([("",), ("x",), ("1.5",)], "ts string")
+    assert [r[0] is None for r in df.select(L.ts_order("ts")).collect()] == [True, True, False]

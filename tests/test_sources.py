@@ -31,3 +31,18 @@ def test_read_export_and_load(spark):
     assert docs["100.000001"].text == "parent\n\n[Reply from Bo]: reply a\n\n[Reply from Bo]: reply b"
     assert docs["102.000000"].text == "" and docs["102.000000"].metadata.author == "U9"
     assert docs["100.000001"].metadata.channel_id == "C7"
+
+
+def test_landing_keeps_key_presence(spark):
+    """An absent and a null ``thread_ts`` stay apart through a landing; a null text in a thread is a load error."""
+    from chatlore.operators import messages as M
+
+    raw = spark.createDataFrame([("C1", 1, '{"ts": "1.0", "text": "a"}'), ("C1", 2, '{"ts": "2.0", "text": null, "thread_ts": null}'),
+                                 ("C2", 3, '{"ts": "3.0", "thread_ts": "3.0", "text": "b"}'), ("C2", 4, '{"ts": "4.0"}')],
+                                "channel_id string, pos long, body string")
+    path = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+    chat.land_messages(chat.parse_raw_messages(raw), path)
+    back = chat.read_messages(spark, path)
+    assert {r.pos: r.has_thread for r in back.collect()} == {1: False, 2: True, 3: True, 4: False}
+    assert [(r.pos, r.reason) for r in M.load_errors(back).collect()] == [(2, "null text in a thread")]
+    assert "PartitionFilters: [isnotnull(channel_id" in back.where("channel_id = 'C1'")._jdf.queryExecution().executedPlan().toString()
