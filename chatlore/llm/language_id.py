@@ -23,6 +23,7 @@ from chatlore.llm.common import SLICE_ROWS, slices
 
 TOP = 300
 LONGEST = 3
+EDGE = 1                     # a code point that is no letter
 UNDETERMINED = "und"
 COUNTED = 500_000            # distinct n-grams a task holds before it sends its counts on
 RESULT = "lang_pred string, score double, distance double"
@@ -35,23 +36,23 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text (packed code points, 0 a word edge) and their counts."""
+    """Distinct n-grams of a text (packed code points, with ``EDGE`` for a word's edge) and their counts."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _letters()[c]
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    c = np.where(letter, c, 0).astype(np.int64)
-    c = np.concatenate(([0], c[letter | np.append(True, letter[:-1])], [0]))
-    c = c[np.append(True, (c[1:] != 0) | (c[:-1] != 0))]   # one edge between words
-    found = [c[c != 0]]
+    c = np.where(letter, c, EDGE).astype(np.int64)
+    c = np.concatenate(([EDGE], c[letter | np.append(True, letter[:-1])], [EDGE]))
+    c = c[np.append(True, (c[1:] != EDGE) | (c[:-1] != EDGE))]   # one edge between words
+    found = [c[c != EDGE]]
     for n in range(2, LONGEST + 1):
         inner = np.ones(len(c) - n + 1, bool)
         for k in range(1, n - 1):
-            inner &= c[k:len(c) - n + 1 + k] != 0
+            inner &= c[k:len(c) - n + 1 + k] != EDGE
         code = np.zeros(len(c) - n + 1, np.int64)
         for k in range(n):
             code = code << 21 | c[k:len(c) - n + 1 + k]
-        found.append(code[inner] if n > 2 else code)
+        found.append(code[inner])
     return np.unique(np.concatenate(found), return_counts=True)
 
 

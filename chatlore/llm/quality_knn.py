@@ -76,7 +76,7 @@ class Neighbours:
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** POWER
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300)
-        return np.clip(np.where(total > 0, vote, prior), 0, 1)
+        return np.clip(np.where(total > 0, vote, prior), 0, 1).round(6)    # the products' last bits depend on the block
 
 
 def latent_directions(x: np.ndarray, rank: int) -> np.ndarray:
@@ -124,7 +124,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document, from its text alone.
 
     Null, empty and one- or two-character texts have no terms and get the learned share of label 1.
-    Equal texts get equal scores.  A null ``doc_id`` isn't held out and has no label.  Without labels
+    Equal texts get equal scores (up to the rounding to six digits).  A null ``doc_id`` isn't held out and has no label.  Without labels
     the score is 0.5; an empty table gives no rows.
     """
     rows = id_and_text(docs)
