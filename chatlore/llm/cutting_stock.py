@@ -78,26 +78,27 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
 
 def fractional_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: basic patterns (one per column) and how often the LP uses each."""
-    m = len(sizes)
-    basis = np.diag(capacity // sizes).astype(float)
+    basis = np.diag(capacity // sizes)
     inverse = np.diag(1.0 / np.diag(basis))
-    for step in range(MAX_COLUMNS):
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        amount = inverse @ demand
+    amount = inverse.diagonal() * demand
+    for _ in range(MAX_COLUMNS):
         worth, pattern = best_pattern(inverse.sum(axis=0), sizes, capacity)
         if worth <= 1 + 1e-7:
             break
-        change = inverse @ pattern
+        some = np.flatnonzero(pattern)
+        change = (inverse[:, some] * pattern[some]).sum(axis=1)
         rises = change > 1e-9
-        ratio = np.full(m, np.inf)
-        ratio[rises] = np.maximum(amount[rises], 0) / change[rises]
+        ratio = np.full(len(sizes), np.inf)
+        ratio[rises] = amount[rises] / change[rises]
         leaves = int(ratio.argmin())
         basis[:, leaves] = pattern
         row = inverse[leaves] / change[leaves]
-        inverse -= np.outer(change, row)
+        inverse -= change[:, None] * row
         inverse[leaves] = row
-    return basis.astype(np.int64), np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
+        enters = ratio[leaves]
+        amount = np.maximum(amount - change * enters, 0)
+        amount[leaves] = enters
+    return basis, amount
 
 
 def plan(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -109,14 +110,14 @@ def plan(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[dict[
     s, left = s[order], left[order]
     basis, amount = fractional_patterns(s, left, capacity)
     out: list[tuple[np.ndarray, int]] = []
-    for j in np.argsort(-(amount - np.floor(amount + 1e-9)), kind="stable"):
-        pattern, times = basis[:, j], int(np.floor(amount[j] + 1e-9))
+    for j in np.argsort(-(amount - np.floor(amount + 1e-6)), kind="stable"):
+        pattern, times = basis[:, j], int(np.floor(amount[j] + 1e-6))
         used = pattern > 0
         times = min(times, int((left[used] // pattern[used]).min()))
         if times > 0:
             left -= pattern * times
             out.append((pattern, times))
-    for j in np.argsort(-(amount - np.floor(amount + 1e-9)), kind="stable"):
+    for j in np.argsort(-(amount - np.floor(amount + 1e-6)), kind="stable"):
         pattern = basis[:, j]
         if (pattern <= left).all():
             left -= pattern
