@@ -121,7 +121,7 @@ def unpack(rows, end_id):
         positions = np.frombuffer(r.positions, "<u4")
         assert len(ids) == best_fit.CAPACITY and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
         assert not ids[r.n_tokens:].any()
-        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert positions[a:b].tolist() == list(range(b - a))
             parts.setdefault(doc, []).append((start, ids[a:b]))
     return parts
