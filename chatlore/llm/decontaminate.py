@@ -25,7 +25,7 @@ WINDOW = 8
 SHORTEST = 4                 # template tokens an item must have to be looked for
 ENOUGH = 13                  # tokens (or the whole item) that a match must cover
 FILTER_WINDOWS = 4_000_000   # benchmark windows up to which their hashes (32 MB) are sent to the tasks
-MEMO_TOKENS = 400_000        # speed only
+MEMO_TOKENS = 120_000        # speed only
 
 # Words for numbers and units that become slots.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO_CHUNKS = 400_000        # memo entries per worker; speed only
+MEMO_CHUNKS = 120_000        # memo entries per worker; speed only
 MEMO_CHARS = 40              # longer chunks aren't kept
 PLAIN_CHARS = 400            # longer chunks go to ``tokenizers``
 _END = b"\xff"
