@@ -3,9 +3,12 @@
 A line that stands on many distinct sites is page furniture.  Lines (by hash) that occur at least
 ``SITES`` times, which any such line does, get a HyperLogLog sketch of their sites: sketches are
 built where the lines are, merged by aggregation, and estimated.  Lines whose estimate is near the
-threshold are counted exactly; the others are decided by it.  A document that consists mostly of
-such lines is a copy of a widespread document, not a page with furniture: it stays whole, for the
-near-duplicate stage to judge.
+threshold are counted exactly; the others are decided by it.
+
+``cleaned`` (the pipeline's stage) removes such lines however much of a document they are.  Only in a
+text that stands on several sites as a whole, a line stays that owes its spread to such copies: these
+are left to the near-duplicate stage, which keeps one.  ``digest`` (``op8_line_dedup``) follows its SQL, which counts every site
+and leaves a document whole that would lose more than ``LARGEST_SHARE`` percent.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 SITES = 12                   # distinct sites from which a line is boilerplate
 LOG_K = 12                   # of the sketches: a standard error of 1.04 / sqrt(2 ** LOG_K), 1.6 %
 NEAR = 0.1                   # relative distance from the threshold within which lines are counted
-LARGEST_SHARE = 50           # percent of a document's characters that boilerplate may hold
+LARGEST_SHARE = 50           # percent of a document's characters that boilerplate may hold (``digest`` only)
 
 
 def _rows(docs: DataFrame, site: str) -> DataFrame:
@@ -43,22 +46,42 @@ def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> Da
     return spread.where(~near & (F.col("about") >= sites)).select("key").union(exact.select("key"))
 
 
-def flagged_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
+def copied_lines(docs: DataFrame, keys: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
+    """``key, whole``: lines of texts (by hash) that stand on several sites as a whole, where the line is on
+    fewer than ``sites`` sites when each distinct text counts for one of its sites only (the one of least
+    hash, so that texts of the same sites don't all fall on one)."""
+    lines = (_rows(docs, site).where("site is not null")
+             .select("site", F.xxhash64("text").alias("whole"), F.explode(F.split("text", "\n")).alias("line"))
+             .where(F.trim("line") != "").select("site", "whole", _key(F.col("line")).alias("key")))
+    one = (lines.join(keys, "key", "left_semi").groupBy("key", "whole")
+           .agg(F.min(F.struct(F.xxhash64("site", "whole").alias("order"), "site")).alias("least"),
+                (F.min("site") != F.max("site")).alias("copied")))
+    often = (one.select("key", "least.site").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= sites).select("key"))
+    return one.where("copied").join(often, "key", "left_anti").select("key", "whole")
+
+
+def flagged_lines(docs: DataFrame, site: str = "source", sites: int = SITES, everywhere: bool = False) -> DataFrame:
     """``ref, cut``: per document row that holds boilerplate, the (distinct) hashes of its lines to remove."""
     keys = boilerplate(docs, site, sites)
-    lines = (_rows(docs, site).select(F.xxhash64("doc_id", "text").alias("ref"), F.explode(F.split("text", "\n")).alias("line"))
-             .where(F.trim("line") != "").select("ref", _key(F.col("line")).alias("key")))
-    return lines.join(keys, "key").groupBy("ref").agg(F.collect_set("key").alias("cut"))
+    lines = (_rows(docs, site).select(F.xxhash64("doc_id", "text").alias("ref"), F.xxhash64("text").alias("whole"),
+                                      F.explode(F.split("text", "\n")).alias("line"))
+             .where(F.trim("line") != "").select("ref", "whole", _key(F.col("line")).alias("key")))
+    found = lines.join(keys, "key")
+    if everywhere:
+        found = found.join(copied_lines(docs, keys, site, sites), ["key", "whole"], "left_anti")
+    return found.groupBy("ref").agg(F.collect_set("key").alias("cut"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, everywhere: bool = False) -> DataFrame:
     """``docs`` with ``__n_lines``, ``__n_removed`` and ``__text``, the text without boilerplate lines.
 
     Null text stays null, with no lines; an empty text is one empty line.  Blank lines stay.  Rows of a
     null site lose boilerplate but don't count towards it.  Repeated rows are treated alike.  A document
-    of which more than ``LARGEST_SHARE`` percent would go stays whole.  An empty table stays empty.
+    of which more than ``LARGEST_SHARE`` percent would go stays whole, except with ``everywhere``: then
+    only exact copies keep lines, those of ``copied_lines``.  An empty table stays empty.
     """
-    found = flagged_lines(docs, site, sites).select(F.col("ref").alias("__ref"), F.col("cut").alias("__cut"))
+    found = flagged_lines(docs, site, sites, everywhere).select(F.col("ref").alias("__ref"), F.col("cut").alias("__cut"))
     ref = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.join(found, ref == F.col("__ref"), "left").drop("__ref")
     lines = F.split(F.col("text").cast("string"), "\n")
@@ -66,16 +89,18 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     rows = rows.withColumn("__lines", F.coalesce(F.size(lines), F.lit(0))).withColumn(
         "__kept", F.when(F.col("__cut").isNotNull(), kept))
     left = F.array_join("__kept", "\n")
-    whole = F.col("__kept").isNull() | (100 * F.char_length(left) < (100 - LARGEST_SHARE) * F.char_length("text"))
+    whole = F.col("__kept").isNull()
+    if not everywhere:
+        whole = whole | (100 * F.char_length(left) < (100 - LARGEST_SHARE) * F.char_length("text"))
     return (rows.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("__lines")).cast("long"))
             .withColumn("__n_removed", F.when(whole, 0).otherwise(F.col("__lines") - F.size("__kept")).cast("long"))
             .withColumn("__text", F.when(whole, F.col("text").cast("string")).otherwise(left)).drop("__cut", "__kept", "__lines"))
 
 
 def cleaned(docs: DataFrame, site: str = "source") -> DataFrame:
-    """The documents without boilerplate lines; all columns as they were, ``n_chars`` too where a
-    document lost nothing."""
-    out = without_boilerplate(docs, site)
+    """The documents without boilerplate lines, however much of one those are; all columns as they were,
+    ``n_chars`` too where a document lost nothing."""
+    out = without_boilerplate(docs, site, everywhere=True)
     lost = F.col("__n_removed") > 0
     columns = [F.when(lost, F.col("__text")).otherwise(F.col("text")).alias(c) if c == "text" else
                F.when(lost, F.char_length("__text")).otherwise(F.col(c)).cast(out.schema[c].dataType).alias(c) if c == "n_chars"

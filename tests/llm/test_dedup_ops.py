@@ -125,6 +125,17 @@ def test_line_dedup_near_the_threshold(spark):
     assert clean.schema.names == edge_docs(spark).columns and clean.count() == len(edge_rows())
 
 
+def test_lines_go_from_pages_that_are_mostly_boilerplate(spark):
+    footer = "all rights reserved, terms of use, contact, imprint, privacy"
+    article = "\n".join(f"sentence {k} of an article that many sites print" for k in range(4))
+    rows = [(k, f"own {k}\n{footer}\n{footer}", f"s{k}") for k in range(12)] + [(100 + k, article, f"s{k}") for k in range(15)]
+    rows += [(300, f"{article}\n{footer}", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs).collect()}
+    assert got == {k: f"own {k}" for k in range(12)} | {100 + k: article for k in range(15)} | {300: ""}
+    assert no_python(line_dedup.cleaned(docs))
+
+
 def test_substring_dedup_matches_all_windows(spark):
     rows = copies_and_variants(2)
     r = random.Random(3)
