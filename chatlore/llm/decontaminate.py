@@ -3,7 +3,8 @@
 Texts become template tokens: numbers, measuring units and names turn into typed slots, other
 words are lower-cased, punctuation goes.  Windows of ``WINDOW`` template tokens are joined by hash
 between documents and benchmark items, so a question that was copied with other numbers or names
-still meets its item.  Windows that line up on one diagonal are one match; it counts if it covers
+still meets its item; windows that are mostly slots say too little without their values and are
+hashed with them.  Windows that line up on one diagonal are one match; it counts if it covers
 enough of the item and its slots are consistent: one value of the item always stands for one
 value of the document, and the other way round.
 """
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from chatlore.llm.common import RollingHash, mix, row_ref, slices, written
 
 WINDOW = 8
-SHORTEST = 4                 # template tokens an item must have to be looked for
+SHORTEST = 4                 # template tokens an item must have to be looked for by its template
+EXACT = 3                    # tokens an item must have to be looked for at all, below SHORTEST with its values
 ENOUGH = 13                  # tokens (or the whole item) that a match must cover
 FILTER_WINDOWS = 4_000_000   # benchmark windows up to which their hashes (32 MB) are sent to the tasks
 MEMO_TOKENS = 120_000        # speed only
+READ_CHARS = 200_000         # speed only
 
 # Words for numbers and units that become slots.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
@@ -36,10 +39,13 @@ UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g k
                   "minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents "
                   "percent degree degrees mph kmh kph meter meters metre metres kilometer kilometers kilometre kilometres".split())
 
-_TOKEN = re.compile(r"[.!?\n]|[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
-_END, _WORD, _NUMBER, _UNIT, _CAPITAL = range(5)
+_TOKEN = re.compile(r"[.!?\n:;,\"“”„«»()\[\]]|[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
+_END, _WORD, _NUMBER, _UNIT, _CAPITAL, _BREAK = range(6)
+_ENDS, _BREAKS = ".!?\n", ':;,"“”„«»()[]'
+_MARKS = frozenset(_ENDS + _BREAKS)
 _SLOTS = ("", "", "number", "unit", "name")
 _KIND = np.uint64(7)
+_HEAVY = 1 << 32             # apart from any width: windows that are hashed with their values
 
 
 class _Codes(dict):
@@ -47,8 +53,8 @@ class _Codes(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        if token in ".!?\n":
-            kind = _END
+        if token in _MARKS:
+            kind = _END if token in _ENDS else _BREAK
         elif token[0].isdecimal() or low in NUMBER_WORDS:
             kind = _NUMBER
         elif low in UNITS:
@@ -67,70 +73,127 @@ _CODES = _Codes()
 
 
 class Template:
-    """The template tokens of a text; ``spans`` are the first and last word of each."""
-
-    def __init__(self, text: str | None):
-        self._found = _TOKEN.findall(text or "")
-        code = np.fromiter(map(_CODES.__getitem__, self._found), np.uint64, len(self._found))
-        kind = (code & _KIND).astype(np.int8)
-        opens = np.append(True, kind[:-1] == _END)[:len(kind)]
-        kind[(kind == _CAPITAL) & opens] = _WORD       # a sentence's first word may be any word
-        name = kind == _CAPITAL
-        first = np.flatnonzero((kind != _END) & ~(name & np.append(False, name[:-1])[:len(name)]))
-        self._last = np.append(first[1:], len(kind)) - 1
-        self._first, self.kind = first, kind[first]
+    """One reading of some texts as template tokens; ``owner`` is the number of each one's text."""
+
+    def __init__(self, found: list[str], code: np.ndarray, kind: np.ndarray, join: np.ndarray, at: np.ndarray, owner: np.ndarray):
+        """``join``: the token belongs to the name before it; ``at``: its place in ``found``."""
+        first = np.flatnonzero((kind != _END) & (kind != _BREAK) & ~join)
+        self._found, self.kind = found, kind[first]
+        self._first, self._last = at[first], at[np.append(first[1:], len(kind))[:len(first)] - 1]
+        self.owner = owner[self._first]
         slot = self.kind >= _NUMBER
+        plain = np.where((kind == _END) | (kind == _BREAK), np.uint64(0), code >> np.uint64(3))
+        self._values = mix((np.add.reduceat(plain, first) if len(first) else plain[:0]) + self.kind.astype(np.uint64) * slot)
         self.codes = np.where(slot, mix(self.kind.astype(np.uint64)), mix(code[first] >> np.uint64(3)))
         self.words = np.concatenate(([0], np.cumsum(~slot)))
 
     def __len__(self) -> int:
         return len(self.codes)
 
+    def inside(self, width: int) -> np.ndarray:
+        """Windows that lie in one text."""
+        return self.owner[width - 1:] == self.owner[:max(0, len(self) - width + 1)]
+
+    def light(self, width: int) -> np.ndarray:
+        """Windows of which at least half is words, so that the template alone says enough."""
+        if len(self) < width:
+            return np.empty(0, bool)
+        return (2 * (self.words[width:] - self.words[:-width]) >= width) & (width >= SHORTEST)
+
     def windows(self, width: int) -> np.ndarray:
-        """Hash of each window; 0 where over half of it is slots."""
+        """Hash of each window: of its template, or with the values of its slots where it is not ``light``."""
         if len(self) < width:
             return np.empty(0, np.uint64)
-        h = RollingHash(self.codes).every(width) + np.uint64(width)
-        return np.where(2 * (self.words[width:] - self.words[:-width]) >= width, h, 0)
+        h, light = RollingHash(self.codes).every(width) + np.uint64(width), self.light(width)
+        if not light.all():
+            h = np.where(light, h, RollingHash(self._values).every(width) + np.uint64(width + _HEAVY))
+        return h
 
     def slots(self, start: int, width: int) -> list[str]:
         """``kind:value`` of the slots of a window in order."""
         out = []
         for k in range(start, start + width):
             if self.kind[k] >= _NUMBER:
-                some = [t for t in self._found[self._first[k]:self._last[k] + 1] if t not in ".!?\n"]
+                some = [t for t in self._found[self._first[k]:self._last[k] + 1] if t not in _MARKS]
                 out.append(f"{_SLOTS[self.kind[k]]}:{' '.join(some).lower()}")
         return out
 
 
-def _window_rows(ids: pa.Array, template: Template, widths: list[int], wanted: np.ndarray | None) -> Iterator[tuple]:
+def templates(texts: list[str | None]) -> list[Template]:
+    """The readings of texts: one, in which a capitalised word is a name unless it opens a sentence."""
+    found, sizes = [], []
+    for text in texts:
+        some = _TOKEN.findall(text or "")
+        some.append("\n")
+        found += some
+        sizes.append(len(some))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    code = np.fromiter(map(_CODES.__getitem__, found), np.uint64, len(found))
+    kind = (code & _KIND).astype(np.int8)
+    at = np.arange(len(found))
+    some = kind != _BREAK
+    code0, kind0, at0 = code[some], kind[some], at[some]
+    opens = np.append(True, kind0[:-1] == _END)[:len(kind0)]
+    kind0[(kind0 == _CAPITAL) & opens] = _WORD
+    name = kind0 == _CAPITAL
+    return [Template(found, code0, kind0, name & np.append(False, name[:-1])[:len(name)], at0, owner)]
+
+
+def _window_rows(ids: list[tuple], template: Template, reading: int, widths: list[int], wanted: np.ndarray | None) -> Iterator[tuple]:
+    """Rows of the (wanted) windows of texts with these ``ids``."""
+    start = np.searchsorted(template.owner, np.arange(len(ids)))
     for width in widths:
-        h = template.windows(width)
-        hit = h != 0
+        h = template.windows(width) + np.uint64(reading)
+        hit = template.inside(width)
         if wanted is not None and len(h):
             at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            hit &= wanted[at] == h
+            hit = hit & (wanted[at] == h)
+        light = template.light(width)
         for k in np.flatnonzero(hit).tolist():
-            yield (*ids, int(h[k].view(np.int64)), k, width, template.slots(k, width))
+            text = template.owner[k]
+            yield (*ids[text], reading, int(h[k].view(np.int64)), k - int(start[text]), width, template.slots(k, width), bool(light[k]))
+
+
+def _item_rows(item: int | None, text: str | None) -> Iterator[tuple]:
+    """Rows of an item's readings."""
+    for reading, t in enumerate(templates([text])):
+        if len(t) < EXACT:
+            continue
+        width = min(WINDOW, len(t))
+        light = int(t.light(width).sum())
+        need = min(ENOUGH, len(t)) - width + 1
+        for r in _window_rows([(item,)], t, reading, [width], None):
+            yield (*r, len(t), need, min(need, light) if light else need)
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """``item_id, hash, place, width, slots, tokens`` of every item of ``SHORTEST`` tokens or more."""
+    """``item_id, reading, hash, at, width, values, light, tokens, need, need_light`` of every item of ``EXACT``
+    tokens or more; ``need``: windows that a match must have, or ``need_light`` ones that are light."""
+    names = "item_id reading hash at width values light tokens need need_light".split()
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), *[pa.int32()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                t = Template(text)
-                if len(t) >= SHORTEST:
-                    rows += [(*r, len(t)) for r in _window_rows([item], t, [min(WINDOW, len(t))], None)]
+                rows += _item_rows(item, text)
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                                 names=["item_id", "hash", "at", "width", "values", "tokens"])
+                                                 names=names)
 
     return (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "item_id long, hash long, at int, width int, values array<string>, tokens int"))
+            .mapInArrow(run, "item_id long, reading int, hash long, at int, width int, values array<string>, light boolean, "
+                             "tokens int, need int, need_light int"))
+
+
+def _groups(texts: list[str | None]) -> Iterator[slice]:
+    """Neighbouring texts of some ``READ_CHARS`` together, to be read at once."""
+    start = chars = 0
+    for k, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= READ_CHARS or k == len(texts) - 1:
+            yield slice(start, k + 1)
+            start, chars = k + 1, 0
 
 
 def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | None) -> DataFrame:
@@ -140,15 +203,18 @@ def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc, ref, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ref", "text")), strict=True):
-                rows += _window_rows([doc, ref], Template(text), widths, shared.value)
+            docs, refs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "ref", "text"))
+            for some in _groups(texts) if widths else ():
+                for reading, template in enumerate(templates(texts[some])):
+                    ids = [*zip(docs[some], refs[some], strict=True)]
+                    rows += [r[:-1] for r in _window_rows(ids, template, reading, widths, shared.value)]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                                 names=["doc_id", "ref", "hash", "place", "width", "slots"])
+                                                 names=["doc_id", "ref", "reading", "hash", "place", "width", "slots"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_ref().alias("ref"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, ref long, hash long, place int, width int, slots array<string>"))
+            .mapInArrow(run, "doc_id long, ref long, reading int, hash long, place int, width int, slots array<string>"))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -156,8 +222,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     row and item of the benchmark found in it (equal rows share one).
 
     ``same_slots``: all slot values are the item's own (a copy); otherwise the question was given others.
-    Null, empty or short texts match nothing; nor do items of under ``SHORTEST`` tokens.  The longest
-    of an item's matches in a document is returned, the first of equals.  A null ``doc_id`` stays null;
+    Null or empty texts match nothing; nor do items of under ``EXACT`` tokens.  An item of under
+    ``SHORTEST`` matches with its own values only.  The longest of an item's matches in a document is
+    returned, the first of equals; its tokens are those of the reading in which it was found.  A null ``doc_id`` stays null;
     a null ``item_id`` is an item like others.  Without documents or items there are no rows.
     """
     bench = written(benchmark_windows(items), "benchmark-windows")
@@ -166,24 +233,26 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     if bench.count() <= FILTER_WINDOWS:       # else the join alone sorts the windows out
         wanted = np.unique(np.array([r.hash for r in bench.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
         widths = widths if len(wanted) else []
-    bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item"), "item_id", F.col("hash").alias("key"), "at",
-                         "values", "tokens")
-    hits = document_windows(docs, widths, wanted).join(bench, F.col("hash") == F.col("key"))
+    bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item"), "item_id", F.col("reading").alias("as"),
+                         F.col("hash").alias("key"), "at", "values", "light", "tokens", "need", "need_light")
+    hits = document_windows(docs, widths, wanted).join(bench, (F.col("hash") == F.col("key")) & (F.col("reading") == F.col("as")))
     hits = hits.withColumn("diagonal", F.col("place") - F.col("at"))
-    line = ["doc_id", "ref", "item", "item_id", "diagonal"]
+    line = ["doc_id", "ref", "item", "item_id", "reading", "diagonal"]
     runs = hits.groupBy(*line).agg((F.max("at") - F.min("at") + F.max("width")).alias("tokens_matched"),
-                                   F.count_distinct("at").alias("windows"), F.max("tokens").alias("item_tokens"),
-                                   F.max("width").alias("width"),
+                                   F.count_distinct("at").alias("windows"),
+                                   F.count_distinct(F.when(F.col("light"), F.col("at"))).alias("light_windows"),
+                                   F.max("need").alias("need"), F.max("need_light").alias("need_light"),
+                                   F.max("tokens").alias("item_tokens"),
                                    F.flatten(F.collect_set(F.arrays_zip("values", "slots"))).alias("pairs"))
     pairs = F.array_distinct("pairs")
     one_to_one = ((F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["values"]))))
                   & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["slots"])))))
-    enough = F.col("windows") >= F.least(F.lit(ENOUGH), F.col("item_tokens")) - F.col("width") + 1
+    enough = (F.col("windows") >= F.col("need")) | (F.col("light_windows") >= F.col("need_light"))
     good = runs.where(enough & one_to_one).select(
         *line, "tokens_matched", "item_tokens", F.size(pairs).alias("n_slots"),
         F.forall(pairs, lambda p: p["values"] == p["slots"]).alias("same_slots"))
     best = F.max_by(F.struct("tokens_matched", "item_tokens", "n_slots", "same_slots"),
-                    F.struct("tokens_matched", -F.col("diagonal"))).alias("best")
+                    F.struct("tokens_matched", -F.col("reading"), -F.col("diagonal"))).alias("best")
     return good.groupBy("doc_id", "ref", "item", "item_id").agg(best).select("doc_id", "ref", "item_id", "best.*")
 
 

@@ -196,6 +196,20 @@ def test_decontamination(spark):
     assert decontaminate.decontaminated(edge_docs(spark), items).columns == edge_docs(spark).columns
 
 
+def found_items(spark, texts, items):
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, bench).collect()}
+
+
+def test_decontamination_of_slot_heavy_and_short_items(spark):
+    items = ["What is 3 + 4 + 5 + 6 + 7?", "Convert 5 km 3 m 20 cm to mm", "Add 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13 and 14 to 99",
+             "solve world hunger", "A shop has 3 m 20 cm 5 mm of 2 kg rope for the sailors who left the harbour"]
+    texts = [f"some words. {i} more words" for i in items] + ["What is 1 + 4 + 5 + 6 + 7?", "Convert 6 km 3 m 20 cm to mm", "solve 5 world hunger",
+             "A shop has 4 m 30 cm 6 mm of 7 kg rope for the sailors who left the harbour"]
+    assert set(found_items(spark, texts, items)) == {(k, k) for k in range(5)} | {(8, 4)}
+
+
 def test_decontamination_without_the_filter(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     filtered = sorted(decontaminate.matches(docs, items).collect())
