@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become template tokens: numbers, measuring units and names turn into typed slots, other
-words are lower-cased, punctuation goes.  Windows of ``WINDOW`` template tokens are joined by hash
+words are lower-cased, punctuation goes.  Every text is read in three ways, as what a capitalised
+word is can't be told (see ``templates``).  Windows of ``WINDOW`` template tokens are joined by hash
 between documents and benchmark items, so a question that was copied with other numbers or names
 still meets its item; windows that are mostly slots say too little without their values and are
 hashed with them.  Windows that line up on one diagonal are one match; it counts if it covers
@@ -120,7 +121,12 @@ class Template:
 
 
 def templates(texts: list[str | None]) -> list[Template]:
-    """The readings of texts: one, in which a capitalised word is a name unless it opens a sentence."""
+    """The readings of texts, which differ in what a capitalised word is.
+
+    0: a name, but a word where it opens a sentence; 1: always a name, which any mark ends; 2: always
+    a word.  What a token is in 2 doesn't depend on what precedes it or on its case, so a copy after a
+    colon or in lower case is met there; in 1 other names are met that open sentences.
+    """
     found, sizes = [], []
     for text in texts:
         some = _TOKEN.findall(text or "")
@@ -135,8 +141,12 @@ def templates(texts: list[str | None]) -> list[Template]:
     code0, kind0, at0 = code[some], kind[some], at[some]
     opens = np.append(True, kind0[:-1] == _END)[:len(kind0)]
     kind0[(kind0 == _CAPITAL) & opens] = _WORD
-    name = kind0 == _CAPITAL
-    return [Template(found, code0, kind0, name & np.append(False, name[:-1])[:len(name)], at0, owner)]
+    out = []
+    for c, k, a in ((code0, kind0, at0), (code, kind, at)):
+        name = k == _CAPITAL
+        out.append(Template(found, c, k, name & np.append(False, name[:-1])[:len(name)], a, owner))
+    literal = np.where(kind == _CAPITAL, _WORD, kind).astype(np.int8)
+    return [*out, Template(found, code, literal, np.zeros(len(kind), bool), at, owner)]
 
 
 def _window_rows(ids: list[tuple], template: Template, reading: int, widths: list[int], wanted: np.ndarray | None) -> Iterator[tuple]:
@@ -155,9 +165,10 @@ def _window_rows(ids: list[tuple], template: Template, reading: int, widths: lis
 
 
 def _item_rows(item: int | None, text: str | None) -> Iterator[tuple]:
-    """Rows of an item's readings."""
-    for reading, t in enumerate(templates([text])):
-        if len(t) < EXACT:
+    """Rows of an item's readings; one that reads like the last, literal one would find nothing more."""
+    read = templates([text])
+    for reading, t in enumerate(read):
+        if len(t) < EXACT or (reading < 2 and np.array_equal(t.codes, read[2].codes)):
             continue
         width = min(WINDOW, len(t))
         light = int(t.light(width).sum())

@@ -210,6 +210,15 @@ def test_decontamination_of_slot_heavy_and_short_items(spark):
     assert set(found_items(spark, texts, items)) == {(k, k) for k in range(5)} | {(8, 4)}
 
 
+def test_decontamination_whatever_stands_before_a_copy(spark):
+    items = ["What is the capital of France?", "Tom has 5 apples. Tom eats 2. Maria takes 1. How many apples does Tom have?"]
+    texts = ["Q: What is the capital of France?", "Question: What is the capital of France?", 'he asked "What is the capital of France"',
+             "well, What is the capital of France", "so what is the capital of france", "WHAT IS THE CAPITAL OF FRANCE?",
+             "Q: Ann has 7 apples. Ann eats 3. Bob takes 4. How many apples does Ann have?", "What was the capital of France?",
+             "Q: " + items[1].lower()]
+    assert set(found_items(spark, texts, items)) == {(k, 0) for k in range(6)} | {(6, 1), (8, 1)}
+
+
 def test_decontamination_without_the_filter(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     filtered = sorted(decontaminate.matches(docs, items).collect())
