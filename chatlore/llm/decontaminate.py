@@ -6,8 +6,10 @@ word is can't be told (see ``templates``).  Windows of ``WINDOW`` template token
 between documents and benchmark items, so a question that was copied with other numbers or names
 still meets its item; windows that are mostly slots say too little without their values and are
 hashed with them.  Windows that line up on one diagonal are one match; it counts if it covers
-enough of the item and its slots are consistent: one value of the item always stands for one
-value of the document, and the other way round.
+enough of the item and its slots are consistent: one name of the item always stands for one name
+of the document, or at most ``WRONG`` percent of the item's tokens are not matched with their own
+values.  Equal numbers may become different ones, as they may count different things (but not where
+names are read as words, which is for copies), and new values may coincide.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ WINDOW = 8
 SHORTEST = 4                 # template tokens an item must have to be looked for by its template
 EXACT = 3                    # tokens an item must have to be looked for at all, below SHORTEST with its values
 ENOUGH = 13                  # tokens (or the whole item) that a match must cover
+WRONG = 5                    # percent of an item's tokens that may be missing or have other values without being consistent
+LITERAL = 2                  # the reading without names
 FILTER_WINDOWS = 4_000_000   # benchmark windows up to which their hashes (32 MB) are sent to the tasks
 MEMO_TOKENS = 120_000        # speed only
 READ_CHARS = 200_000         # speed only
@@ -168,20 +172,24 @@ def _item_rows(item: int | None, text: str | None) -> Iterator[tuple]:
     """Rows of an item's readings; one that reads like the last, literal one would find nothing more."""
     read = templates([text])
     for reading, t in enumerate(read):
-        if len(t) < EXACT or (reading < 2 and np.array_equal(t.codes, read[2].codes)):
+        if len(t) < EXACT or (reading != LITERAL and np.array_equal(t.codes, read[LITERAL].codes)):
             continue
+        strict = reading == LITERAL and not np.array_equal(t.codes, read[0].codes)
         width = min(WINDOW, len(t))
         light = int(t.light(width).sum())
         need = min(ENOUGH, len(t)) - width + 1
         for r in _window_rows([(item,)], t, reading, [width], None):
-            yield (*r, len(t), need, min(need, light) if light else need)
+            at = r[3]
+            places = (at + np.flatnonzero(t.kind[at:at + width] >= _NUMBER)).tolist()
+            yield (*r, len(t), need, min(need, light) if light else need, places, strict)
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """``item_id, reading, hash, at, width, values, light, tokens, need, need_light`` of every item of ``EXACT``
-    tokens or more; ``need``: windows that a match must have, or ``need_light`` ones that are light."""
-    names = "item_id reading hash at width values light tokens need need_light".split()
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), *[pa.int32()] * 3]
+    """``item_id, reading, hash, at, width, values, light, tokens, need, need_light, places, strict`` of every item of ``EXACT``
+    tokens or more; ``need``: windows that a match must have, or ``need_light`` ones that are light;
+    ``places``: of the slots in the item; ``strict``: its names are read as words here."""
+    names = "item_id reading hash at width values light tokens need need_light places strict".split()
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -194,7 +202,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
     return (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(run, "item_id long, reading int, hash long, at int, width int, values array<string>, light boolean, "
-                             "tokens int, need int, need_light int"))
+                             "tokens int, need int, need_light int, places array<int>, strict boolean"))
 
 
 def _groups(texts: list[str | None]) -> Iterator[slice]:
@@ -245,7 +253,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         wanted = np.unique(np.array([r.hash for r in bench.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
         widths = widths if len(wanted) else []
     bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item"), "item_id", F.col("reading").alias("as"),
-                         F.col("hash").alias("key"), "at", "values", "light", "tokens", "need", "need_light")
+                         F.col("hash").alias("key"), "at", "places", "values", "light", "tokens", "need", "need_light", "strict")
     hits = document_windows(docs, widths, wanted).join(bench, (F.col("hash") == F.col("key")) & (F.col("reading") == F.col("as")))
     hits = hits.withColumn("diagonal", F.col("place") - F.col("at"))
     line = ["doc_id", "ref", "item", "item_id", "reading", "diagonal"]
@@ -254,12 +262,17 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                                    F.count_distinct(F.when(F.col("light"), F.col("at"))).alias("light_windows"),
                                    F.max("need").alias("need"), F.max("need_light").alias("need_light"),
                                    F.max("tokens").alias("item_tokens"),
-                                   F.flatten(F.collect_set(F.arrays_zip("values", "slots"))).alias("pairs"))
-    pairs = F.array_distinct("pairs")
-    one_to_one = ((F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["values"]))))
-                  & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["slots"])))))
+                                   F.max("width").alias("width"), F.max("strict").alias("strict"),
+                                   F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("places", "values", "slots")))).alias("places"))
+    runs = runs.withColumn("pairs", F.array_distinct(F.transform("places", lambda p: F.struct(p["values"].alias("values"), p["slots"].alias("slots")))))
+    pairs = F.col("pairs")
+    names = F.filter(pairs, lambda p: F.col("strict") | F.startswith(p["values"], F.lit("name:")))
+    one_name = F.size(names) == F.size(F.array_distinct(F.transform(names, lambda p: p["values"])))
+    wrong = F.size(F.array_distinct(F.transform(F.filter("places", lambda p: p["values"] != p["slots"]), lambda p: p["places"])))
+    covered = F.col("windows") + F.col("width") - 1         # tokens at least
+    consistent = one_name | (100 * (F.col("item_tokens") - covered + wrong) <= WRONG * F.col("item_tokens"))
     enough = (F.col("windows") >= F.col("need")) | (F.col("light_windows") >= F.col("need_light"))
-    good = runs.where(enough & one_to_one).select(
+    good = runs.where(enough & consistent).select(
         *line, "tokens_matched", "item_tokens", F.size(pairs).alias("n_slots"),
         F.forall(pairs, lambda p: p["values"] == p["slots"]).alias("same_slots"))
     best = F.max_by(F.struct("tokens_matched", "item_tokens", "n_slots", "same_slots"),

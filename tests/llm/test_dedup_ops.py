@@ -219,6 +219,17 @@ def test_decontamination_whatever_stands_before_a_copy(spark):
     assert set(found_items(spark, texts, items)) == {(k, 0) for k in range(6)} | {(6, 1), (8, 1)}
 
 
+def test_decontamination_with_some_slots_changed(spark):
+    items = ["at noon the carpenter Tom Hill carries long oak boards over the bridge and then the carpenter Tom Hill saws them by the "
+             "river while the rain falls on the roof of the old mill where nobody ever sees how the carpenter Tom Hill works",
+             "a child takes 2 apples to the school every morning for 2 days and eats them there, how many apples is that",
+             "a child takes 5 apples and then takes 7 pears to the school every morning, how many is that"]
+    texts = [items[0].replace("Tom Hill saws", "Ann saws"), items[1].replace("2 apples", "3 apples").replace("2 days", "5 days"),
+             items[2].replace("5", "6").replace("7", "6"), items[1].replace("2 days", "4 days")]
+    found = found_items(spark, texts, items)
+    assert set(found) == {(0, 0), (1, 1), (2, 2), (3, 1)} and not any(r.same_slots for r in found.values())
+
+
 def test_decontamination_without_the_filter(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     filtered = sorted(decontaminate.matches(docs, items).collect())
