@@ -3,7 +3,8 @@
 The plain detectors run on the text as it is.  Then transducers rewrite it, keeping for every
 character they write the source characters it stands for: look-alike letters, wide forms and any
 script's digits become ASCII and invisible characters go; "[at]", "(dot)", "name at host dot com"
-become signs; runs of spelled digits become digits.  The detectors run again, and what they find
+become signs, in any mix with signs ("name at host.com", too); said addresses and runs of spelled
+digits become digits, a run of few spelled ones if a detector accepts it.  The detectors run again, and what they find
 is mapped back.  A found span that overlaps a plain one of its kind adds nothing.
 """
 
@@ -42,11 +43,14 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 # bounded white space keeps these linear
 _SIGN = re.compile(r"[\[({<]\s{0,3}(at|dot|@|\.)\s{0,3}[\])}>]", re.IGNORECASE)
-_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at> {1,3}at {1,3})[A-Za-z0-9-]+(?:(?: {1,3}dot {1,3}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+_SAID = re.compile(r"(?:(?P<at> {1,3}at {1,3})|@)[A-Za-z0-9-]+(?:(?: {1,3}dot {1,3}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 _DOT_WORD = re.compile(r" {1,3}dot {1,3}", re.IGNORECASE)
 _DIGIT_WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _SPELLED = re.compile(rf"(?:\bplus[ -]{{1,3}})?\b(?:{_DIGIT_WORD}|[0-9]+)(?:[ ,-]{{1,3}}(?:{_DIGIT_WORD}|[0-9]+))+\b", re.IGNORECASE)
-_ANY_DIGIT_WORD = re.compile(rf"\b{_DIGIT_WORD}[ ,-]{{1,3}}(?:{_DIGIT_WORD}|[0-9]+)[ ,-]", re.IGNORECASE)
+_ANY_DOT_WORD = re.compile(rf"{_DIGIT_WORD}\.|\.{_DIGIT_WORD}")
+_GROUP = rf"(?:[0-9]{{1,3}}|{_DIGIT_WORD}(?:[ -]{_DIGIT_WORD}){{0,2}})"
+_SAID_IP = re.compile(rf"(?<![0-9.])\b{_GROUP}(?:(?: {{1,3}}dot {{1,3}}|\.){_GROUP}){{3}}\b", re.IGNORECASE)
+_ANY_DIGIT_WORD = re.compile(rf"\b{_DIGIT_WORD}[ ,-]{{1,3}}(?:{_DIGIT_WORD}|[0-9])|[0-9][ ,-]{{1,3}}{_DIGIT_WORD}\b", re.IGNORECASE)
 _SINGLES = {**LOOK_ALIKES, **dict.fromkeys(DASHES, "-"), **dict.fromkeys(DOTS, "."), **dict.fromkeys(SPACES, " "),
             **dict.fromkeys(INVISIBLE, ""), **{chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}}
 _OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.decimal(c, None) is not None)
@@ -135,12 +139,26 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _said_signs(text: str) -> list[tuple[int, int, str]]:
-    out = []
+    out, end = [], 0
     for m in _SAID.finditer(text):
-        dots = list(_DOT_WORD.finditer(text, m.end("at"), m.end()))
-        if dots:                                  # "at" alone is an ordinary word
+        if m.start() <= end or text[m.start() - 1] not in _LOCAL:
+            continue
+        end = m.end()
+        dots = list(_DOT_WORD.finditer(text, m.start(), end))
+        last = m[0].rpartition(".")[2]
+        if m["at"] and (dots or (len(last) > 1 and last.isalpha() and (last.islower() or last.isupper()))):   # "at 10.30" is a time
             out.append((*m.span("at"), "@"))
-            out += [(*d.span(), ".") for d in dots]
+        out += [(*d.span(), ".") for d in dots]
+    return out
+
+
+def _said_ips(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in _SAID_IP.finditer(text):
+        parts = [[DIGIT_WORDS.get(d, d) for d in re.split("[ -]", p)] for p in re.split(r" {1,3}dot {1,3}|\.", m[0].lower())]
+        new = ".".join(map("".join, parts))
+        if new != m[0] and any(k == 1 for k, _, _ in detect(new)):
+            out.append((*m.span(), new))
     return out
 
 
@@ -148,8 +166,10 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPELLED.finditer(text):
         parts = re.split("[ ,-]+", m[0].lower())
-        if sum(p in DIGIT_WORDS for p in parts) >= LEAST_DIGIT_WORDS:
-            out.append((*m.span(), "".join("+" if p == "plus" else DIGIT_WORDS.get(p, p) for p in parts)))
+        spelled = sum(p in DIGIT_WORDS for p in parts)
+        new = "".join("+" if p == "plus" else DIGIT_WORDS.get(p, p) for p in parts)
+        if spelled >= LEAST_DIGIT_WORDS or (spelled and detect("+" * text.startswith("+", m.start() - 1) + new)):
+            out.append((*m.span(), new))
     return out
 
 
@@ -158,9 +178,10 @@ def normalise(text: str) -> Rewritten | None:
     out = None
     if not text.isascii() and (spans := _plain_letters(text)):
         out = Rewritten.of(text).replace(spans)
-    for wanted, transducer in ((_SIGN, _signs), (_SAID, _said_signs), (_ANY_DIGIT_WORD, _spelled_digits)):
+    for wanted, transducer in ((_SIGN, _signs), (_SAID, _said_signs), (_SAID_IP, _said_ips), (_ANY_DIGIT_WORD, _spelled_digits)):
         now = out.text if out else text
-        if wanted is _SAID and "dot" not in now.lower():
+        low = now.lower() if wanted in (_SAID, _SAID_IP) else ""
+        if low and " dot " not in low and (" at " not in low if wanted is _SAID else not _ANY_DOT_WORD.search(low)):
             continue
         if wanted.search(now) and (spans := transducer(now)):
             out = (out or Rewritten.of(text)).replace(spans)

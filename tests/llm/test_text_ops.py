@@ -170,6 +170,31 @@ def test_disguises_map_back_to_the_source(text, want):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in spans] == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("mail john [at] example dot com now", [("email", "john [at] example dot com")]),
+    ("mail john@example dot com now", [("email", "john@example dot com")]),
+    ("mail john at example (dot) com now", [("email", "john at example (dot) com")]),
+    ("mail john at example.com now", [("email", "john at example.com")]),
+    ("ping 192 dot 168 dot 0 dot 1 now", [("ip", "192 dot 168 dot 0 dot 1")]),
+    ("ping 192.168 dot zero.1 now", [("ip", "192.168 dot zero.1")]),
+    ("call +1 five five five 555 1212 now", [("phone", "+1 five five five 555 1212")]),
+    ("card 4111 1111 1111 one one one one", [("card", "4111 1111 1111 one one one one")]),
+    ("he came at 10.30 and left at noon.Then two 300 km", []),
+    ("chapter 1 dot 2 dot 3, 999 dot 1 dot 1 dot 1, one 2 three", []),
+])
+def test_mixed_disguises_map_back_to_the_source(text, want):
+    plain, spans = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in spans] == want
+
+
+def test_mixed_disguises_are_linear_on_hostile_texts():
+    import time
+    for text in ("a@b dot " * 3000, "1 dot " * 5000, "one." * 5000, " at a.b" * 4000, "1 one " * 4000, "one-" * 5000 + " dot ", "@" * 20000 + " at "):
+        t = time.process_time()
+        pii.find(text)
+        assert time.process_time() - t < 2
+
+
 def test_pii_is_linear_on_hostile_texts():
     import time
     for text in ("a" * 20000, "1" * 20000, "1.1." * 5000, "+1" + "(" * 20000, " " * 20000, "(at" * 7000, "a at b dot " * 2000):
