@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlore.llm import (best_fit, cutting_stock, decontaminate, language_id, line_dedup, ngram_join, pii, quality_knn,
-                          quality_rules, substring_dedup)
+from chatlore.llm import (align, best_fit, byte_bpe, cutting_stock, decontaminate, language_id, line_dedup, manifest, ngram_join,
+                          pii, quality_knn, quality_rules, substring_dedup)
 from chatlore.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.digest(best_fit.pack_matrices(table(spark, sf_dir, "documents")))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -62,9 +74,13 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit": op10_best_fit,
+    "op11_align": op11_align,
+    "op12_manifest": op12_manifest,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op12_manifest": manifest.ORACLE,
 }
