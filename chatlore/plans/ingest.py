@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chatlore.config import Params
 from chatlore.operators import documents as D
 from chatlore.operators import embed as E
-from chatlore.sources.vector_index import VectorIndex, content_hash
+from chatlore.sources.vector_index import VectorIndex, content_hash, dedup_batch
 
 
 def embedded_documents(docs: DataFrame, params: Params = Params(), embedder=None,
@@ -39,6 +39,7 @@ def ingest(messages: DataFrame, replies: DataFrame, users: DataFrame, index: Vec
     """
     docs = D.load_documents(messages, replies, users, params, on_error=on_error)
     docs = docs.withColumn("content_hash", content_hash(F.col("text"), F.col("metadata")))
+    docs = dedup_batch(docs.select("id", "text", "metadata", "content_hash"))   # before the model and without vectors
     if skip_unchanged and index.current_version() is not None:
         docs = index.changed(docs)
     embedded = embedded_documents(docs.drop("content_hash"), params, embedder)
@@ -52,4 +53,4 @@ def ingest(messages: DataFrame, replies: DataFrame, users: DataFrame, index: Vec
             F.max(F.size("embedding")).alias("dimensions"),
         )
     ok = embedded.where(F.col("embed_status") == "ok").drop("embed_status", "embed_error")
-    return index.upsert(ok)
+    return index.upsert(ok, unique=True)

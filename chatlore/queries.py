@@ -351,14 +351,13 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     and re-stitch their (older) threads; the index ends equal to a full load."""
     work = scratch_path(spark, f"ingest-stream-{uuid.uuid4().hex}")
     msgs, reps = views.messages(spark, sf), views.replies(spark, sf)
-    msgs.write.parquet(f"{work}/messages")
-    reps.where(F.col("ts").endswith(".000000") | F.col("ts").endswith(".000001")) \
-        .write.parquet(f"{work}/replies")
+    early = F.col("ts").endswith(".000000") | F.col("ts").endswith(".000001")
+    chat.land_messages(msgs, f"{work}/messages")
+    chat.land_replies(reps.where(early), f"{work}/replies")
     index = VectorIndex(spark, f"{work}/index")
     users = views.users(spark, sf)
     S_ingest.start(spark, f"{work}/messages", f"{work}/replies", users, index, work)
-    reps.where(~(F.col("ts").endswith(".000000") | F.col("ts").endswith(".000001"))) \
-        .write.mode("append").parquet(f"{work}/replies")
+    chat.land_replies(reps.where(~early), f"{work}/replies")
     S_ingest.start(spark, f"{work}/messages", f"{work}/replies", users, index, work)
     return documents.flatten(index.read())
 

@@ -1,7 +1,7 @@
 """Landed chat data: channel messages, thread replies, user directory (A1, A4, A5).
 
-Messages are stored partitioned by ``channel_id`` so that target selection
-(A2) prunes partitions at the scan.  Raw JSON landings keep the difference
+Messages are stored partitioned by ``channel_id`` and day, so that target selection
+(A2) and incremental runs (J7) prune partitions at the scan.  Raw JSON landings keep the difference
 between an absent key and an explicit null, which the message semantics need:
 ``thread_ts`` counts by key presence, a missing ``text`` is ``""``.
 """
@@ -10,8 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlore import schemas
+from chatlore.functions.text import ts_order
+
+#: Partitions named in a scan's filter; more are left to the join that follows.
+MAX_PLACES = 1_000
+NO_DAY, ELSEWHERE = "none", "elsewhere"
+DAY = T.StructField("day", T.StringType(), True)
 
 
 def _has_key(raw: F.Column, key: str) -> F.Column:
@@ -45,18 +52,52 @@ def with_has_thread(messages: DataFrame) -> DataFrame:
     return messages.withColumn("has_thread", F.col("thread_ts").isNotNull())
 
 
+def day_of(ts: F.Column | str) -> F.Column:
+    """The number of the day of a message ts as a partition value."""
+    return F.coalesce(F.floor(ts_order(ts) / 86_400).cast("string"), F.lit(NO_DAY))
+
+
+def message_day() -> F.Column:
+    """The landing partition of a message: the day of its ts, or ``ELSEWHERE`` if it names a thread that
+    is not its own ts (such a message belongs to the thread's day as well)."""
+    other = F.col("thread_ts").isNotNull() & ~F.col("thread_ts").eqNullSafe(F.col("ts"))
+    return F.when(other, F.lit(ELSEWHERE)).otherwise(day_of("ts"))
+
+
 def land_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
-    """Write messages partitioned by channel so later scans prune by target; key presence
-    (``has_thread``) is part of the landing."""
-    with_has_thread(messages).write.mode(mode).partitionBy("channel_id").parquet(path)
+    """Write messages partitioned by channel and day, so that later scans prune by target and by the
+    threads that changed; key presence (``has_thread``) is part of the landing."""
+    (with_has_thread(messages).withColumn("day", message_day())
+     .write.mode(mode).partitionBy("channel_id", "day").parquet(path))
+
+
+def land_replies(replies: DataFrame, path: str, mode: str = "append") -> None:
+    """Write replies partitioned by channel and day of their thread."""
+    replies.withColumn("day", day_of("thread_ts")).write.mode(mode).partitionBy("channel_id", "day").parquet(path)
+
+
+def _landed(spark: SparkSession, path: str, schema: T.StructType, touched: DataFrame | None) -> DataFrame:
+    """A landing, with or without day partitions; ``touched`` (``channel_id, key_ts``) narrows it to the
+    partitions that can hold rows of those keys."""
+    rows = spark.read.schema(T.StructType([*schema.fields, DAY])).parquet(path)
+    if touched is None:
+        return rows.drop("day")
+    found = touched.select("channel_id", day_of("key_ts").alias("day")).distinct().limit(MAX_PLACES + 1).collect()
+    if len(found) <= MAX_PLACES:     # beyond, the join that follows does all the work
+        channels, days = {r.channel_id for r in found}, {r.day for r in found} | {ELSEWHERE}
+        # a landing without partitions has no day
+        rows = rows.where(F.col("channel_id").isin(sorted(channels)) & (F.col("day").isin(sorted(days)) | F.col("day").isNull()))
+    return rows.drop("day")
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.LANDED_MESSAGES).parquet(path)
+def read_messages(spark: SparkSession, path: str, touched: DataFrame | None = None) -> DataFrame:
+    """Landed messages; in landings without ``has_thread`` a thread exists iff ``thread_ts`` is set."""
+    rows = _landed(spark, path, schemas.LANDED_MESSAGES, touched)
+    return rows.withColumn("has_thread", F.coalesce("has_thread", F.col("thread_ts").isNotNull()))
 
 
-def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REPLIES).parquet(path)
+def read_replies(spark: SparkSession, path: str, touched: DataFrame | None = None) -> DataFrame:
+    return _landed(spark, path, schemas.REPLIES, touched)
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Vector index upsert properties and top-k search semantics."""
 
+import os
 import uuid
 
 import numpy as np
@@ -222,3 +223,79 @@ def test_topk_properties(spark, seed, n, k):
         assert [h.rank for h in hits] == list(range(1, min(k, n) + 1))
         assert all(a.distance <= b.distance for a, b in zip(hits, hits[1:]))
         assert all(a.id < b.id for a, b in zip(hits, hits[1:]) if a.distance == b.distance)
+
+
+def placed_docs(spark, rows):
+    """rows: (id, text, channel, ts); the id None is the loader's digest."""
+    from chatlore.functions.text import doc_id
+
+    df = spark.createDataFrame([(i, t, {"author": "A", "slack_url": None, "channel_id": c, "timestamp": ts}, [1.0]) for i, t, c, ts in rows],
+                               "id string, text string, metadata struct<author:string,slack_url:string,channel_id:string,"
+                               "timestamp:string>, embedding array<float>")
+    return df.withColumn("id", F.coalesce("id", doc_id("metadata.channel_id", "metadata.timestamp")))
+
+
+def index_files(index):
+    root = index.path.replace("file:", "") + "/data"
+    return {os.path.relpath(os.path.join(d, f), root): os.stat(os.path.join(d, f)).st_mtime_ns
+            for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+DAY = 86_400
+
+
+def test_small_upsert_leaves_other_partitions_alone(spark):
+    index = fresh(spark)
+    index.upsert(placed_docs(spark, [(None, f"{c}{d}{k}", c, f"{DAY * d + k}.5") for c in ("C1", "C2") for d in range(4) for k in range(3)]))
+    before = index_files(index)
+    assert len({os.path.dirname(f) for f in before}) == 8
+    assert index.upsert(placed_docs(spark, [(None, "new", "C2", f"{DAY * 2 + 1}.5"), (None, "more", "C2", f"{DAY * 2 + 9}.5")])) == 2
+    after = index_files(index)
+    assert {f: after[f] for f in before} == before                      # nothing rewritten in place
+    assert {os.path.dirname(f) for f in after.keys() - before.keys()} == {"w=2/p_channel=c-C2/p_day=2"}
+    assert index.count() == 25 and index.read(1).count() == 24
+    rows = {(r.metadata.channel_id, r.metadata.timestamp): r.text for r in index.read().collect()}
+    assert rows["C2", f"{DAY * 2 + 1}.5"] == "new" and rows["C1", f"{DAY * 2 + 1}.5"] == "C121"
+    opened = index.read().inputFiles()                                  # the superseded partition is not opened
+    assert not any("w=1/p_channel=c-C2/p_day=2" in f for f in opened) and len({os.path.dirname(f) for f in opened}) == 8
+
+
+def test_old_versions_can_be_dropped(spark):
+    index = fresh(spark)
+    for text in ("a", "b", "c"):
+        index.upsert(placed_docs(spark, [(None, text, "C1", "5.0")]))
+    index.upsert(placed_docs(spark, [(None, "other", "C2", "5.0"), (None, "third", "C2", f"{DAY}.0")]))
+    index.upsert(placed_docs(spark, [(None, "other 2", "C2", "5.0")]))
+    os.makedirs(index.path.replace("file:", "") + "/data/w=9/p_channel=c-x")   # a failed upsert
+    assert index.drop_versions(keep=2) == [1, 2, 3] and index.versions() == [4, 5]
+    assert {os.path.dirname(f) for f in index_files(index)} == {"w=3/p_channel=c-C1/p_day=0", "w=4/p_channel=c-C2/p_day=0",
+                                                               "w=4/p_channel=c-C2/p_day=1", "w=5/p_channel=c-C2/p_day=0"}
+    assert sorted(r.text for r in index.read(4).collect()) == ["c", "other", "third"]
+    assert index.drop_versions() == [4] and sorted(r.text for r in index.read().collect()) == ["c", "other 2", "third"]
+    assert {os.path.dirname(f) for f in index_files(index)} == {"w=3/p_channel=c-C1/p_day=0", "w=4/p_channel=c-C2/p_day=1",
+                                                               "w=5/p_channel=c-C2/p_day=0"}
+    assert index.upsert(placed_docs(spark, [(None, "d", "C1", "5.0")])) == 6 and index.count() == 3
+
+
+def test_ids_may_move_between_partitions(spark):
+    """Ids that are no digest of their place are looked for everywhere; null and odd channels are places too."""
+    index = fresh(spark)
+    index.upsert(placed_docs(spark, [("x", "1", "C1", "5.0"), ("y", "2", None, None), ("z", "3", "odd/ channel*", "bad"), (None, "4", "C1", "7.0")]))
+    assert {r.p_channel[:2] for r in index.manifest().collect()} == {"c-", "no", "h-"}
+    index.upsert(placed_docs(spark, [("x", "1b", "C2", f"{DAY * 3}.0"), ("z", "3b", None, "1.0")]))
+    assert {r.id if len(r.id) == 1 else "digest": r.text for r in index.read().collect()} == {"x": "1b", "y": "2", "z": "3b", "digest": "4"}
+    flags = {(r.p_channel, r.p_day): r.by_place for r in index.manifest().collect()}
+    assert flags["c-C1", "0"] and not flags["c-C2", "3"]
+
+
+def test_many_folders_are_read_by_a_join(spark, monkeypatch):
+    from chatlore.sources import vector_index
+
+    index = fresh(spark)
+    for k in range(3):
+        index.upsert(placed_docs(spark, [(None, f"{k}{d}", "C1", f"{DAY * d}.0") for d in range(k, 5)]))
+    want = sorted(r.text for r in index.read().collect())
+    monkeypatch.setattr(vector_index, "MAX_FOLDERS", 2)
+    assert sorted(r.text for r in index.read().collect()) == want == ["00", "11", "22", "23", "24"]
+    index.upsert(placed_docs(spark, [(None, "new", "C1", f"{DAY * 2}.0"), ("moved", "m", "C9", "1.0")]))
+    assert sorted(r.text for r in index.read().collect()) == ["00", "11", "23", "24", "m", "new"]
