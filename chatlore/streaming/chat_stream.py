@@ -4,25 +4,34 @@ Two chained queries, both restartable from their checkpoints:
 
 1. ``turns``: the event stream (A8) -> routing, cleanup, small talk, keys ->
    ``foreachBatch``: retrieval and prompt/answer for the batch's distinct
-   questions against the index snapshot current at that batch, published
-   once as ``<work>/turns/batch=<id>`` (staged, then renamed into place; a
-   replayed batch finds it and writes nothing).
+   questions against the index snapshot current at that batch, appended as
+   ``<work>/turns/batch=<id>``.
 2. ``replies``: the turns stream -> ``applyInPandasWithState`` keyed by
    session: turns of a session in arrival order (then ts), memory appended
    after every success, greetings and failures leave it unchanged (J3).  A
-   history-aware generator runs here, with the session's messages.  Replies
-   go to a Parquet sink (exactly-once through its commit log), one row per
-   event id (A9).
+   history-aware generator runs here, with the session's messages.  Replies are merged
+   into ``<work>/replies`` by event id (A9).
+
+Every event is answered once without any rename or atomic folder operation.  A micro-batch of
+turns that failed half-way is appended again whole, so the second query may see a turn twice; the
+state of a session knows the newest batch and the event ids it has had of it, and leaves out what
+it has seen (a batch is only begun after the one before is complete, so nothing older needs to be
+known).  A micro-batch of replies replaces its own folder, which counts once its ``_SUCCESS`` is there.
+
+Order (J5): arrival order is the order, as in the reference.  ``session_timeout`` (off by default, as
+there) empties a session's memory when more than so many seconds lie between a turn and the one before
+it.  Turns carry no event time of their own, so none is ever too late: a clock row per micro-batch moves the
+watermark, and the event-time timers of expired sessions remove their state.
 
-Order (J5): no watermark, arrival order is the order, as in the reference.
 Without a history-aware generator the state is a count; with one it is every message of the
 session, like the reference's; ``max_messages`` bounds what the generator reads, not the count.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Iterator
+from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +41,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from chatlore import schemas
 from chatlore.config import ERROR_REPLY, Params
+from chatlore.functions.text import ts_order
 from chatlore.operators import events as EV
 from chatlore.plans.chat import answer_distinct
 from chatlore.plans.retrieve import question_key
@@ -64,7 +74,16 @@ REPLIES = T.StructType([
 STATE = T.StructType([
     T.StructField("messages", T.ArrayType(schemas.CHAT_MESSAGE), True),
     T.StructField("n_messages", T.LongType(), True),
+    T.StructField("batch", T.LongType(), True),                      # the newest turns batch
+    T.StructField("seen", T.ArrayType(T.LongType()), True),          # its events so far
+    T.StructField("last_seconds", T.DoubleType(), True),             # of the last turn, with a timeout only
 ])
+#: ``event_id`` of the row that only moves the watermark.
+CLOCK = -(1 << 63)
+
+
+def event_time() -> F.Column:
+    return F.timestamp_micros((ts_order("ts") * 1_000_000).cast("long"))
 
 
 def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -87,25 +106,16 @@ def _turns_batch(index_reader, params: Params, embedder, generator, out_dir: str
             "event_id", "channel", "ts", "kind", "session_key", F.col("reply_thread_ts").alias("thread_ts"),
             "query", F.lit(None).cast("string").alias("instruction"),
             F.lit(params.greeting).alias("answer"), F.lit("greeting").alias("status"))
-        out = turns.unionByName(greets)
-        _publish_once(batch.sparkSession, out, out_dir, batch_id)
+        publish(turns.unionByName(greets), prepared, out_dir, batch_id)
 
     return run
 
 
-def _publish_once(spark: SparkSession, out: DataFrame, out_dir: str, batch_id: int) -> None:
-    """Write ``<out_dir>/batch=<id>`` exactly once: the rows go to a hidden
-    staging folder (ignored by file sources) and are renamed into place only
-    if no committed copy exists.  A replayed micro-batch finds its folder and
-    writes nothing, so the replies query never sees a turn twice."""
-    fs, final = _fs(spark, f"{out_dir}/batch={batch_id}")
-    if fs.exists(final):
-        return
-    stage = f"{out_dir}/_staging/batch={batch_id}-{uuid.uuid4().hex}"
-    out.write.parquet(stage)
-    _, staged = _fs(spark, stage)
-    if not fs.rename(staged, final) and not fs.exists(final):
-        raise RuntimeError(f"could not publish turns batch {batch_id}")
+def publish(turns: DataFrame, events: DataFrame, out_dir: str, batch_id: int) -> None:
+    """Append a micro-batch's turns and the clock row of its events.  A replay appends them again."""
+    clock = (events.agg(F.max(event_time()).alias("clock")).where("clock IS NOT NULL")
+             .select(F.lit(CLOCK).alias("event_id"), "clock"))
+    turns.unionByName(clock, allowMissingColumns=True).write.mode("append").parquet(f"{out_dir}/batch={batch_id}")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -114,22 +124,53 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _memory(make_generator, max_messages: int | None):
+def _seconds(ts: str | None) -> float | None:
+    """A ts as ``ts_order`` reads it."""
+    try:
+        return float(Decimal(ts)) if ts and Decimal(ts).is_finite() else None
+    except InvalidOperation:
+        return None
+
+
+def _memory(make_generator, max_messages: int | None, session_timeout: float | None = None):
+    def arm(state, last: float | None) -> None:
+        if session_timeout is not None and last is not None:
+            # never before the watermark, which a late turn can be behind of
+            state.setTimeoutTimestamp(max(int((last + session_timeout) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
     def step(key, batches: Iterator[pd.DataFrame], state):
-        messages, count = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        messages = [{"role": m["role"], "content": m["content"]} if not isinstance(m, dict) else m
-                    for m in messages]
+        if session_timeout is not None and state.hasTimedOut:
+            state.remove()
+            return
+        messages, count, batch, seen, last = ([*state.get] if state.exists else ([], 0, -1, [], None))
+        messages = [] if messages is None else [{"role": m["role"], "content": m["content"]} for m in messages]
+        seen = set(seen)
         gen = make_generator() if make_generator else None
         pdf = pd.concat(list(batches), ignore_index=True)
+        pdf = pdf[pdf["event_id"] != CLOCK]
+        if pdf.empty:
+            if state.exists:
+                arm(state, last)     # a call clears the timer
+            return
         # arrival order: the turns batch first, then ts inside a batch
-        pdf = pdf.assign(_o=pd.to_numeric(pdf["ts"], errors="coerce")).sort_values(
-            ["batch", "_o", "event_id"], kind="stable", na_position="first")
+        pdf = pdf.assign(seconds=[_seconds(t) for t in pdf["ts"]]).astype({"seconds": "float64"}).sort_values(
+            ["batch", "seconds", "event_id"], kind="stable", na_position="first")
         rows = []
         for r in pdf.itertuples(index=False):
+            if r.batch < batch or (r.batch == batch and r.event_id in seen):
+                continue                                  # of a micro-batch that was written again
+            if r.batch > batch:
+                batch, seen = int(r.batch), set()
+            seen.add(r.event_id)
             if r.status == "greeting":
                 rows.append((r.event_id, r.channel, r.thread_ts, r.answer, "greeting", r.kind,
                              r.session_key, None))
                 continue
+            now = None if math.isnan(r.seconds) else r.seconds
+            if session_timeout is not None and now is not None:
+                if last is not None and now - last > session_timeout:
+                    messages, count = [], 0
+                last = now if last is None else max(last, now)
             before = count
             answer, status = r.answer, r.status
             if gen is not None and status == "ok":
@@ -145,19 +186,23 @@ def _memory(make_generator, max_messages: int | None):
                     messages = messages[-max_messages:] if max_messages else messages
             text = answer if status == "ok" else ERROR_REPLY
             rows.append((r.event_id, r.channel, r.thread_ts, text, status, r.kind, r.session_key, before))
-        state.update((messages, count))
-        yield pd.DataFrame(rows, columns=REPLIES.fieldNames())
+        state.update((messages, count, batch, sorted(seen), last))
+        arm(state, last)
+        if rows:
+            yield pd.DataFrame(rows, columns=REPLIES.fieldNames())
 
     return step
 
 
 def start(spark: SparkSession, events_path: str, index_reader, work_dir: str, params: Params = Params(),
           embedder=None, generator=None, history_generator=None, max_messages: int | None = None,
-          max_files_per_trigger: int | None = None, available_now: bool = True):
+          max_files_per_trigger: int | None = None, available_now: bool = True, session_timeout: float | None = None,
+          late_seconds: int = 0):
     """Start both queries; returns ``(turns_query, replies_query, replies_path)``.
 
     ``index_reader()`` returns the index DataFrame and is called per batch, so
-    upserts between batches are seen by later questions.
+    upserts between batches are seen by later questions.  ``session_timeout`` in seconds, ``None`` for
+    none; the state of an expired session goes ``late_seconds`` later by event time.
     """
     turns_dir = f"{work_dir}/turns"
     replies_dir = f"{work_dir}/replies"
@@ -168,17 +213,24 @@ def start(spark: SparkSession, events_path: str, index_reader, work_dir: str, pa
     q1 = w1.start()
     q1.awaitTermination() if available_now else None
     return q1, _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, max_messages,
-                              available_now), replies_dir
+                              available_now, session_timeout, late_seconds), replies_dir
 
 
-def _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, max_messages, available_now):
+def _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, max_messages, available_now,
+                   session_timeout=None, late_seconds=0):
     fs, path = _fs(spark, turns_dir)
     fs.mkdirs(path)  # an event stream without any batch yet still has a turns folder
-    schema = T.StructType(list(TURNS.fields) + [T.StructField("batch", T.LongType(), True)])
+    schema = T.StructType([*TURNS.fields, T.StructField("clock", T.TimestampType(), True), T.StructField("batch", T.LongType(), True)])
     turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(turns_dir)
+    timeout = GroupStateTimeout.NoTimeout
+    if session_timeout is None:
+        turns = turns.where(F.col("event_id") != CLOCK).drop("clock")
+    else:
+        turns = turns.withWatermark("clock", f"{late_seconds} seconds")
+        timeout = GroupStateTimeout.EventTimeTimeout
     replies = turns.groupBy("session_key").applyInPandasWithState(
-        _memory(history_generator, max_messages), REPLIES, STATE, "append", GroupStateTimeout.NoTimeout)
-    w2 = (replies.writeStream.format("parquet").option("path", replies_dir)
+        _memory(history_generator, max_messages, session_timeout), REPLIES, STATE, "append", timeout)
+    w2 = (replies.writeStream.foreachBatch(lambda batch, batch_id: merge_replies(batch, replies_dir, batch_id))
           .option("checkpointLocation", f"{work_dir}/_chk_replies").outputMode("append"))
     w2 = w2.trigger(availableNow=True) if available_now else w2
     q2 = w2.start()
@@ -187,9 +239,21 @@ def _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, m
     return q2
 
 
+def merge_replies(replies: DataFrame, replies_dir: str, batch_id: int) -> None:
+    """A micro-batch's replies, in a folder of its own that a replay replaces whole."""
+    replies.write.mode("overwrite").parquet(f"{replies_dir}/batch={batch_id}")
+
+
 def read_replies(spark: SparkSession, replies_dir: str) -> DataFrame:
-    """Committed replies (the file sink's log decides what is visible)."""
+    """One reply per event id, the earliest; of micro-batches whose write is complete."""
     fs, path = _fs(spark, replies_dir)
-    if not fs.exists(path):  # no micro-batch has committed yet
+    folders = [st.getPath() for st in fs.listStatus(path)] if fs.exists(path) else []
+    done = [f"{replies_dir}/{f.getName()}" for f in folders
+            if f.getName().startswith("batch=") and fs.exists(f.suffix("/_SUCCESS"))]
+    if not done:  # no micro-batch has committed yet
         return spark.createDataFrame([], REPLIES)
-    return spark.read.schema(REPLIES).parquet(replies_dir)
+    stored = T.StructType([*REPLIES.fields, T.StructField("batch", T.LongType(), True)])
+    rows = spark.read.schema(stored).option("basePath", replies_dir).parquet(*done)
+    rest = [c for c in REPLIES.fieldNames() if c != "event_id"]
+    first = rows.groupBy("event_id").agg(F.min_by(F.struct(*rest), "batch").alias("r"))
+    return first.select("event_id", "r.*")

@@ -191,14 +191,122 @@ def test_stream_history_generator_matches_sequential_batch(spark):
     assert got[3] == (2, ERROR_REPLY, "error") and got[5] == (2, "seen 2", "ok")
 
 
-def test_turns_batch_is_published_once(spark):
-    work = scratch_path(spark, f"test-publish-{uuid.uuid4().hex}")
-    first = spark.createDataFrame([(1, "a")], "event_id long, v string")
-    replay = spark.createDataFrame([(1, "b"), (2, "c")], "event_id long, v string")
-    S._publish_once(spark, first, work, 7)
-    S._publish_once(spark, replay, work, 7)  # a replayed micro-batch writes nothing
-    got = spark.read.parquet(work).collect()
-    assert [(r.event_id, r.v, r.batch) for r in got] == [(1, "a", 7)]
+def turn_rows(spark, rows):
+    """rows: (event_id, ts, session, status)"""
+    data = [(i, "D", ts, "dm", key, None, f"q{i}", f"i{i}", f"a{i}", status) for i, ts, key, status in rows]
+    return spark.createDataFrame(data, S.TURNS)
+
+
+def replies_of(spark, work, **options):
+    S._start_replies(spark, f"{work}/turns", f"{work}/replies", work, options.pop("generator", None), None, True, **options)
+    return S.read_replies(spark, f"{work}/replies")
+
+
+def test_replayed_and_half_written_turns_are_answered_once(spark):
+    """A half-written micro-batch is seen, written again whole, and its successor again after a replay."""
+    work = scratch_path(spark, f"test-replay-{uuid.uuid4().hex}")
+    first = turn_rows(spark, [(1, "1.0", "s", "ok"), (2, "2.0", "s", "ok"), (3, "3.0", "t", "ok")])
+    second = turn_rows(spark, [(4, "4.0", "s", "ok"), (5, "5.0", "t", "error"), (6, "6.0", "t", "greeting")])
+    for turns, batch in ((first.where("event_id <> 2"), 0), (first, 0), (second, 1), (second, 1)):
+        S.publish(turns, turns, f"{work}/turns", batch)
+        got = replies_of(spark, work)
+    rows = got.collect()
+    assert sorted(r.event_id for r in rows) == [1, 2, 3, 4, 5, 6]
+    assert {r.event_id: r.history_len for r in rows} == {1: 0, 2: 2, 3: 0, 4: 4, 5: 2, 6: None}
+
+
+def test_replayed_reply_batch_replaces_its_folder(spark):
+    out = scratch_path(spark, f"test-replies-{uuid.uuid4().hex}")
+
+    def reply(i, text):
+        return spark.createDataFrame([(i, "D", None, text, "ok", "dm", "s", 0)], S.REPLIES)
+
+    S.merge_replies(reply(1, "a").unionByName(reply(2, "b")), out, 0)
+    S.merge_replies(reply(1, "a").unionByName(reply(2, "b")), out, 0)      # replayed
+    S.merge_replies(reply(2, "again").unionByName(reply(3, "c")), out, 1)  # an event delivered twice
+    reply(4, "half").write.parquet(f"{out}/batch=2")
+    os.remove(f"{out.replace('file:', '')}/batch=2/_SUCCESS")              # not complete
+    assert {r.event_id: r.text for r in S.read_replies(spark, out).collect()} == {1: "a", 2: "b", 3: "c"}
+    S.merge_replies(reply(4, "whole"), out, 2)
+    assert {r.event_id: r.text for r in S.read_replies(spark, out).collect()} == {1: "a", 2: "b", 3: "c", 4: "whole"}
+
+
+def brute_expiring(rows, timeout):
+    """event_id -> history_len of (event_id, ts, session, status) in order of ts; greetings none."""
+    memory, last, out = {}, {}, {}
+    for i, ts, key, status in rows:
+        if status == "greeting":
+            out[i] = None
+            continue
+        if ts is not None:
+            if key in last and float(ts) - last[key] > timeout:
+                memory[key] = 0
+            last[key] = max(float(ts), last.get(key, float(ts)))
+        out[i] = memory.get(key, 0)
+        memory[key] = out[i] + 2 * (status == "ok")
+    return out
+
+
+def test_expired_sessions_start_empty_in_stream_and_batch(spark):
+    import random
+
+    r = random.Random(3)
+    now, rows = 1000.0, [(0, None, "s1", "ok"), (1, None, None, "ok")]
+    for i in range(2, 150):
+        now += r.choice([0.0, 0.5, 3, 8, 8, 70])
+        rows.append((i, f"{now:.6f}", r.choice(["s1", "s2", None]), r.choice(["ok", "ok", "error", "greeting"])))
+    want = brute_expiring(rows, 60)
+    assert sum(v == 0 for v in want.values()) > 10 and max(v or 0 for v in want.values()) > 6
+    turns = turn_rows(spark, rows)
+    batch = H.with_history_len(H.expiring_sessions(turns.where("status <> 'greeting'"), 60), F.col("status") == "ok", "memory_key")
+    assert {x.event_id: x.history_len for x in batch.collect()} == {k: v for k, v in want.items() if v is not None}
+    never = H.with_history_len(H.expiring_sessions(turns, None), F.col("status") == "ok", "memory_key")
+    assert never.select("event_id", "history_len").exceptAll(
+        H.with_history_len(turns, F.col("status") == "ok").select("event_id", "history_len")).count() == 0
+    work = scratch_path(spark, f"test-expire-{uuid.uuid4().hex}")
+    for k, low in enumerate(range(0, 150, 40)):      # several micro-batches
+        part = turn_rows(spark, rows[low:low + 40])
+        S.publish(part, part, f"{work}/turns", k)
+        got = replies_of(spark, work, session_timeout=60)
+    assert {x.event_id: x.history_len for x in got.collect()} == want
+
+
+def test_late_turns_are_answered_with_a_timeout(spark):
+    """A turn far behind the watermark is no late data; its session's timer has removed the state."""
+    work = scratch_path(spark, f"test-late-{uuid.uuid4().hex}")
+    for k, rows in enumerate(([(1, "100.0", "s", "ok")], [(2, "100000.0", "t", "ok")], [(3, "100001.0", "t", "ok")],
+                              [(4, "130.0", "s", "ok"), (5, "50.0", "u", "ok")])):
+        part = turn_rows(spark, rows)
+        S.publish(part, part, f"{work}/turns", k)
+        got = replies_of(spark, work, session_timeout=60)
+    assert {x.event_id: x.history_len for x in got.collect()} == {1: 0, 2: 0, 3: 2, 4: 0, 5: 0}
+
+
+def test_chat_batch_with_a_timeout(spark):
+    index = spark.createDataFrame([], schemas.DOCUMENTS)
+    rows = [(i, "message", "D1", "im", ts, None, "U1", None, text) for i, (ts, text) in enumerate(
+        [("10.0", "a"), ("20.0", "b"), ("50.0", "hi"), ("85.0", "c"), ("90.0", "d")])]
+    got = {r.event_id: r.history_len for r in P.chat_batch(ev(spark, rows), index, session_timeout=60).collect()}
+    assert got == {0: 0, 1: 2, 2: None, 3: 0, 4: 2}
+    assert {r.event_id: r.history_len for r in P.chat_batch(ev(spark, rows), index).collect()} == {0: 0, 1: 2, 2: None, 3: 4, 4: 6}
+
+
+def test_history_out_of_segments_equals_brute_force(spark):
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 4 else f"s{i % 3}", None if i == 7 else f"{(i * 7919) % 1000}.5", f"q{i}", f"a{i}",
+             "error" if i % 5 == 0 else "ok") for i in range(400)]
+    turns = spark.createDataFrame(rows, "event_id long, session_key string, ts string, query string, answer string, status string")
+    want, memory = {}, {}
+    for i, key, ts, q, a, status in sorted(rows, key=lambda r: (float(r[2] or "-inf"), r[0])):
+        want[i] = list(memory.setdefault(key, []))
+        if status == "ok":
+            memory[key] += [("user", q), ("assistant", a)]
+    for fanout in (2, 3, 32):
+        got = H.history_messages(turns, F.col("status") == "ok", fanout=fanout)
+        assert got.columns == [*turns.columns, "history"]
+        assert {r.event_id: [(m.role, m.content) for m in r.history] for r in got.collect()} == want
+    plan = H.history_messages(turns, F.col("status") == "ok", fanout=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan     # the numbering is done and written; lists come from aggregates and joins
+    assert H.history_messages(turns.limit(0), F.col("status") == "ok").count() == 0
 
 
 def test_empty_index_answers_without_context_and_empty_events(spark):
