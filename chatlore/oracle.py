@@ -323,3 +323,31 @@ v_replies_out AS (
   SELECT event_id, channel, reply_thread_ts AS thread_ts, {lit(C.DEFAULT_GREETING)} AS text, 'greeting' AS status,
          kind, session_key, CAST(NULL AS BIGINT) AS history_len
   FROM v_prep WHERE small_talk)"""
+
+
+def recalling_chat() -> str:
+    """CTEs ending in ``v_replies_out`` of a generator whose answer hangs on its answer before (a recursion
+    over the turns of each session)."""
+    return f"""{routed()},
+{prepared()},
+v_seq AS (
+  SELECT *, length(query) % 3 <> 0 AS up,
+         row_number() OVER (PARTITION BY session_key ORDER BY CAST(ts AS DECIMAL(20,6)) NULLS FIRST, event_id) AS rn
+  FROM v_prep WHERE NOT small_talk),
+v_chain(event_id, session_key, rn, up, history_len, text, held, last) AS (
+  SELECT event_id, session_key, rn, up, 0::BIGINT,
+         CASE WHEN up THEN 'recall at 0.25, message 1: ' || md5('|' || query) ELSE 'I encountered an error while consulting the archives.' END,
+         CASE WHEN up THEN 2 ELSE 0 END::BIGINT, CASE WHEN up THEN 'recall at 0.25, message 1: ' || md5('|' || query) ELSE '' END
+  FROM v_seq WHERE rn = 1
+  UNION ALL
+  SELECT s.event_id, s.session_key, s.rn, s.up, c.held,
+         CASE WHEN s.up THEN 'recall at 0.25, message ' || (c.held + 1) || ': ' || md5(c.last || '|' || s.query)
+              ELSE 'I encountered an error while consulting the archives.' END,
+         c.held + CASE WHEN s.up THEN 2 ELSE 0 END,
+         CASE WHEN s.up THEN 'recall at 0.25, message ' || (c.held + 1) || ': ' || md5(c.last || '|' || s.query) ELSE c.last END
+  FROM v_chain c JOIN v_seq s ON s.session_key IS NOT DISTINCT FROM c.session_key AND s.rn = c.rn + 1),
+v_replies_out AS (
+  SELECT p.event_id, p.channel, p.reply_thread_ts AS thread_ts,
+         CASE WHEN p.small_talk THEN {lit(C.DEFAULT_GREETING)} ELSE c.text END AS text,
+         CASE WHEN p.small_talk THEN 'greeting' WHEN c.up THEN 'ok' ELSE 'error' END AS status, c.history_len
+  FROM v_prep p LEFT JOIN v_chain c ON c.event_id = p.event_id)"""

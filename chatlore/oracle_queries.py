@@ -145,6 +145,10 @@ FROM v_list""",
     "chat_batch": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
 SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out""",
 
+    **dict.fromkeys(("chat_history", "chat_history_stream"), W(
+        O.V_EVENTS.replace("v_events AS", "v_all_events AS"), O.V_FAULTY_EVENTS, O.recalling_chat()).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out"""),
+
     "response_extract": """
 WITH landed AS (
   SELECT conv_id, turn, role,

@@ -6,6 +6,7 @@ its DuckDB twin with the same output columns is in ``chatlore.oracle_queries``.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chatlore.config import Params
 from chatlore.functions.responses import chat_content, embedding_of, error_of
+from chatlore.functions.text import ts_order
 from chatlore.operators import authors, documents, ivf, knn, stitch
 from chatlore.operators import context as CTX
 from chatlore.operators import embed as E
@@ -27,6 +29,7 @@ from chatlore.sources.vector_index import VectorIndex
 from chatlore.streaming import chat_stream as S_chat, ingest_stream as S_ingest
 
 TARGETS = ("C0", "C2")
+RECALL = Params(model="recall", temperature=0.25)
 
 
 def message_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,6 +303,40 @@ def chat_batch(spark: SparkSession, sf: str) -> DataFrame:
     return replies.select("event_id", "channel", "thread_ts", "text", "status", "history_len")
 
 
+class _Recalls:
+    """A chat model stand-in whose answer hangs on its whole request: the model, the temperature, the number
+    of messages, its own last answer and the question; down for questions whose length is divisible by 3."""
+
+    def __call__(self, request):
+        messages = request["messages"]
+        question = messages[-1]["content"].rsplit("User Query: ", 1)[1]
+        if len(question) % 3 == 0:
+            raise RuntimeError("model down")
+        last = messages[-2]["content"] if len(messages) > 1 else ""
+        digest = hashlib.md5(f"{last}|{question}".encode()).hexdigest()
+        return f"{request['model']} at {request['temperature']}, message {len(messages)}: {digest}"
+
+
+def chat_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat with a generator that reads the session's messages: each answer hangs on the one before."""
+    replies = P_chat.chat_history_batch(views.faulty_events(spark, sf), _doc_index(spark, sf), _Recalls, RECALL)
+    return replies.select("event_id", "channel", "thread_ts", "text", "status", "history_len")
+
+
+def chat_history_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream: the events land in three parts in order of time, each part is a run of its own
+    from the checkpoints, so that every session's messages cross micro-batches."""
+    work = scratch_path(spark, f"chat-history-{uuid.uuid4().hex}")
+    index = _doc_index(spark, sf)
+    events = views.faulty_events(spark, sf).withColumn("second", F.coalesce(F.floor(ts_order("ts")), F.lit(-1)))
+    third, rest = events.approxQuantile("second", [0.33, 0.67], 0.01)
+    part = F.when(F.col("second") <= third, 0).when(F.col("second") <= rest, 1).otherwise(2)
+    for k in range(3):
+        events.where(part == k).drop("second").write.mode("append").parquet(f"{work}/events")
+        _, _, out = S_chat.start(spark, f"{work}/events", lambda: index, work, RECALL, request_generator=_Recalls)
+    return S_chat.read_replies(spark, out).select("event_id", "channel", "thread_ts", "text", "status", "history_len")
+
+
 def response_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Landed model-service responses built from ``conversations``: assistant
     turns are chat responses, user turns embedding responses, system turns
@@ -394,6 +431,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_errors": chat_errors,
     "session_messages": session_messages,
     "chat_batch": chat_batch,
+    "chat_history": chat_history,
+    "chat_history_stream": chat_history_stream,
     "response_extract": response_extract,
     "run_metrics": run_metrics,
     "chat_stream": chat_stream,

@@ -43,6 +43,7 @@ from chatlore import schemas
 from chatlore.config import ERROR_REPLY, Params
 from chatlore.functions.text import ts_order
 from chatlore.operators import events as EV
+from chatlore.operators.answer import on_requests
 from chatlore.plans.chat import answer_distinct
 from chatlore.plans.retrieve import question_key
 
@@ -197,13 +198,16 @@ def _memory(make_generator, max_messages: int | None, session_timeout: float | N
 def start(spark: SparkSession, events_path: str, index_reader, work_dir: str, params: Params = Params(),
           embedder=None, generator=None, history_generator=None, max_messages: int | None = None,
           max_files_per_trigger: int | None = None, available_now: bool = True, session_timeout: float | None = None,
-          late_seconds: int = 0):
+          late_seconds: int = 0, request_generator=None):
     """Start both queries; returns ``(turns_query, replies_query, replies_path)``.
 
     ``index_reader()`` returns the index DataFrame and is called per batch, so
     upserts between batches are seen by later questions.  ``session_timeout`` in seconds, ``None`` for
     none; the state of an expired session goes ``late_seconds`` later by event time.
+    ``request_generator`` makes ``answer.RequestFn``, which gets each turn's model, messages and temperature.
     """
+    if request_generator is not None:
+        history_generator = on_requests(request_generator, params)
     turns_dir = f"{work_dir}/turns"
     replies_dir = f"{work_dir}/replies"
     events = event_stream(spark, events_path, max_files_per_trigger)
