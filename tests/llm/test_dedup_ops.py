@@ -99,19 +99,32 @@ def plain_lines(rows, sites):
     on = {}
     for _, text, site in rows:
         for line in (text or "").split("\n") if text is not None else []:
-            if line.strip(" ") and site is not None:
-                on.setdefault(line.strip(" "), set()).add(site)
+            if line.strip(line_dedup.AROUND) and site is not None:
+                on.setdefault(line.strip(line_dedup.AROUND), set()).add(site)
     bad = {k for k, v in on.items() if len(v) >= sites}
     out = Counter()
     for i, text, _ in rows:
         lines = text.split("\n") if text is not None else []
-        left = [x for x in lines if x.strip(" ") not in bad]
-        kept = "\n".join(left)
-        whole = 100 * len(kept) < 50 * len(text or "")
-        out[(i, len(lines), 0 if whole else len(lines) - len(left), hashlib.sha256((text or "" if whole else kept).encode()).hexdigest())] += 1
+        left = [x for x in lines if x.strip(line_dedup.AROUND) not in bad]
+        out[(i, len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest())] += 1
     return out
 
 
+def test_line_dedup_knows_lines_by_their_text_alone(spark):
+    """Line ends and white space around don't tell lines apart; hashes go by broadcast or not."""
+    rows = [(k, f"own {k}\r\n{' ' * (k % 3)}imprint and terms{chr(13) if k % 2 else ''}\n\t\r\nlast {k}", f"s{k}") for k in range(16)]
+    rows += [(50, "imprint and terms", "s1"), (51, "imprint and  terms\n imprint", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = plain_lines(rows, line_dedup.SITES)
+    assert sum(r[2] for r in want) == 17
+    for size in (line_dedup.BROADCAST_BYTES, 0):
+        line_dedup.BROADCAST_BYTES, before = size, line_dedup.BROADCAST_BYTES
+        try:
+            assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.digest(docs).collect()) == want
+        finally:
+            line_dedup.BROADCAST_BYTES = before
+
+
 def test_line_dedup_near_the_threshold(spark):
     rows = [(k, f"own line {k} of this page\nfooter {k % 3}\n\n  shared by all ", f"site{k % (9 + 3 * (k % 3))}") for k in range(120)]
     rows += [(200, None, "site1"), (201, "", None), (202, "shared by all", "site2"), (203, "footer 1\nlong enough to stay here", None)]
