@@ -15,6 +15,7 @@ names are read as words, which is for copies), and new values may coincide.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,19 @@ _HEAVY = 1 << 32             # apart from any width: windows that are hashed wit
 
 
 class _Codes(dict):
-    """Token -> hash of its lower-case form, with its kind in the low bits."""
+    """Token -> the place in ``values`` of the hash of its lower-case form, with its kind in the low bits."""
+
+    def __init__(self):
+        super().__init__()
+        self.values = array("Q")
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        places = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        codes = np.array(self.values, np.uint64)[places]
+        while len(self) > MEMO_TOKENS:      # the newest go
+            self.popitem()
+        del self.values[MEMO_TOKENS:]
+        return codes
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -69,9 +82,9 @@ class _Codes(dict):
         else:
             kind = _WORD
         code = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")) & ~7 | kind
-        if len(self) < MEMO_TOKENS:
-            self[token] = code
-        return code
+        self[token] = place = len(self.values)
+        self.values.append(code)
+        return place
 
 
 _CODES = _Codes()
@@ -138,7 +151,7 @@ def templates(texts: list[str | None]) -> list[Template]:
         found += some
         sizes.append(len(some))
     owner = np.repeat(np.arange(len(texts)), sizes)
-    code = np.fromiter(map(_CODES.__getitem__, found), np.uint64, len(found))
+    code = _CODES.of(found)
     kind = (code & _KIND).astype(np.int8)
     at = np.arange(len(found))
     some = kind != _BREAK
@@ -153,15 +166,32 @@ def templates(texts: list[str | None]) -> list[Template]:
     return [*out, Template(found, code, literal, np.zeros(len(kind), bool), at, owner)]
 
 
-def _window_rows(ids: list[tuple], template: Template, reading: int, widths: list[int], wanted: np.ndarray | None) -> Iterator[tuple]:
+class Wanted:
+    """The hashes that the benchmark has; a table by their first bits spares most searches."""
+
+    def __init__(self, hashes: np.ndarray):
+        self._hashes = hashes
+        bits = max(20, len(hashes).bit_length() + 4)
+        self._shift = np.uint64(64 - bits)
+        self._some = np.zeros(1 << bits, bool)
+        self._some[hashes >> self._shift] = True
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = self._some[h >> self._shift]
+        some = np.flatnonzero(found)
+        at = np.minimum(np.searchsorted(self._hashes, h[some]), len(self._hashes) - 1)
+        found[some] = self._hashes[at] == h[some]
+        return found
+
+
+def _window_rows(ids: list[tuple], template: Template, reading: int, widths: list[int], wanted: Wanted | None) -> Iterator[tuple]:
     """Rows of the (wanted) windows of texts with these ``ids``."""
     start = np.searchsorted(template.owner, np.arange(len(ids)))
     for width in widths:
         h = template.windows(width) + np.uint64(reading)
         hit = template.inside(width)
         if wanted is not None and len(h):
-            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            hit = hit & (wanted[at] == h)
+            hit = hit & wanted.has(h)
         light = template.light(width)
         for k in np.flatnonzero(hit).tolist():
             text = template.owner[k]
@@ -220,13 +250,14 @@ def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | No
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Wanted(shared.value) if shared.value is not None and len(shared.value) else None
         for batch in slices(batches):
             rows = []
             docs, refs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "ref", "text"))
             for some in _groups(texts) if widths else ():
                 for reading, template in enumerate(templates(texts[some])):
                     ids = [*zip(docs[some], refs[some], strict=True)]
-                    rows += [r[:-1] for r in _window_rows(ids, template, reading, widths, shared.value)]
+                    rows += [r[:-1] for r in _window_rows(ids, template, reading, widths, hashes)]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
