@@ -13,8 +13,7 @@ blocks.  A pair moves at most once a block, so the most frequent pair makes no h
 
 Results for odd input: null and empty texts, and texts whose tokens' bytes aren't the text (a literal
 U+2581, for instance), have no tokens: zeros and an empty digest.  Null ids and repeated rows are
-documents of their own; a text of any length is one row, handled ``byte_bpe.SEGMENT`` characters at a
-time; an empty table gives no rows; other columns are left out.
+documents of their own; a text of any length is one row, handled ``SEGMENT`` characters at a time; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -32,17 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlore.llm.byte_bpe import (_gathered, _packed, _unpacked, encoding, pre_tokens, segments, split_pattern)
+from chatlore.llm.byte_bpe import _packed, _unpacked, encoding, pre_tokens, segments, split_pattern
 from chatlore.llm.common import id_and_text, written
 from chatlore.llm.tokens import _byte_letters, vocabulary_path
 
 VOCABULARY_A, RANKS_A, VOCABULARY_B = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 BLOCK_LINKS = 4_000_000      # a block closes with the document that reaches it
-MEMO_CHUNKS = 200_000        # of the second tokenizer; speed only
-MEMO_CHARS = 40
+SEGMENT = 1 << 17            # characters tokenised and aligned at once
 SIDE = 1 << 32               # a pair is the first id times this, plus the second
 
-_CHUNKS = re.compile(r" *[^ ]+| +").findall
 BLOCKS = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
           "groups_sha256 array<string>, n_pairs array<long>, codes binary, pairs array<struct<pair: long, n: long>>")
 
@@ -70,8 +67,6 @@ class Tokens:
                         for i, p in enumerate(pieces)]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("pieces of the second vocabulary cross a space; texts can't be cut there")
-        self._space = self._b.piece_to_id("▁")
-        self._memo: dict[str, bytes] = {}
         self.lengths_a = np.fromiter(map(len, self.bytes_a), np.int64)
         self.lengths_b = np.fromiter(map(len, self.bytes_b), np.int64)
 
@@ -84,19 +79,13 @@ class Tokens:
 
     def b(self, segment: str) -> np.ndarray:
         """Ids of a segment that begins with a space, which stands for the one the second vocabulary adds.
-        No merge crosses from a character to a space, so chunks are looked up one by one."""
-        chunks = _CHUNKS(segment)
-        if len(self._memo) > MEMO_CHUNKS:
-            self._memo = {}
-        memo = self._memo
-        new = list({c for c in chunks if c not in memo})
-        if not new:
-            return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), np.uint16).astype(np.int64)
-        found = {c: array("H", ids if len(c) > 1 else [self._space]).tobytes()
-                 for c, ids in zip(new, self._b.encode([c[1:] for c in new], num_threads=1), strict=True)}
-        ids = b"".join([memo.get(c) or found[c] for c in chunks])
-        memo.update((c, i) for c, i in found.items() if len(c) <= MEMO_CHARS)
-        return np.frombuffer(ids, np.uint16).astype(np.int64)
+        No merge crosses from a character to a space, so segments' ids are those of the whole text."""
+        return np.array(self._b.encode(segment[1:], num_threads=1), np.int64)
+
+    def spelled(self, ids_a: np.ndarray, ids_b: np.ndarray, text: bytes) -> bool:
+        """Whether both sequences' bytes are the text; the byte-level vocabulary drops or spells it."""
+        return (int(self.lengths_a[ids_a].sum()) == int(self.lengths_b[ids_b].sum()) == len(text)
+                and b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == text)
 
 
 @lru_cache(maxsize=1)
@@ -118,7 +107,7 @@ def irregular_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         if list_a[i] == list_b[j]:
             i += 1
             j += 1
-            at_a, at_b, step = 4 * i, 4 * j, 4
+            at_a, at_b, step = 4 * i, 4 * j, 16
             while a[at_a:at_a + step] == b[at_b:at_b + step]:     # at this shift, ever longer slices
                 at_a += step
                 at_b += step
@@ -148,8 +137,10 @@ def irregular_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
 def _inner(groups: np.ndarray, side: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Of ``size`` tokens, which are in an irregular group; and which open a group."""
     start, end = groups[:, side], groups[:, side + 1]
-    inside = np.zeros(size, bool)
-    inside[_gathered(np.arange(size), start, end - start)] = True
+    change = np.zeros(size + 1, np.int8)
+    change[start] += 1
+    change[end] -= 1
+    inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
     opens = ~inside
     opens[start] = True
     return inside, opens
@@ -161,41 +152,47 @@ def aligned(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np
     groups = irregular_groups(ends_a, ends_b)
     in_a, opens_a = _inner(groups, 0, len(ids_a))
     in_b, opens_b = _inner(groups, 2, len(ids_b))
-    diagonal = ids_a[~in_a] * SIDE + ids_b[~in_b]
-    # inside irregular groups every stretch between neighbouring ends is one link
-    odd_a, odd_b = ends_a[in_a], ends_b[in_b]
-    ends = np.union1d(odd_a, odd_b)
-    local = ids_a[in_a][np.searchsorted(odd_a, ends)] * SIDE + ids_b[in_b][np.searchsorted(odd_b, ends)] if len(ends) else diagonal[:0]
-    return np.concatenate((diagonal, local)), np.cumsum(opens_a) - 1, np.cumsum(opens_b) - 1
+    pairs = ids_a[~in_a] * SIDE + ids_b[~in_b]
+    if len(groups):
+        # inside irregular groups every stretch between neighbouring ends is one link
+        odd_a, odd_b = ends_a[in_a], ends_b[in_b]
+        both = np.concatenate((odd_a, odd_b))
+        order = np.argsort(both, kind="stable")      # two rising runs are merged, a's first among equals
+        ends, of_a = both[order], order < len(odd_a)
+        shared = np.diff(ends, prepend=-1) == 0      # an end of b that a has too
+        last = np.append(~shared[1:], True)
+        before_a = np.cumsum(of_a) - (of_a | shared)
+        before_b = np.cumsum(~of_a) - ~of_a
+        pairs = np.concatenate((pairs, ids_a[in_a][before_a[last]] * SIDE + ids_b[in_b][before_b[last]]))
+    return pairs, np.cumsum(opens_a) - 1, np.cumsum(opens_b) - 1
 
 
-_DIGITS = 6      # of the longest id, and one for what follows it
+_DIGITS = 5      # of the longest id
 
 
-@lru_cache(maxsize=4)
-def _decimals(top: int) -> np.ndarray:
-    """The digits of each id as bytes, 0 where there is none, and room for a sign."""
-    out = np.zeros((top, _DIGITS), np.uint8)
-    ids = np.arange(top)
-    for place in range(_DIGITS - 1):
+@lru_cache(maxsize=1)
+def _decimals() -> np.ndarray:
+    """The digits of every id below 100,000 as the low bytes of a word, 0 where there is none; the next
+    byte is for the sign after it."""
+    out = np.zeros((10 ** _DIGITS, 8), np.uint8)
+    ids = np.arange(10 ** _DIGITS)
+    for place in range(_DIGITS):
         left = ids // 10 ** place
-        out[:, _DIGITS - 2 - place] = np.where((left > 0) | (place == 0), left % 10 + ord("0"), 0)
-    return out
+        out[:, _DIGITS - 1 - place] = np.where((left > 0) | (place == 0), left % 10 + ord("0"), 0)
+    return out.view("<u8").reshape(-1)
 
 
 def groups_text(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3``."""
-    table = _decimals(100_000)
+    table = _decimals()
+    comma, bar, semicolon = (np.uint64(ord(c) << 8 * _DIGITS) for c in ",|;")
     per_a, per_b = np.bincount(group_a), np.bincount(group_b)
-    before_b = np.concatenate(([0], np.cumsum(per_b)))
-    place_a = np.arange(len(ids_a)) + before_b[group_a]
-    place_b = np.arange(len(ids_b)) + np.cumsum(per_a)[group_b]
-    out = np.empty((len(ids_a) + len(ids_b), _DIGITS), np.uint8)
-    rows_a, rows_b = table[ids_a], table[ids_b]
-    rows_a[:, -1] = np.where(np.diff(group_a, append=-1) == 0, ord(","), ord("|"))
-    rows_b[:, -1] = np.where(np.diff(group_b, append=-1) == 0, ord(","), ord(";"))
-    out[place_a], out[place_b] = rows_a, rows_b
-    flat = out.reshape(-1)
+    out = np.empty(len(ids_a) + len(ids_b), "<u8")
+    out[np.arange(len(ids_a)) + (np.cumsum(per_b) - per_b)[group_a]] = (
+        table[ids_a] | np.where(np.diff(group_a, append=-1) == 0, comma, bar))
+    out[np.arange(len(ids_b)) + np.cumsum(per_a)[group_b]] = (
+        table[ids_b] | np.where(np.diff(group_b, append=-1) == 0, comma, semicolon))
+    flat = out.view(np.uint8)
     return flat[flat != 0].tobytes()[:-1]
 
 
@@ -206,11 +203,10 @@ def _document(text: str | None, both: Tokens) -> tuple[int, int, int, int, str,
         return nothing
     n_a = n_b = n_groups = n_links = 0
     digest, pairs, times = hashlib.sha256(), [], []
-    for segment in segments(" " + text):
+    for segment in segments(" " + text, SEGMENT):
         ids_a, ids_b = both.a(segment), both.b(segment)
         spelled = segment.encode()
-        if (b"".join(map(both.bytes_a.__getitem__, ids_a.tolist())) != spelled
-                or b"".join(map(both.bytes_b.__getitem__, ids_b.tolist())) != spelled):
+        if not both.spelled(ids_a, ids_b, spelled):
             return nothing
         ends_a, ends_b = np.cumsum(both.lengths_a[ids_a]), np.cumsum(both.lengths_b[ids_b])
         links, group_a, group_b = aligned(ids_a, ids_b, ends_a, ends_b)
