@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,18 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlore.llm.common import id_and_text, written
+from chatlore.llm.common import id_and_text
 from chatlore.llm.tokens import vocabulary_path
+from chatlore.session import scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_PRE_TOKENS = 1_000_000    # a block closes with the document that reaches it
+BLOCK_PRE_TOKENS = 2_000_000    # a block closes with the document that reaches it
 SEGMENT = 1 << 20               # characters split at once
+LEVEL = 6                       # of zstd
 EMIT_IDS = 2_000_000            # ids (or decoded bytes) in one Arrow batch, a longer document alone
 
 # Fixed value: Unicode white space (what \s of ``re`` finds, less four control characters).
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(rf"(?<=[^{_SPACES}])(?= [^{_SPACES}])")   # no pre-token spans such a place
-BLOCKS = ("block long, doc_ids array<long>, sizes array<long>, codes binary, "
+BLOCKS = ("block long, doc_ids array<long>, sizes array<long>, codes binary, buckets binary, "
           "vocabulary array<struct<bucket: int, words: binary>>")
 
 
@@ -128,7 +131,7 @@ def split_pattern() -> str:
 def _packed(*columns: np.ndarray | bytes) -> bytes:
     """Columns as one compressed value."""
     parts = [c if isinstance(c, bytes) else c.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts))
 
 
 def _unpacked(value: bytes, columns: int) -> list[memoryview]:
@@ -137,6 +140,20 @@ def _unpacked(value: bytes, columns: int) -> list[memoryview]:
     return [data[a:b] for a, b in zip([8 * columns, *ends.tolist()], ends.tolist())]
 
 
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Codes of which small ones are frequent: a byte for those below 255, four more for others, each
+    place of the bytes by itself."""
+    rest = (codes[codes >= 255] - np.uint32(255)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return _packed(np.minimum(codes, 255).astype(np.uint8), *[np.ascontiguousarray(rest[:, k]) for k in range(4)])
+
+
+def _unpacked_codes(value: bytes) -> np.ndarray:
+    first, *rest = (np.frombuffer(part, np.uint8) for part in _unpacked(value, 5))
+    codes = first.astype(np.uint32)
+    codes[first == 255] = np.ascontiguousarray(np.stack(rest, axis=1)).view("<u4").reshape(-1) + np.uint32(255)
+    return codes
+
+
 class _Codes(dict):
     """Word -> its code, given in order of first appearance."""
 
@@ -152,28 +169,35 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return values[np.repeat(starts - before, lengths) + np.arange(total)]
 
 
+def _by_bucket(bucket: np.ndarray) -> list[np.ndarray]:
+    """The codes of each bucket that has some, in order."""
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
 def exploded(docs: DataFrame, buckets: int, pattern: str, block_pre_tokens: int = BLOCK_PRE_TOKENS) -> DataFrame:
-    """Blocks of documents: every document's pre-tokens as codes by position, and the block's distinct
-    words by hash bucket.  Codes count through the buckets in order."""
+    """Blocks of documents: every document's pre-tokens as codes by position, the block's distinct words
+    by hash bucket, and the bucket of every code.  Codes go from the most frequent word to the rarest,
+    and so do the words of a bucket."""
 
     def close(block: int, ids: list, sizes: list, codes: list[np.ndarray], vocabulary: _Codes) -> pa.RecordBatch:
-        words = [w.encode() for w in vocabulary]
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        renamed = np.empty(len(words), np.uint32)
-        renamed[order] = np.arange(len(words), dtype=np.uint32)
-        positions = renamed[np.concatenate(codes)] if codes else np.empty(0, np.uint32)
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        positions = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+        order = np.argsort(-np.bincount(positions, minlength=len(vocabulary)), kind="stable")
+        renamed = np.empty(len(order), np.uint32)
+        renamed[order] = np.arange(len(order), dtype=np.uint32)
+        words = list(vocabulary)
+        words = [words[k].encode() for k in order.tolist()]
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), "<u4", len(words))
         sent = []
-        for members in np.split(order, cuts) if len(words) else ():
+        for members in _by_bucket(bucket):
             found = [words[k] for k in members.tolist()]
             sent.append({"bucket": int(bucket[members[0]]),
                          "words": _packed(np.fromiter(map(len, found), "<u4", len(found)), b"".join(found))})
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-             pa.array([_packed(positions)], pa.binary()),
+             pa.array([_packed_codes(renamed[positions])], pa.binary()), pa.array([_packed_codes(bucket)], pa.binary()),
              pa.array([sent], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))],
-            names=["block", "doc_ids", "sizes", "codes", "vocabulary"])
+            names=["block", "doc_ids", "sizes", "codes", "buckets", "vocabulary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = pre_tokens(pattern)
@@ -232,10 +256,12 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             answers = [_unpacked(a["ids"].as_py(), 2) for a in batch.column("answers")[row].values or ()]
-            lengths = np.concatenate([np.frombuffer(n, "<u4") for n, _ in answers] or [np.empty(0, "<u4")]).astype(np.int64)
+            order = np.argsort(_unpacked_codes(batch.column("buckets")[row].as_py()), kind="stable")   # as they were sent
+            sent = np.concatenate([np.frombuffer(n, "<u4") for n, _ in answers] or [np.empty(0, "<u4")]).astype(np.int64)
             flat = np.concatenate([np.frombuffer(i, "<u4") for _, i in answers] or [np.empty(0, "<u4")])
-            starts = np.cumsum(lengths) - lengths
-            codes = np.frombuffer(_unpacked(batch.column("codes")[row].as_py(), 1)[0], np.uint32)
+            starts, lengths = np.empty_like(sent), np.empty_like(sent)
+            starts[order], lengths[order] = np.cumsum(sent) - sent, sent
+            codes = _unpacked_codes(batch.column("codes")[row].as_py())
             docs, ids, held, at = [], [], 0, 0
             for doc, size in zip(batch.column("doc_ids")[row].as_py(), batch.column("sizes")[row].as_py(), strict=True):
                 mine = codes[at:at + size]
@@ -255,6 +281,16 @@ def _encoded_batch(docs: list, ids: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
 
+def _kept(blocks: DataFrame) -> DataFrame:
+    """The blocks as a table in the shared folder, dealt by ``block`` like a shuffle of this session, so that
+    the codes stay where they are when the ids come back."""
+    spark = blocks.sparkSession
+    name = f"byte_bpe_blocks_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (blocks.write.format("parquet").bucketBy(parts, "block").option("path", scratch_path(spark, name)).saveAsTable(name))
+    return spark.table(name)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, buckets: int | None = None,
                      block_pre_tokens: int = BLOCK_PRE_TOKENS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and ``ids`` (little-endian unsigned 32-bit), as
@@ -264,12 +300,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     partitions, unless given) is to grow with the corpus' vocabulary."""
     path, pattern = path or vocabulary_path(RANKS), pattern or split_pattern()
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(exploded(docs, buckets, pattern, block_pre_tokens), "byte-bpe-blocks")
+    blocks = _kept(exploded(docs, buckets, pattern, block_pre_tokens))
     asked = blocks.select("block", F.inline("vocabulary")).repartitionById(buckets, F.col("bucket"))
     answers = (encoded_words(asked, path, pattern)
                .groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("answers")))
-    return (blocks.select("block", "doc_ids", "sizes", "codes").join(answers, "block", "left")
-            .select("doc_ids", "sizes", "codes", "answers").mapInArrow(_reassembled, "doc_id long, ids binary"))
+    return (blocks.drop("vocabulary").join(answers, "block", "left")
+            .select("doc_ids", "sizes", "codes", "buckets", "answers").mapInArrow(_reassembled, "doc_id long, ids binary"))
 
 
 @lru_cache(maxsize=2)

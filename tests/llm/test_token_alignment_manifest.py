@@ -151,8 +151,7 @@ def test_alignment_in_segments_is_the_same(monkeypatch):
     both = align.tokens(*map(public_tokenizers.path, (align.VOCABULARY_A, align.RANKS_A, align.VOCABULARY_B)))
     texts = [*odd_texts(200, 5), prose(9, 500)]
     whole = [align._document(t, both) for t in texts]
-    monkeypatch.setattr(align, "segments", lambda t: byte_bpe.segments(t, 5))
-    monkeypatch.setattr(align, "MEMO_CHUNKS", 20)
+    monkeypatch.setattr(align, "SEGMENT", 5)
     for text, one in zip(texts, whole):
         for x, y in zip(one, align._document(text, both), strict=True):
             assert np.array_equal(x, y), text
