@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlore.operators.knn import _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk
+from chatlore.operators.knn import _CELLS, _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk
 from chatlore.session import materialize
 
 
@@ -63,6 +63,38 @@ def _lists_in_reach(q: np.ndarray, centroids: np.ndarray, radius: np.ndarray, si
     return np.argwhere((d - radius <= reach + SLACK * (1 + reach)) & (size > 0))
 
 
+def _blocks(rows: int, lists: int) -> Iterator[slice]:
+    """Row blocks whose distances to all lists are a bounded matrix."""
+    step = max(1, _CELLS // max(1, lists))
+    for start in range(0, rows, step):
+        yield slice(start, start + step)
+
+
+def nearest_list(m: np.ndarray, centroids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest list and its distance to that centroid."""
+    m = _unit(m, metric)
+    near, away = np.empty(len(m), np.int32), np.empty(len(m))
+    for b in _blocks(len(m), len(centroids)):
+        d = _distances(m[b], centroids)
+        near[b], away[b] = d.argmin(axis=1), d.min(axis=1)
+    if metric == "cosine":  # a zero vector has no direction: as far as any unit vector can be
+        away[(m * m).sum(axis=1) == 0] = 2.0
+    return near, away
+
+
+def lists_to_read(q: np.ndarray, centroids: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int,
+                  metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(question, list) pairs whose lists can hold one of the ``k`` nearest rows."""
+    q = _unit(q, metric)
+    parts = [_lists_in_reach(q[b], centroids, radius, size, k) + [b.start, 0] for b in _blocks(len(q), len(centroids))]
+    if metric == "cosine":  # a zero vector is at distance 1 of all rows, and so is a zero row
+        zero = np.flatnonzero((q * q).sum(axis=1) == 0)
+        lists = np.flatnonzero(size > 0)
+        parts.append(np.stack([np.repeat(zero, len(lists)), np.tile(lists, len(zero))], axis=1))
+    who, near = np.unique(np.concatenate(parts), axis=0).T
+    return who, near
+
+
 def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2sq",
              qid: str = "question_id", qvec: str = "embedding", id_col: str = "id", vec: str = "embedding",
              n_lists: int | None = None, max_group_rows: int = 100_000, max_group_questions: int = 20_000,
@@ -94,12 +126,8 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not pdf.empty:
-                m = _unit(_as_matrix(pdf["_cv"], dim), metric)
-                d = _distances(m, bc.value)
-                away = d.min(axis=1)
-                if metric == "cosine":  # a zero vector has no direction: as far as any unit vector can be
-                    away = np.where((m * m).sum(axis=1) == 0, 2.0, away)
-                yield pdf.assign(_list=d.argmin(axis=1).astype(np.int32), _away=away)
+                near, away = nearest_list(_as_matrix(pdf["_cv"], dim), bc.value, metric)
+                yield pdf.assign(_list=near, _away=away)
 
     assigned = materialize(csel.mapInPandas(assign, T.StructType(
         [*csel.schema.fields, T.StructField("_list", T.IntegerType()), T.StructField("_away", T.DoubleType())])))
@@ -112,12 +140,7 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
         for pdf in batches:
             if pdf.empty:
                 continue
-            q = _unit(_as_matrix(pdf["_qv"], dim), metric)
-            who, near = _lists_in_reach(q, bc.value, radius, size, k).T
-            if metric == "cosine":  # a zero vector is at distance 1 of all rows, and so is a zero row
-                zero = np.flatnonzero((q * q).sum(axis=1) == 0)
-                who, near = np.append(who, np.repeat(zero, lists)), np.append(near, np.tile(np.arange(lists), len(zero)))
-                who, near = np.unique(np.stack([who, near]), axis=1)
+            who, near = lists_to_read(_as_matrix(pdf["_qv"], dim), bc.value, radius, size, k, metric)
             yield pd.DataFrame({qid: pdf[qid].to_numpy()[who], "_qv": pdf["_qv"].to_numpy()[who],
                                 "_list": near.astype(np.int32)})
 
@@ -125,6 +148,16 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
                                  T.StructField("_list", T.IntegerType())])
     probes = materialize(qsel.mapInPandas(probe, probe_schema))
 
+    cands = meet(assigned, probes, qid, id_col, questions.schema[qid], corpus.schema[id_col], dim, metric, k,
+                 max_group_rows, max_group_questions)
+    # a question probing several lists can meet the same row once per list only
+    return _global_topk(cands, qid, id_col, k).select(qid, id_col, "rank", "distance")
+
+
+def meet(assigned: DataFrame, probes: DataFrame, qid: str, id_col: str, qid_field: T.StructField, id_field: T.StructField,
+         dim: int, metric: str, k: int, max_group_rows: int, max_group_questions: int) -> DataFrame:
+    """Local top-k of the questions that probe a list (``_list``, ``_qv``) over its rows (``_list``, ``_cv``),
+    in ``cogroup`` groups of bounded size."""
     # per-list fan-out: salts for big lists, question blocks for popular lists
     csize = assigned.groupBy("_list").agg(F.count("*").alias("_nc"))
     qsize = probes.groupBy("_list").agg(F.count("*").alias("_nq"))
@@ -144,7 +177,7 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
               .drop("_s", "_b"))
 
-    out = T.StructType([questions.schema[qid], corpus.schema[id_col], T.StructField("distance", T.DoubleType())])
+    out = T.StructType([qid_field, id_field, T.StructField("distance", T.DoubleType())])
 
     def pair(corp: pd.DataFrame, ques: pd.DataFrame) -> pd.DataFrame:
         if corp.empty or ques.empty:
@@ -154,11 +187,9 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
         return pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],
                              id_col: res["id"].to_numpy(), "distance": res["distance"].to_numpy()})
 
-    cands = (corpus_g.groupBy("_list", "_salt", "_blk")
-             .cogroup(ques_g.groupBy("_list", "_salt", "_blk"))
-             .applyInPandas(pair, out))
-    # a question probing several lists can meet the same row once per list only
-    return _global_topk(cands, qid, id_col, k).select(qid, id_col, "rank", "distance")
+    return (corpus_g.groupBy("_list", "_salt", "_blk")
+            .cogroup(ques_g.groupBy("_list", "_salt", "_blk"))
+            .applyInPandas(pair, out))
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, qid: str = "question_id", id_col: str = "id") -> float:

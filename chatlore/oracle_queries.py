@@ -80,8 +80,8 @@ SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('
     "retrieve_topk_cosine": W(_VECS, _SELF_PAIRS.format(dist=O.cosine("q.e", "c.e"))) + f"""
 SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
 
-    "retrieve_topk_ivf": W(_VECS, _SELF_PAIRS.format(dist=O.l2sq("q.e", "c.e"))) + f"""
-SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
+    **dict.fromkeys(("retrieve_topk_ivf", "retrieve_topk_stored"), W(_VECS, _SELF_PAIRS.format(dist=O.l2sq("q.e", "c.e"))) + f"""
+SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}"""),
 
     "retrieve_payload": W(_VECS, """v_index AS (SELECT v.id, v.e, d.text, d.source
                                         FROM v_vecs v JOIN documents d ON d.doc_id = v.id)""",

@@ -25,6 +25,7 @@ from chatlore.operators import messages as msg
 from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
 from chatlore.session import materialize, scratch_path
 from chatlore.sources import chat, views
+from chatlore.sources.list_store import ListStore
 from chatlore.sources.vector_index import VectorIndex
 from chatlore.streaming import chat_stream as S_chat, ingest_stream as S_ingest
 
@@ -193,6 +194,15 @@ def retrieve_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hits)
 
 
+def retrieve_topk_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-5 out of stored inverted lists: built once, then opened anew and searched without training; same
+    inputs and rows as ``retrieve_topk``."""
+    path = scratch_path(spark, f"lists-{uuid.uuid4().hex}")
+    vecs = views.vectors(spark, sf)
+    ListStore(spark, path).build(vecs)
+    return _rounded(ListStore(spark, path).topk(vecs.withColumnRenamed("id", "question_id"), k=5))
+
+
 def retrieve_payload(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of ``embeddings`` indexed with the text of the document of the
     same id; the ranking reads vectors only, text is joined to the winners."""
@@ -417,6 +427,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retrieve_topk": retrieve_topk,
     "retrieve_topk_cosine": retrieve_topk_cosine,
     "retrieve_topk_ivf": retrieve_topk_ivf,
+    "retrieve_topk_stored": retrieve_topk_stored,
     "retrieve_payload": retrieve_payload,
     "retrieve_questions": retrieve_questions,
     "event_route": event_route,
