@@ -62,6 +62,24 @@ def test_signature_tree_prunes_nothing_that_links():
             assert all((100 * i >= 80 * (a + b - i)) == (i >= ngram_join.needed(a, b)) for i in range(a + 1))
 
 
+def test_ngram_join_prefix_tokens_are_whole_hashes(spark):
+    texts = [" ".join(f"w{i * k % 97}" for i in range(60)) for k in range(1, 9)]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, ref long, text string")
+    for r in ngram_join.profiles(rows).collect():
+        tokens = set(ngram_join.shingles(texts[r.doc_id].encode()).view(np.int64).tolist())
+        assert len(set(r.prefix)) == len(r.prefix) == r.n - (-(-80 * r.n // 100)) + 1 and set(r.prefix) <= tokens
+
+
+def test_one_of_each_keeps_every_column_and_always_the_same_row(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "de", 5, 7, {"a": 1}), (1, text, "en", 6, 8, {"a": 2}), (2, text, "fr", 7, 9, None)]
+    schema = "doc_id long, text string, lang string, __ref int, ref int, row map<string,int>"
+    kept = {tuple(map(str, *ngram_join.one_of_each(spark.createDataFrame(some, schema).repartition(n)).collect()))
+            for some in (rows, rows[::-1]) for n in (1, 5)}
+    assert len(kept) == 1 and next(iter(kept))[0] == "1"
+    assert ngram_join.one_of_each(spark.createDataFrame(rows, schema)).columns == ["doc_id", "text", "lang", "__ref", "ref", "row"]
+
+
 def test_ngram_join_edges(spark):
     rows = ngram_join.near_duplicates(edge_docs(spark)).collect()
     assert len(rows) == len(edge_rows())
