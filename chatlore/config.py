@@ -52,6 +52,7 @@ class Params:
     domain: str = DEFAULT_DOMAIN
     top_k: int = DEFAULT_TOP_K
     metric: str = "l2sq"
+    scope_by_channel: bool = False  # memory per channel; off: equal thread_ts of two channels share it
     search: str = "exact"  # "exact" top-k, or "ivf" (inverted lists, same rows) for clustered corpora
     ivf_lists: int | None = None  # None: about sqrt(corpus rows)
     dim: int = 64

@@ -107,6 +107,10 @@ SELECT event_id, small_talk FROM v_prep""",
     "session_key": W(O.V_EVENTS, O.routed(), O.prepared()) + """
 SELECT event_id, session_key, reply_thread_ts FROM v_prep""",
 
+    "session_key_scoped": W(O.V_EVENTS, O.routed(), O.prepared()) + """
+SELECT coalesce(channel, '') || ':' || session_key AS session_key, count(*) AS n_events, min(event_id) AS first_event
+FROM v_prep GROUP BY 1""",
+
     "session_history": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
 SELECT event_id, session_key, history_len FROM v_turns""",
 
@@ -172,6 +176,11 @@ FROM v_docs GROUP BY channel_id""",
     "chat_stream": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
 SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out""",
 
+    "chat_stream_json": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
+SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, 'unreadable lines', count(*) FROM v_events WHERE event_id % 23 = 0""",
+
     "ingest_stream": _docs(None) + """
 SELECT id, text, author, slack_url, channel_id, timestamp FROM v_docs""",
 }

@@ -251,6 +251,12 @@ def small_talk(spark: SparkSession, sf: str) -> DataFrame:
     return EV.prepare(views.events(spark, sf)).select("event_id", "small_talk")
 
 
+def session_key_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """Session keys with memory per channel, and how many questions share each."""
+    events = EV.prepare(views.events(spark, sf), scope_by_channel=True)
+    return events.groupBy("session_key").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
+
+
 def session_key(spark: SparkSession, sf: str) -> DataFrame:
     return EV.prepare(views.events(spark, sf)).select("event_id", "session_key", "reply_thread_ts")
 
@@ -393,6 +399,18 @@ def chat_stream(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "channel", "thread_ts", "text", "status", "history_len")
 
 
+def chat_stream_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The chat over lines of JSON, some of them cut off: replies as in ``chat_stream``, and one row with the number
+    of lines put aside."""
+    work = scratch_path(spark, f"chat-json-{uuid.uuid4().hex}")
+    views.event_lines(spark, sf).write.text(f"{work}/events")
+    index = _doc_index(spark, sf)
+    _, _, out = S_chat.start(spark, f"{work}/events", lambda: index, work, Params(), events_format="json")
+    replies = S_chat.read_replies(spark, out).select("event_id", "channel", "thread_ts", "text", "status", "history_len")
+    aside = S_chat.read_quarantine(spark, work).agg(F.count(F.lit(1)).alias("history_len"))
+    return replies.unionByName(aside.withColumn("status", F.lit("unreadable lines")), allowMissingColumns=True)
+
+
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Incremental ingestion: first turns land, later turns arrive afterwards
     and re-stitch their (older) threads; the index ends equal to a full load."""
@@ -434,6 +452,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mention_strip": mention_strip,
     "small_talk": small_talk,
     "session_key": session_key,
+    "session_key_scoped": session_key_scoped,
     "session_history": session_history,
     "context_block": context_block,
     "prompt_build": prompt_build,
@@ -447,5 +466,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "response_extract": response_extract,
     "run_metrics": run_metrics,
     "chat_stream": chat_stream,
+    "chat_stream_json": chat_stream_json,
     "ingest_stream": ingest_stream,
 }

@@ -46,6 +46,7 @@ from chatlore.operators import events as EV
 from chatlore.operators.answer import on_requests
 from chatlore.plans.chat import answer_distinct
 from chatlore.plans.retrieve import question_key
+from chatlore.sources import json_events
 
 TURNS = T.StructType([
     T.StructField("event_id", T.LongType(), False),
@@ -94,9 +95,12 @@ def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
     return reader.parquet(path)
 
 
-def _turns_batch(index_reader, params: Params, embedder, generator, out_dir: str):
+def _turns_batch(index_reader, params: Params, embedder, generator, out_dir: str, quarantine_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        prepared = EV.prepare(batch, params.small_talk)
+        if "reason" in batch.columns:       # lines of JSON; a replay replaces what it put aside
+            json_events.unreadable(batch).write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
+            batch = json_events.readable(batch)
+        prepared = EV.prepare(batch, params.small_talk, params.scope_by_channel)
         asks = prepared.where(~F.col("small_talk")).withColumn("qkey", question_key(F.col("query")))
         answered = answer_distinct(asks, index_reader(), params, embedder, generator)
         turns = asks.join(answered.select("qkey", "instruction", "answer", "status"), "qkey", "left")
@@ -198,20 +202,24 @@ def _memory(make_generator, max_messages: int | None, session_timeout: float | N
 def start(spark: SparkSession, events_path: str, index_reader, work_dir: str, params: Params = Params(),
           embedder=None, generator=None, history_generator=None, max_messages: int | None = None,
           max_files_per_trigger: int | None = None, available_now: bool = True, session_timeout: float | None = None,
-          late_seconds: int = 0, request_generator=None):
+          late_seconds: int = 0, request_generator=None, events_format: str = "parquet"):
     """Start both queries; returns ``(turns_query, replies_query, replies_path)``.
 
     ``index_reader()`` returns the index DataFrame and is called per batch, so
     upserts between batches are seen by later questions.  ``session_timeout`` in seconds, ``None`` for
     none; the state of an expired session goes ``late_seconds`` later by event time.
     ``request_generator`` makes ``answer.RequestFn``, which gets each turn's model, messages and temperature.
+    ``events_format``: ``parquet``, or ``json`` for lines of JSON; lines that can't be read are put aside (``read_quarantine``).
     """
     if request_generator is not None:
         history_generator = on_requests(request_generator, params)
     turns_dir = f"{work_dir}/turns"
     replies_dir = f"{work_dir}/replies"
-    events = event_stream(spark, events_path, max_files_per_trigger)
-    w1 = (events.writeStream.foreachBatch(_turns_batch(index_reader, params, embedder, generator, turns_dir))
+    if events_format not in ("parquet", "json"):
+        raise ValueError("events_format must be 'parquet' or 'json'")
+    source = json_events.event_stream if events_format == "json" else event_stream
+    events = source(spark, events_path, max_files_per_trigger)
+    w1 = (events.writeStream.foreachBatch(_turns_batch(index_reader, params, embedder, generator, turns_dir, f"{work_dir}/quarantine"))
           .option("checkpointLocation", f"{work_dir}/_chk_turns"))
     w1 = w1.trigger(availableNow=True) if available_now else w1
     q1 = w1.start()
@@ -261,3 +269,14 @@ def read_replies(spark: SparkSession, replies_dir: str) -> DataFrame:
     rest = [c for c in REPLIES.fieldNames() if c != "event_id"]
     first = rows.groupBy("event_id").agg(F.min_by(F.struct(*rest), "batch").alias("r"))
     return first.select("event_id", "r.*")
+
+
+def read_quarantine(spark: SparkSession, work_dir: str) -> DataFrame:
+    """``line, reason, batch`` of the JSON lines that couldn't be read, by micro-batch; of complete writes only."""
+    fs, path = _fs(spark, f"{work_dir}/quarantine")
+    folders = [st.getPath() for st in fs.listStatus(path)] if fs.exists(path) else []
+    done = [f"{work_dir}/quarantine/{f.getName()}" for f in folders if fs.exists(f.suffix("/_SUCCESS"))]
+    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("batch", T.LongType())])
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{work_dir}/quarantine").parquet(*done)
