@@ -261,6 +261,60 @@ def test_decontamination_with_some_slots_changed(spark):
     assert set(found) == {(0, 0), (1, 1), (2, 2), (3, 1)} and not any(r.same_slots for r in found.values())
 
 
+def test_decontamination_slots_are_consistent(spark):
+    items = ["What is 2 + 2?", "What is 17 + 25?", "How many km in 5 miles?",
+             "Tom has 5 apples. Tom eats 2. Maria takes 1. How many apples does Tom have?"]
+    texts = ["what is 100 200 exactly", "so what is 3 + 9 then", "so what is 4 + 4 then", "What is 17 + 25?", "how many kg in 9 dollars",
+             "how many feet in 9 miles", "how many miles in 9 miles", "Maria has 7 apples. Maria eats 3. Ana takes 4. How many apples does Jose have?",
+             "Maria has 7 apples. Maria eats 3. Ana takes 4. How many apples does Maria have?", "what is 2 + 2"]
+    found = found_items(spark, texts, items)
+    assert set(found) == {(1, 1), (2, 0), (2, 1), (3, 1), (5, 2), (8, 3), (9, 0)}
+    assert {k for k, r in found.items() if r.same_slots} == {(3, 1), (9, 0)}
+
+
+def test_decontamination_equals_a_brute_force_aligner(spark):
+    """Re-parameterised, inconsistent and twin questions, found by trying every place of a document."""
+    r = random.Random(7)
+    names, numbers, dims = ["Tom", "Ana", "Lee", "Kim"], ["3", "5", "8"], [["kg", "pounds", "grams"], ["km", "miles"]]
+
+    def question(goods, units, slots=None):
+        a, b, c, n, m, u, v = slots or (r.choice(names), r.choice(names), r.choice(names), r.choice(numbers), r.choice(numbers),
+                                        r.choice(units), r.choice(units))
+        return f"{a} buys {n} {u} of {goods} and gives {m} {v} to {b} for {c}"
+
+    kinds = {**{x: "name" for x in names}, **{x: "number" for x in numbers}, **{x: k for k, some in enumerate(dims) for x in some}}
+    goods = ["rope", "wire", "cloth"]
+    items = [question(g, dims[k % 2]) for k, g in enumerate(goods) for _ in range(6)]
+    items = [*dict.fromkeys(items)]
+    texts = [f"{prose(k, 9)}, {r.choice(items) if k % 4 == 0 else question(goods[k % 3], dims[r.randrange(2)])} {prose(k + 99, 9)}" for k in range(90)]
+
+    def meets(item, text):
+        item, text = item.split(), text.split()
+        for at in range(len(text) - len(item) + 1):
+            pairs = [*zip(item, text[at:at + len(item)], strict=True)]
+            if any(kinds.get(x) != kinds.get(y) or (x not in kinds and x != y) for x, y in pairs):
+                continue
+            maps = {(x, y) for x, y in pairs if x in kinds}
+            units = {(x, y) for x, y in maps if isinstance(kinds[x], int)}
+            if len(maps) == len({x for x, _ in maps}) and len(units) == len({y for _, y in units}):
+                return "copy" if item == text[at:at + len(item)] else "new"
+        return None
+
+    want = set()
+    for d, text in enumerate(texts):
+        some = {i: meets(item, text) for i, item in enumerate(items)}
+        copies = {(d, i) for i, how in some.items() if how == "copy"}
+        want |= copies or {(d, i) for i, how in some.items() if how}
+    got = found_items(spark, texts, items)
+    assert set(got) == want and len(want) > 30 and len({d for d, _ in want}) < 80
+
+
+def test_decontamination_keeps_columns_with_its_own_names_and_int_ids(spark):
+    docs = spark.createDataFrame([(1, f"so {ITEMS[1]} then", 7, "x"), (2, "other words", 8, "y")], "doc_id int, text string, ref long, ITEM string")
+    left = decontaminate.decontaminated(docs, spark.createDataFrame([(0, ITEMS[1])], "item_id long, text string"))
+    assert left.columns == docs.columns and [tuple(x) for x in left.collect()] == [(2, "other words", 8, "y")]
+
+
 def test_decontamination_without_the_filter(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     filtered = sorted(decontaminate.matches(docs, items).collect())
