@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ ENOUGH = 13                  # tokens (or the whole item) that a match must cove
 WRONG = 5                    # percent of an item's tokens that may be missing or have other values without being consistent
 LITERAL = 2                  # the reading without names
 FILTER_WINDOWS = 4_000_000   # benchmark windows up to which their hashes (32 MB) are sent to the tasks
-MEMO_TOKENS = 120_000        # speed only
+MEMO_TOKENS = 240_000        # some 40 MB in a worker; speed only
 READ_CHARS = 200_000         # speed only
 
 # Words for numbers and units that become slots.
@@ -119,8 +119,7 @@ class Template:
         self._first, self._last = at[first], at[np.append(first[1:], len(kind))[:len(first)] - 1]
         self.owner = owner[self._first]
         slot = self.kind >= _NUMBER
-        plain = np.where(kind <= _BREAK, np.uint64(0), code >> np.uint64(4))
-        self._values = mix((np.add.reduceat(plain, first) if len(first) else plain[:0]) + self.kind.astype(np.uint64) * slot)
+        self._read = code, kind, first
         self.codes = np.where(slot, mix(self.kind.astype(np.uint64)), mix(code[first] >> np.uint64(4)))
         words = self.kind == _WORD
         self.words, self.told = (np.concatenate(([0], np.cumsum(x))) for x in (words, words | slot))
@@ -128,6 +127,12 @@ class Template:
     def __len__(self) -> int:
         return len(self.codes)
 
+    def _values(self) -> np.ndarray:
+        code, kind, first = self._read
+        plain = np.where(kind <= _BREAK, np.uint64(0), code >> np.uint64(4))
+        slot = self.kind >= _NUMBER
+        return mix((np.add.reduceat(plain, first) if len(first) else plain[:0]) + self.kind.astype(np.uint64) * slot)
+
     def inside(self, width: int) -> np.ndarray:
         """Windows that lie in one text."""
         return self.owner[width - 1:] == self.owner[:max(0, len(self) - width + 1)]
@@ -139,13 +144,14 @@ class Template:
         words, told = (x[width:] - x[:-width] for x in (self.words, self.told))
         return (words > 0) & (2 * words >= told) & (width >= SHORTEST)
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of each window: of its template, or with the values of its slots where it is not ``light``."""
+    def windows(self, width: int, heavy: bool = True) -> np.ndarray:
+        """Hash of each window: of its template, or (if ``heavy`` ones are asked for) with the values of its slots
+        where it is not ``light``."""
         if len(self) < width:
             return np.empty(0, np.uint64)
-        h, light = RollingHash(self.codes).every(width) + np.uint64(width), self.light(width)
-        if not light.all():
-            h = np.where(light, h, RollingHash(self._values).every(width) + np.uint64(width + _HEAVY))
+        h = RollingHash(self.codes).every(width) + np.uint64(width)
+        if heavy and not (light := self.light(width)).all():
+            h = np.where(light, h, RollingHash(self._values()).every(width) + np.uint64(width + _HEAVY))
         return h
 
     def slots(self, start: int, width: int) -> list[str]:
@@ -156,8 +162,8 @@ class Template:
         return " ".join(t for t in self._found[self._first[k]:self._last[k] + 1] if t not in _MARKS).lower()
 
 
-def templates(texts: list[str | None]) -> list[Template]:
-    """The readings of texts, which differ in what a capitalised word is.
+def templates(texts: list[str | None], readings: Container[int] = range(3)) -> list[Template | None]:
+    """The readings of texts (those asked for), which differ in what a capitalised word is.
 
     0: a name, but a word where it opens a sentence; 1: always a name, which any mark ends; 2: always
     a word.  What a token is in 2 doesn't depend on what precedes it or on its case, so a copy after a
@@ -173,16 +179,25 @@ def templates(texts: list[str | None]) -> list[Template]:
     code = _CODES.of(found)
     kind = (code & _KIND).astype(np.int8)
     at = np.arange(len(found))
-    some = kind != _BREAK            # reading 0 doesn't end names at them
-    code0, kind0, at0 = code[some], kind[some], at[some]
-    opens = np.append(True, kind0[:-1] == _END)[:len(kind0)]
-    kind0[(kind0 == _CAPITAL) & opens] = _WORD
-    out = []
-    for c, k, a in ((code0, kind0, at0), (code, kind, at)):
-        name = k == _CAPITAL
-        out.append(Template(found, c, k, name & np.append(False, name[:-1])[:len(name)], a, owner))
-    literal = np.where(kind == _CAPITAL, _WORD, kind).astype(np.int8)
-    return [*out, Template(found, code, literal, np.zeros(len(kind), bool), at, owner)]
+    out: list[Template | None] = [None] * 3
+    if 0 in readings:
+        some = kind != _BREAK            # they don't end names here
+        code0, kind0, at0 = code[some], kind[some], at[some]
+        opens = np.append(True, kind0[:-1] == _END)[:len(kind0)]
+        kind0[(kind0 == _CAPITAL) & opens] = _WORD
+        out[0] = Template(found, code0, kind0, _joins(kind0), at0, owner)
+    if 1 in readings:
+        out[1] = Template(found, code, kind, _joins(kind), at, owner)
+    if LITERAL in readings:
+        literal = np.where(kind == _CAPITAL, _WORD, kind).astype(np.int8)
+        out[LITERAL] = Template(found, code, literal, np.zeros(len(kind), bool), at, owner)
+    return out
+
+
+def _joins(kind: np.ndarray) -> np.ndarray:
+    """Capitalised words after another one, which belong to its name."""
+    name = kind == _CAPITAL
+    return name & np.append(False, name[:-1])[:len(name)]
 
 
 class Wanted:
@@ -203,15 +218,16 @@ class Wanted:
         return found
 
 
-def _window_rows(ids: list[tuple], template: Template, reading: int, widths: list[int], wanted: Wanted | None) -> Iterator[tuple]:
-    """Rows of the (wanted) windows of texts with these ``ids``."""
+def _window_rows(ids: list[tuple], template: Template, reading: int, widths: dict[int, bool], wanted: Wanted | None) -> Iterator[tuple]:
+    """Rows of the (wanted) windows of texts with these ``ids``; ``widths``: whether heavy ones are asked for, too."""
     start = np.searchsorted(template.owner, np.arange(len(ids)))
-    for width in widths:
-        h = template.windows(width) + np.uint64(reading)
-        hit = template.inside(width)
+    for width, heavy in widths.items():
+        h = template.windows(width, heavy) + np.uint64(reading)
+        hit, light = template.inside(width), template.light(width)
+        if not heavy:
+            hit = hit & light
         if wanted is not None and len(h):
             hit = hit & wanted.has(h)
-        light = template.light(width)
         for k in np.flatnonzero(hit).tolist():
             text = template.owner[k]
             yield (*ids[text], reading, int(h[k].view(np.int64)), k - int(start[text]), width, template.slots(k, width), bool(light[k]))
@@ -226,7 +242,7 @@ def _item_rows(item: int | None, text: str | None) -> Iterator[tuple]:
         width = min(WINDOW, len(t))
         light = int(t.light(width).sum())
         need = min(ENOUGH, len(t)) - width + 1
-        for r in _window_rows([(item,)], t, reading, [width], None):
+        for r in _window_rows([(item,)], t, reading, {width: True}, None):
             at = r[3]
             places = (at + np.flatnonzero(t.kind[at:at + width] >= _NUMBER)).tolist()
             yield (*r, len(t), need, min(need, light) if light else need, places)
@@ -268,19 +284,20 @@ def _ref() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """Windows of the documents; only those whose hash is ``wanted``, if given."""
+def document_windows(docs: DataFrame, widths: dict[int, dict[int, bool]], wanted: np.ndarray | None) -> DataFrame:
+    """Windows of the documents, of these widths by reading (and whether heavy ones, too); only those whose hash is
+    ``wanted``, if given."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Wanted(shared.value) if shared.value is not None and len(shared.value) else None
+        hashes = None if shared.value is None or not len(shared.value) else Wanted(shared.value)
         for batch in slices(batches):
             rows = []
             docs, refs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "ref", "text"))
             for some in _groups(texts) if widths else ():
-                for reading, template in enumerate(templates(texts[some])):
-                    ids = [*zip(docs[some], refs[some], strict=True)]
-                    rows += [r[:-1] for r in _window_rows(ids, template, reading, widths, hashes)]
+                ids, read = [*zip(docs[some], refs[some], strict=True)], templates(texts[some], widths)
+                for reading in widths:
+                    rows += [r[:-1] for r in _window_rows(ids, read[reading], reading, widths[reading], hashes)]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -374,11 +391,12 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     a null ``item_id`` is an item like others.  Without documents or items there are no rows.
     """
     bench = written(benchmark_windows(items), "benchmark-windows")
-    widths = sorted(r.width for r in bench.select("width").distinct().collect())      # at most WINDOW values
+    widths: dict[int, dict[int, bool]] = {}      # the documents are read in the ways that some item has; at most 3 * WINDOW values
+    for r in bench.groupBy("reading", "width").agg(F.bool_or(~F.col("light")).alias("heavy")).orderBy("reading", "width").collect():
+        widths.setdefault(r.reading, {})[r.width] = r.heavy
     wanted = None
     if bench.count() <= FILTER_WINDOWS:       # else the join alone sorts the windows out
         wanted = np.unique(np.array([r.hash for r in bench.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
-        widths = widths if len(wanted) else []
     bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item"), "item_id", F.col("reading").alias("as"),
                          F.col("hash").alias("key"), "at", "places", "values", "light", "tokens", "need", "need_light")
     hits = document_windows(docs, widths, wanted).join(bench, (F.col("hash") == F.col("key")) & (F.col("reading") == F.col("as")))
