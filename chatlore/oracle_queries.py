@@ -80,6 +80,10 @@ SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('
     "retrieve_topk_cosine": W(_VECS, _SELF_PAIRS.format(dist=O.cosine("q.e", "c.e"))) + f"""
 SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}""",
 
+    "retrieve_topk_hashed": W(_VECS, _SELF_PAIRS.format(dist=O.l2sq("q.e", "c.e"))) + f"""
+SELECT question_id, CAST(count(*) AS INTEGER) AS n_found, min({O.rounded('distance')}) AS nearest, TRUE AS recall_reached
+FROM {O.topk('v_pairs')} GROUP BY question_id""",
+
     **dict.fromkeys(("retrieve_topk_ivf", "retrieve_topk_stored"), W(_VECS, _SELF_PAIRS.format(dist=O.l2sq("q.e", "c.e"))) + f"""
 SELECT question_id, id, rank, {O.rounded('distance')} AS distance FROM {O.topk('v_pairs')}"""),
 

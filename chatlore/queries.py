@@ -25,6 +25,7 @@ from chatlore.operators import messages as msg
 from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
 from chatlore.session import materialize, scratch_path
 from chatlore.sources import chat, views
+from chatlore.sources.hash_store import HashStore
 from chatlore.sources.list_store import ListStore
 from chatlore.sources.vector_index import VectorIndex
 from chatlore.streaming import chat_stream as S_chat, ingest_stream as S_ingest
@@ -203,6 +204,19 @@ def retrieve_topk_stored(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ListStore(spark, path).topk(vecs.withColumnRenamed("id", "question_id"), k=5))
 
 
+def retrieve_topk_hashed(spark: SparkSession, sf: str) -> DataFrame:
+    """The inputs of ``retrieve_topk`` through stored hash buckets: per question the rows found and the nearest one's
+    distance, and whether the share of the exact search's rows among them is 0.9 or more over all questions."""
+    path = scratch_path(spark, f"hashes-{uuid.uuid4().hex}")
+    vecs = views.vectors(spark, sf)
+    HashStore(spark, path).build(vecs)
+    questions = vecs.withColumnRenamed("id", "question_id")
+    found = materialize(HashStore(spark, path).topk(questions, k=5))
+    recall = ivf.recall_at_k(found, materialize(knn.topk(questions, vecs, k=5)))
+    return _rounded(found).groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("n_found"), F.min("distance").alias("nearest"),
+                                                      F.lit(recall >= 0.9).alias("recall_reached"))
+
+
 def retrieve_payload(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of ``embeddings`` indexed with the text of the document of the
     same id; the ranking reads vectors only, text is joined to the winners."""
@@ -446,6 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retrieve_topk_cosine": retrieve_topk_cosine,
     "retrieve_topk_ivf": retrieve_topk_ivf,
     "retrieve_topk_stored": retrieve_topk_stored,
+    "retrieve_topk_hashed": retrieve_topk_hashed,
     "retrieve_payload": retrieve_payload,
     "retrieve_questions": retrieve_questions,
     "event_route": event_route,
