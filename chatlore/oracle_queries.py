@@ -22,6 +22,10 @@ ORACLE: dict[str, str] = {
 SELECT channel_id, ts, "user", coalesce(text, '') AS text, subtype, thread_ts
 FROM v_messages WHERE channel_id IN ('C0', 'C2') AND {O.falsy('subtype')}""",
 
+    "export_scan": W(O.V_MESSAGES) + """
+SELECT channel_id, ts, "user", text, subtype, thread_ts, thread_ts IS NOT NULL AS has_thread
+FROM v_messages WHERE thread_ts IS NULL OR thread_ts = ts""",
+
     "channel_recent_cap": W(O.V_DOC_MESSAGES, O.capped("v_doc_messages", 20)) + """
 SELECT channel_id, ts, pos, "user" FROM v_capped""",
 

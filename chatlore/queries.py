@@ -25,6 +25,7 @@ from chatlore.operators import messages as msg
 from chatlore.plans import chat as P_chat, ingest as P_ingest, retrieve as P_retrieve
 from chatlore.session import materialize, scratch_path
 from chatlore.sources import chat, views
+from chatlore.sources.export_source import read_export_days, write_export
 from chatlore.sources.hash_store import HashStore
 from chatlore.sources.list_store import ListStore
 from chatlore.sources.vector_index import VectorIndex
@@ -237,6 +238,14 @@ def retrieve_questions(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hits)
 
 
+def export_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-level messages of an export, read through the data source by channel and day."""
+    root = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    write_export(chat.with_has_thread(views.messages(spark, sf)), root)
+    top, _ = read_export_days(spark, root)
+    return top.select("channel_id", "ts", "user", "text", "subtype", "thread_ts", "has_thread")
+
+
 def _doc_index(spark: SparkSession, sf: str) -> DataFrame:
     """Index for the chat queries: every ``documents`` row as a channel
     message (channel = source), author resolved, hash-embedded."""
@@ -443,6 +452,7 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "message_filter": message_filter,
+    "export_scan": export_scan,
     "channel_recent_cap": channel_recent_cap,
     "cap_before_filter": cap_before_filter,
     "thread_stitch": thread_stitch,

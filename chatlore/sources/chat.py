@@ -129,6 +129,11 @@ def read_export(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
         F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+\.json$", 1).alias("channel_id"),
         F.explode(F.from_json("value", "array<string>")).alias("body"),
     )
+    return export_tables(raw)
+
+
+def export_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(messages, replies)`` out of the objects of an export (``channel_id, body``)."""
     parsed = parse_raw_messages(raw.withColumn("pos", F.lit(0)))
     ts = F.col("ts").cast("decimal(20,6)")
     top = parsed.where(~F.col("has_thread") | (F.col("thread_ts") == F.col("ts")))
