@@ -184,6 +184,23 @@ FROM v_docs GROUP BY channel_id""",
     "chat_stream": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
 SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out""",
 
+    "chat_stream_metrics": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """,
+v_sizes AS (
+  SELECT (SELECT count(*) FROM v_prep) AS turns, (SELECT sum(length(query)) FROM v_prep) AS query_chars,
+         sum(length(a.instruction)) AS instruction_chars, max(length(a.instruction)) AS instruction_chars_max
+  FROM v_prep p JOIN v_answers a ON a.query = p.query WHERE NOT p.small_talk),
+v_out AS (
+  SELECT count(*) AS replies, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'greeting') AS greetings,
+         sum(history_len) AS history_messages, max(history_len) AS history_messages_max,
+         sum(length(text)) AS response_chars, max(length(text)) AS response_chars_max
+  FROM v_replies_out)
+SELECT metric, CAST(value AS BIGINT) AS value FROM (
+  SELECT unnest(['turns', 'query_chars', 'instruction_chars', 'instruction_chars_max']) AS metric,
+         unnest([turns, query_chars, instruction_chars, instruction_chars_max]) AS value FROM v_sizes
+  UNION ALL
+  SELECT unnest(['replies', 'errors', 'greetings', 'history_messages', 'history_messages_max', 'response_chars', 'response_chars_max']),
+         unnest([replies, errors, greetings, history_messages, history_messages_max, response_chars, response_chars_max]) FROM v_out)""",
+
     "chat_stream_json": W(O.V_EVENTS, O.V_DOC_MESSAGES, O.V_USERS, O.chat_turns()) + """
 SELECT event_id, channel, thread_ts, text, status, history_len FROM v_replies_out
 UNION ALL

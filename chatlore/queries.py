@@ -422,6 +422,16 @@ def chat_stream(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "channel", "thread_ts", "text", "status", "history_len")
 
 
+def chat_stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream observes of its turns and replies, over two runs of it from the checkpoints."""
+    work = scratch_path(spark, f"chat-metrics-{uuid.uuid4().hex}")
+    events, index = views.events(spark, sf), _doc_index(spark, sf)
+    for part in (0, 1):
+        events.where(F.pmod("event_id", F.lit(2)) == part).write.mode("append").parquet(f"{work}/events")
+        S_chat.start(spark, f"{work}/events", lambda: index, work, Params())
+    return S_chat.run_totals(S_chat.read_metrics(spark, work))
+
+
 def chat_stream_json(spark: SparkSession, sf: str) -> DataFrame:
     """The chat over lines of JSON, some of them cut off: replies as in ``chat_stream``, and one row with the number
     of lines put aside."""
@@ -492,5 +502,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_metrics": run_metrics,
     "chat_stream": chat_stream,
     "chat_stream_json": chat_stream_json,
+    "chat_stream_metrics": chat_stream_metrics,
     "ingest_stream": ingest_stream,
 }

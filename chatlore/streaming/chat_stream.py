@@ -23,6 +23,9 @@ there) empties a session's memory when more than so many seconds lie between a t
 it.  Turns carry no event time of their own, so none is ever too late: a clock row per micro-batch moves the
 watermark, and the event-time timers of expired sessions remove their state.
 
+The replies query observes what it reads and writes (D5: turns, sizes of questions, instructions, history and
+responses); ``record_metrics`` keeps the numbers of its finished micro-batches in ``<work>/metrics``.
+
 Without a history-aware generator the state is a count; with one it is every message of the
 session, like the reference's; ``max_messages`` bounds what the generator reads, not the count.
 """
@@ -80,6 +83,10 @@ STATE = T.StructType([
     T.StructField("seen", T.ArrayType(T.LongType()), True),          # its events so far
     T.StructField("last_seconds", T.DoubleType(), True),             # of the last turn, with a timeout only
 ])
+METRICS = T.StructType([
+    T.StructField("batch", T.LongType(), False), T.StructField("stage", T.StringType(), False),
+    T.StructField("metric", T.StringType(), False), T.StructField("value", T.LongType(), False),
+])
 #: ``event_id`` of the row that only moves the watermark.
 CLOCK = -(1 << 63)
 
@@ -234,6 +241,7 @@ def _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, m
     fs.mkdirs(path)  # an event stream without any batch yet still has a turns folder
     schema = T.StructType([*TURNS.fields, T.StructField("clock", T.TimestampType(), True), T.StructField("batch", T.LongType(), True)])
     turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(turns_dir)
+    turns = turns.observe("chat_turns", *_turn_metrics())
     timeout = GroupStateTimeout.NoTimeout
     if session_timeout is None:
         turns = turns.where(F.col("event_id") != CLOCK).drop("clock")
@@ -242,15 +250,59 @@ def _start_replies(spark, turns_dir, replies_dir, work_dir, history_generator, m
         timeout = GroupStateTimeout.EventTimeTimeout
     replies = turns.groupBy("session_key").applyInPandasWithState(
         _memory(history_generator, max_messages, session_timeout), REPLIES, STATE, "append", timeout)
+    replies = replies.observe("chat_replies", *_reply_metrics())
     w2 = (replies.writeStream.foreachBatch(lambda batch, batch_id: merge_replies(batch, replies_dir, batch_id))
           .option("checkpointLocation", f"{work_dir}/_chk_replies").outputMode("append"))
     w2 = w2.trigger(availableNow=True) if available_now else w2
     q2 = w2.start()
     if available_now:
         q2.awaitTermination()
+        record_metrics(q2, work_dir)
     return q2
 
 
+def _total(value: F.Column, name: str) -> F.Column:
+    return F.coalesce(F.sum(value.cast("long")), F.lit(0)).alias(name)
+
+
+def _turn_metrics() -> list[F.Column]:
+    return [_total(F.col("event_id") != CLOCK, "turns"), _total(F.length("query"), "query_chars"),
+            _total(F.length("instruction"), "instruction_chars"), F.max(F.length("instruction")).cast("long").alias("instruction_chars_max")]
+
+
+def _reply_metrics() -> list[F.Column]:
+    return [F.count(F.lit(1)).alias("replies"), _total(F.col("status") == "error", "errors"),
+            _total(F.col("status") == "greeting", "greetings"), _total(F.col("history_len"), "history_messages"),
+            F.max("history_len").alias("history_messages_max"), _total(F.length("text"), "response_chars"),
+            F.max(F.length("text")).cast("long").alias("response_chars_max")]
+
+
+def record_metrics(query, work_dir: str) -> None:
+    """Append what a replies query observed to ``<work>/metrics``: of the micro-batches in its progress, which holds the last
+    ``spark.sql.streaming.numRecentProgressUpdates``.  A query that runs on is recorded now and then; a batch may be
+    recorded twice (``read_metrics`` counts it once).  Metrics without a value (no row had one) are left out."""
+    rows = [(int(p.batchId), stage, metric, int(value)) for p in query.recentProgress for stage, seen in p.observedMetrics.items()
+            for metric, value in seen.asDict().items() if value is not None]
+    if rows:        # some numbers per micro-batch
+        SparkSession.active().createDataFrame(rows, METRICS).coalesce(1).write.mode("append").parquet(f"{work_dir}/metrics")
+
+
+def read_metrics(spark: SparkSession, work_dir: str) -> DataFrame:
+    """``batch, stage, metric, value``, once per micro-batch.  A turn that a replay appended again
+    is read, and counted in ``chat_turns``, again; its reply is one."""
+    fs, path = _fs(spark, f"{work_dir}/metrics")
+    if not fs.exists(path):
+        return spark.createDataFrame([], METRICS)
+    rows = spark.read.schema(METRICS).parquet(f"{work_dir}/metrics")
+    return rows.groupBy("batch", "stage", "metric").agg(F.max("value").alias("value"))
+
+
+def run_totals(metrics: DataFrame) -> DataFrame:
+    """``metric, value`` over all micro-batches: the greatest of ``_max`` metrics, the sum of the others."""
+    value = F.when(F.col("metric").endswith("_max"), F.max("value")).otherwise(F.sum("value"))
+    return metrics.groupBy("metric").agg(value.alias("value"))
+
+
 def merge_replies(replies: DataFrame, replies_dir: str, batch_id: int) -> None:
     """A micro-batch's replies, in a folder of its own that a replay replaces whole."""
     replies.write.mode("overwrite").parquet(f"{replies_dir}/batch={batch_id}")

@@ -323,6 +323,25 @@ def test_empty_index_answers_without_context_and_empty_events(spark):
     assert P.chat_batch(ev(spark, []), empty_index).count() == 0
 
 
+def test_stream_metrics_over_runs_with_a_timeout(spark):
+    """Micro-batches of several runs, clock rows left out, a batch that is recorded again counted once."""
+    work = scratch_path(spark, f"test-metrics-{uuid.uuid4().hex}")
+    assert S.read_metrics(spark, work).count() == 0
+    for k, rows in enumerate(([(1, "100.0", "s", "ok"), (2, "101.0", "s", "ok"), (3, "102.0", "t", "error")],
+                              [(4, "103.0", "s", "ok"), (5, None, None, "greeting")])):
+        part = turn_rows(spark, rows)
+        S.publish(part, part, f"{work}/turns", k)
+        got = replies_of(spark, work, session_timeout=60)
+    again = S.read_metrics(spark, work).select(F.col("batch"), "stage", "metric", "value")
+    again.write.mode("append").parquet(f"{work}/metrics")
+    total = {r.metric: r.value for r in S.run_totals(S.read_metrics(spark, work)).collect()}
+    replies = got.collect()
+    assert total["turns"] == total["replies"] == len(replies) == 5 and total["errors"] == 1 and total["greetings"] == 1
+    assert total["history_messages"] == sum(r.history_len or 0 for r in replies) == 6 and total["history_messages_max"] == 4
+    assert total["response_chars"] == sum(len(r.text or "") for r in replies)
+    assert len({r.batch for r in S.read_metrics(spark, work).collect()}) >= 2
+
+
 def test_stream_over_no_events(spark):
     work = scratch_path(spark, f"test-stream-empty-{uuid.uuid4().hex}")
     ev(spark, []).write.parquet(f"{work}/events")
