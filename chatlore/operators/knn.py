@@ -33,16 +33,22 @@ from chatlore.session import materialize
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
 HIT_BYTES = 256  # of a hit: two ids of 64 characters, rank, distance, row overhead
-_CELLS = 1 << 22  # distance-matrix cells per numpy step (32 MiB of doubles)
+GRID_BYTES = 32 << 20  # of one side of a group of the grid
+_CELLS = 1 << 20  # distance-matrix cells per numpy step (8 MiB of doubles)
+_STEP = 1 << 10  # questions per numpy step
+_PAIRS = 1 << 14  # exact distances per numpy step
 _TOL = 1e-9
 
 
 def _as_matrix(col: pd.Series, dim: int) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, dim), dtype=np.float64)
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
-    if m.shape[1] != dim:
-        raise ValueError(f"vector dimension {m.shape[1]} != {dim}")
+    m = np.empty((len(col), dim), dtype=np.float64)
+    for s in range(0, len(col), 4096):  # no second copy of the whole
+        part = np.stack([np.asarray(v, dtype=np.float64) for v in col.values[s:s + 4096]])
+        if part.shape[1] != dim:
+            raise ValueError(f"vector dimension {part.shape[1]} != {dim}")
+        m[s:s + 4096] = part
     return m
 
 
@@ -55,8 +61,16 @@ class _Questions:
         self.metric = metric
         self.sq = (mat * mat).sum(axis=1)
         self.norm = np.sqrt(self.sq)
-        safe = np.where(self.norm == 0, 1.0, self.norm)
-        self.unit = mat / safe[:, None]
+
+    @property
+    def unit(self) -> np.ndarray:
+        return self.mat / np.where(self.norm == 0, 1.0, self.norm)[:, None]
+
+    def some(self, which) -> _Questions:
+        part = object.__new__(_Questions)
+        part.metric = self.metric
+        part.ids, part.mat, part.sq, part.norm = self.ids[which], self.mat[which], self.sq[which], self.norm[which]
+        return part
 
 
 def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
@@ -79,9 +93,7 @@ def _approx(q: _Questions, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     per-question bound on their rounding error."""
     if q.metric == "l2sq":  # |q|^2 + |x|^2 - 2 q.x, without the |q|^2 term
         xsq = (x * x).sum(axis=1)
-        g = q.mat @ x.T
-        g *= -2.0
-        g += xsq[None, :]
+        g = np.hstack([-2.0 * q.mat, np.ones((len(q.mat), 1))]) @ np.hstack([x, xsq[:, None]]).T
         return g, _TOL * (q.sq + xsq.max() + 1.0)
     xn = np.sqrt((x * x).sum(axis=1))
     if q.metric == "cosine":  # 1 - cos, without the 1
@@ -100,8 +112,8 @@ def _prune(cands: pd.DataFrame, k: int) -> pd.DataFrame:
     return cands.sort_values(["_qi", "distance", "id"], kind="stable").groupby("_qi").head(k)
 
 
-def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
-    """Local top-k (ties included) of every question over the rows of a task.
+class _Nearest:
+    """Running top-k (ties included) of a block of questions.
 
     A running k-th best approximate distance per question is kept with a
     vectorised ``np.partition`` merge; a row becomes a candidate (exact
@@ -109,41 +121,83 @@ def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]],
     rounding bound of that running value, so after the first chunks only rows
     that can still enter a top-k cost anything.
     """
-    nq = len(q.ids)
-    rows = max(1, _CELLS // max(1, nq))
-    best = np.full((nq, k), np.inf)
-    kth = np.full(nq, np.inf)
-    tol = np.zeros(nq)
-    filled = False
-    kept, held = [], 0
-    for xids, x in batches:
+
+    def __init__(self, q: _Questions, k: int):
+        nq = len(q.ids)
+        self.q, self.k = q, k
+        self.best = np.full((nq, k), np.inf)
+        self.kth = np.full(nq, np.inf)
+        self.tol = np.zeros(nq)
+        self.kept, self.held = [], 0
+
+    def add(self, ids: np.ndarray, x: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Rows for all questions of the block, or for those at ``only``."""
+        q = self.q if only is None else self.q.some(only)
+        at = np.arange(len(self.q.ids)) if only is None else only
+        approx, t = _approx(q, x)
+        tol = self.tol[at] = np.maximum(self.tol[at], t)
+        if not np.isfinite(self.kth[at]).all():  # until every question has k rows: merge the whole chunk
+            self.best[at] = np.partition(np.concatenate([self.best[at], approx], axis=1), self.k - 1, axis=1)[:, :self.k]
+            self.kth[at] = self.best[at].max(axis=1)
+            qi, xj = np.nonzero(approx <= (self.kth[at] + 2 * tol)[:, None])
+        else:  # then only rows under the running k-th are candidates, and only they are merged
+            qi, xj = np.nonzero(approx <= (self.kth[at] + 2 * tol)[:, None])
+            if len(qi):
+                touched, first, where, count = np.unique(qi, return_index=True, return_inverse=True, return_counts=True)
+                merged = np.full((len(touched), self.k + count.max()), np.inf)
+                merged[:, :self.k] = self.best[at[touched]]
+                merged[where, self.k + np.arange(len(qi)) - first[where]] = approx[qi, xj]
+                best = np.partition(merged, self.k - 1, axis=1)[:, :self.k]
+                self.best[at[touched]] = best
+                self.kth[at[touched]] = best.max(axis=1)
+        if not len(qi):
+            return
+        exact = np.empty(len(qi))
+        for s in range(0, len(qi), _PAIRS):  # also a chunk of equal rows is no matrix of all its pairs' vectors
+            some = slice(s, s + _PAIRS)
+            exact[some] = _exact(q.mat[qi[some]], x[xj[some]], q.metric)
+        self.kept.append(pd.DataFrame({"_qi": at[qi], "id": ids[xj], "distance": exact}))
+        self.held += len(qi)
+        if self.held > 4 * self.k * len(self.q.ids) + 4096:  # also after one chunk of equal rows
+            self.kept = [_prune(pd.concat(self.kept, ignore_index=True), self.k)]
+            self.held = len(self.kept[0])
+
+    def result(self) -> pd.DataFrame | None:
+        return _prune(pd.concat(self.kept, ignore_index=True), self.k) if self.kept else None
+
+
+class _TopK:
+    """Local top-k of every question over the rows of a task, in blocks of bounded distance matrices.
+
+    ``add`` may name the questions that rows are for (a mask over all of them); what is held is ``k`` rows a
+    question and a step's matrices, however many rows come."""
+
+    def __init__(self, q: _Questions, k: int):
+        self.starts = range(0, len(q.ids), _STEP)
+        self.blocks = [_Nearest(q.some(slice(s, s + _STEP)), k) for s in self.starts]
+
+    def add(self, xids: np.ndarray, x: np.ndarray, only: np.ndarray | None = None) -> None:
+        asked = [None if only is None else np.flatnonzero(only[s:s + _STEP]) for s in self.starts]
+        widest = max((len(b.q.ids) if a is None else len(a) for a, b in zip(asked, self.blocks)), default=0)
+        rows = max(1, _CELLS // max(1, widest))
         for s in range(0, x.shape[0], rows):
             xs, ids = x[s:s + rows], xids[s:s + rows]
-            approx, t = _approx(q, xs)
-            tol = np.maximum(tol, t)
-            if not filled:  # until every question has k rows: merge the whole chunk
-                best = np.partition(np.concatenate([best, approx], axis=1), k - 1, axis=1)[:, :k]
-                kth = best.max(axis=1)
-                filled = bool(np.isfinite(kth).all())
-                mask = approx <= (kth + 2 * tol)[:, None]
-            else:  # then only rows under the running k-th are candidates
-                mask = approx <= (kth + 2 * tol)[:, None]
-                touched = np.flatnonzero(mask.any(axis=1))
-                if len(touched):
-                    sub = np.where(mask[touched], approx[touched], np.inf)
-                    best[touched] = np.partition(np.concatenate([best[touched], sub], axis=1),
-                                                 k - 1, axis=1)[:, :k]
-                    kth[touched] = best[touched].max(axis=1)
-            qi, xj = np.nonzero(mask)
-            c = pd.DataFrame({"_qi": qi, "id": ids[xj], "distance": _exact(q.mat[qi], xs[xj], q.metric)})
-            kept.append(c)
-            held += len(c)
-            if held > 4 * k * nq + 4096:  # also after one chunk of equal rows
-                kept = [_prune(pd.concat(kept, ignore_index=True), k)]
-                held = len(kept[0])
-    if not kept:
-        return pd.DataFrame({"_qi": [], "id": [], "distance": []})
-    return _prune(pd.concat(kept, ignore_index=True), k)
+            for block, some in zip(self.blocks, asked):
+                if some is None or len(some):
+                    block.add(ids, xs, some)
+
+    def result(self) -> pd.DataFrame:
+        found = [(s, b.result()) for s, b in zip(self.starts, self.blocks)]
+        parts = [r.assign(_qi=r["_qi"] + s) for s, r in found if r is not None]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"_qi": [], "id": [], "distance": []})
+
+
+def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """Local top-k (ties included) of every question over the rows of a task."""
+    nearest = _TopK(q, k)
+    for xids, x in batches:
+        nearest.add(xids, x)
+    return nearest.result()
 
 
 def _no_rows(qid: str, id_col: str) -> pd.DataFrame:
@@ -191,8 +245,9 @@ def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2s
     if size <= max_broadcast_bytes:
         cands = _broadcast_scan(spark, qsel, csel, qid, id_col, dim, k, metric, out)
     else:
-        blocks = math.ceil(size / max_broadcast_bytes)
-        cblocks = corpus_blocks or max(1, math.ceil(csel.count() * dim * 8 / max_broadcast_bytes))
+        side = min(GRID_BYTES, max(1, max_broadcast_bytes))  # a group holds both sides, as Arrow, objects and matrices
+        blocks = math.ceil(size / side)
+        cblocks = corpus_blocks or max(1, math.ceil(csel.count() * dim * 8 / side))
         cands = _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, blocks, cblocks)
     return _global_topk(cands, qid, id_col, k).select(qid, id_col, "rank", "distance")
 

@@ -299,3 +299,19 @@ def test_many_folders_are_read_by_a_join(spark, monkeypatch):
     assert sorted(r.text for r in index.read().collect()) == want == ["00", "11", "22", "23", "24"]
     index.upsert(placed_docs(spark, [(None, "new", "C1", f"{DAY * 2}.0"), ("moved", "m", "C9", "1.0")]))
     assert sorted(r.text for r in index.read().collect()) == ["00", "11", "23", "24", "m", "new"]
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_a_scan_holds_bounded_matrices(monkeypatch, metric):
+    """Many questions and equal rows: exact distances and approximate ones come in steps, rows are those of brute force."""
+    rng = np.random.default_rng(8)
+    m, x = np.round(rng.normal(size=(5_000, 6)), 1), np.round(rng.normal(size=(3_000, 6)), 1)
+    x[100:1_500] = x[100]
+    exact, approx, pairs, cells = knn._exact, knn._approx, [], []
+    monkeypatch.setattr(knn, "_exact", lambda a, b, how: pairs.append(len(a)) or exact(a, b, how))
+    monkeypatch.setattr(knn, "_approx", lambda q, rows: cells.append(len(q.ids) * len(rows)) or approx(q, rows))
+    got = knn._scan_topk(knn._Questions(np.arange(len(m)), m, metric), iter([(np.arange(len(x)), x)]), 5)
+    assert max(pairs) <= 1 << 14 and max(cells) <= 1 << 20
+    for i in range(0, len(m), 499):
+        d = exact(np.repeat(m[i:i + 1], len(x), 0), x, metric)
+        assert got[got["_qi"] == i]["id"].tolist() == np.lexsort((np.arange(len(x)), d))[:5].tolist()
