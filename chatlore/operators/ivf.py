@@ -7,10 +7,10 @@
   within which whole lists (centroid distance plus radius) hold ``k`` rows.
   Only lists that begin within it (centroid distance minus radius) are read,
   so no neighbour is missed and every question gets ``min(k, N)`` rows;
-* a list holding many rows is split by a salt, and the questions probing a
-  list are cut into blocks, so each ``cogroup`` group holds at most about
-  ``max_group_rows`` corpus rows and ``max_group_questions`` questions
-  whatever the skew;
+* small lists are bundled and a list holding many rows is split by a salt, and
+  the questions probing a bundle are cut into blocks, so each ``cogroup`` group
+  holds at most about ``max_group_rows`` corpus rows and ``max_group_questions``
+  questions whatever the skew; a question goes to a bundle once (``meet_lists``);
 * each group keeps its local top-k per question (numpy), a
   ``row_number() <= k`` window keeps the global top-k.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlore.operators.knn import _CELLS, _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk
+from chatlore.operators.knn import _CELLS, _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk, _TopK
 from chatlore.session import materialize
 
 
@@ -134,24 +134,89 @@ def topk_ivf(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
     radius, size = np.zeros(lists), np.zeros(lists, np.int64)
     for r in assigned.groupBy("_list").agg(F.max("_away").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # n_lists rows
         radius[r["_list"]], size[r["_list"]] = r["r"], r["n"]
-    assigned = assigned.drop("_away")
+    cands = meet_lists(assigned.drop("_away"), qsel, qid, id_col, (np.arange(lists), centroids, radius, size), dim, metric, k,
+                       max_group_rows, max_group_questions)
+    return _global_topk(cands, qid, id_col, k).select(qid, id_col, "rank", "distance")
+
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def bundles(size: np.ndarray, max_group_rows: int) -> np.ndarray:
+    """Neighbouring lists in one bundle while their rows fit a group."""
+    at, bundle, held = np.empty(len(size), np.int32), -1, max_group_rows
+    for k, n in enumerate(size):
+        if held + n > max_group_rows:
+            bundle, held = bundle + 1, 0
+        at[k], held = bundle, held + n
+    return at
+
+
+def meet_lists(rows: DataFrame, asked: DataFrame, qid: str, id_col: str,
+               table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dim: int, metric: str, k: int,
+               max_group_rows: int, max_group_questions: int) -> DataFrame:
+    """Local top-k of the questions (``qid``, ``_qv``) over the rows (``id_col``, ``_cv``, ``_list``) of the lists that can
+    hold a neighbour, in ``cogroup`` groups of bounded size.  ``table``: name, centroid, radius and rows of every list.
+
+    Lists are bundled up to ``max_group_rows``, larger ones are split by a salt.  A question goes once to every bundle
+    in which it has a list, however many lists that are, and picks its lists there.
+    """
+    spark = rows.sparkSession
+    names, centroids, radius, size = table
+    bundle = bundles(size, max_group_rows)
+    shared = spark.sparkContext.broadcast((names, centroids, radius, size, bundle))
+    qid_field, id_field = asked.schema[qid], rows.schema[id_col]
+
+    def reach(vectors: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Which lists each question reads, some questions at a time."""
+        names, centroids, radius, size, _ = shared.value
+        for b in _blocks(len(vectors), len(names)):
+            needs = np.zeros((len(vectors[b]), len(names)), bool)
+            needs[lists_to_read(vectors[b], centroids, radius, size, k, metric)] = True
+            yield b, needs
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bundle = shared.value[4]
+        starts = np.flatnonzero(np.diff(bundle, prepend=-1))
         for pdf in batches:
-            if pdf.empty:
-                continue
-            who, near = lists_to_read(_as_matrix(pdf["_qv"], dim), bc.value, radius, size, k, metric)
-            yield pd.DataFrame({qid: pdf[qid].to_numpy()[who], "_qv": pdf["_qv"].to_numpy()[who],
-                                "_list": near.astype(np.int32)})
-
-    probe_schema = T.StructType([questions.schema[qid], T.StructField("_qv", questions.schema[qvec].dataType),
-                                 T.StructField("_list", T.IntegerType())])
-    probes = materialize(qsel.mapInPandas(probe, probe_schema))
-
-    cands = meet(assigned, probes, qid, id_col, questions.schema[qid], corpus.schema[id_col], dim, metric, k,
-                 max_group_rows, max_group_questions)
-    # a question probing several lists can meet the same row once per list only
-    return _global_topk(cands, qid, id_col, k).select(qid, id_col, "rank", "distance")
+            if not pdf.empty:
+                for b, needs in reach(_as_matrix(pdf["_qv"], dim)):
+                    who, group = np.nonzero(np.logical_or.reduceat(needs, starts, axis=1))
+                    for s in range(0, len(who), 4096):
+                        some = who[s:s + 4096]
+                        yield pd.DataFrame({qid: pdf[qid].to_numpy()[b][some], "_qv": pdf["_qv"].to_numpy()[b][some],
+                                            "_g": group[s:s + 4096].astype(np.int32)})
+
+    sent = materialize(asked.select(qid, "_qv").mapInPandas(
+        send, T.StructType([qid_field, asked.schema["_qv"], T.StructField("_g", T.IntegerType())])))
+    asks = {r["_g"]: r["n"] for r in sent.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row a bundle
+    held = np.bincount(bundle, weights=size)
+    plan = spark.createDataFrame([(int(g), max(1, math.ceil(held[g] / max_group_rows)), max(1, math.ceil(n / max_group_questions)))
+                                  for g, n in asks.items()], "_g int, _s int, _b int")
+    place = spark.createDataFrame(list(zip(names.tolist(), bundle.tolist())), "_list int, _g int")
+    plan, place = F.broadcast(plan), F.broadcast(place)     # at most a row a list
+    corpus_g = (rows.select(id_col, "_cv", "_list").join(place, "_list").join(plan, "_g")
+                .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.col("_s")).cast("int"))
+                .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_s", "_b"))
+    ques_g = (sent.join(plan, "_g").withColumn("_blk", F.pmod(F.xxhash64(qid), F.col("_b")).cast("int"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s", "_b"))
+
+    def pair(corp: pd.DataFrame, ques: pd.DataFrame) -> pd.DataFrame:
+        if corp.empty or ques.empty:
+            return _no_rows(qid, id_col)
+        here, ids, vectors = corp["_list"].to_numpy(), corp[id_col].to_numpy(), _as_matrix(corp["_cv"], dim)
+        q = _Questions(ques[qid].to_numpy(), _as_matrix(ques["_qv"], dim), metric)
+        mine = np.flatnonzero(np.isin(shared.value[0], here))
+        needs = np.concatenate([n[:, mine] for _, n in reach(q.mat)])
+        nearest = _TopK(q, k)
+        for j, name in enumerate(shared.value[0][mine]):
+            if needs[:, j].any():
+                of = here == name
+                nearest.add(ids[of], vectors[of], needs[:, j])
+        res = nearest.result()
+        return pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)], id_col: res["id"].to_numpy(),
+                             "distance": res["distance"].to_numpy()})
+
+    out = T.StructType([qid_field, id_field, T.StructField("distance", T.DoubleType())])
+    return (corpus_g.groupBy("_g", "_salt", "_blk")
+            .cogroup(ques_g.groupBy("_g", "_salt", "_blk")).applyInPandas(pair, out))
 
 
 def meet(assigned: DataFrame, probes: DataFrame, qid: str, id_col: str, qid_field: T.StructField, id_field: T.StructField,

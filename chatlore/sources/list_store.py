@@ -15,7 +15,7 @@ of the exact search.
 ``topk`` trains nothing.  It reads the table of lists (at most ``MAX_LISTS`` rows, the only data sent to the tasks without a
 check of its size), picks per question the lists that can hold a neighbour, and scans their files.  Questions and the lists
 they read are a broadcast while their bytes allow, so that the vectors aren't shuffled; beyond that, lists and questions
-meet in groups of bounded size (``ivf.meet``).  Either way no group or task holds all questions or all rows.
+meet in groups of bounded size (``ivf.meet_lists``).  Either way no group or task holds all questions or all rows.
 
 Null vectors aren't stored and null question vectors find nothing; a store without rows (or that was never built) gives no
 rows.  Ties in distance break on the id.  All vectors have one dimension, others are an error.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlore.operators.ivf import lists_to_read, meet, nearest_list
+from chatlore.operators.ivf import lists_to_read, meet_lists, nearest_list
 from chatlore.operators.knn import DEFAULT_BROADCAST_BYTES, _as_matrix, _global_topk, _Questions, _scan_topk
 from chatlore.session import materialize
 from chatlore.sources.vector_index import committed_versions
@@ -143,31 +143,42 @@ class ListStore:
             id_type = T.StringType()
             return self.spark.createDataFrame([], T.StructType([qid_field, T.StructField(self.id_col, id_type), T.StructField(
                 "rank", T.IntegerType()), T.StructField("distance", T.DoubleType())]))
-        shared = self.spark.sparkContext.broadcast((
-            np.array([r["centroid"] for r in table]), np.array([r["radius"] for r in table]), np.array([r["rows"] for r in table])))
         names = np.array([r["_list"] for r in table], np.int32)
+        about = (np.array([r["centroid"] for r in table]), np.array([r["radius"] for r in table]), np.array([r["rows"] for r in table]))
+        shared = self.spark.sparkContext.broadcast(about)
         metric, dim = self.metric, len(table[0]["centroid"])
 
+        def reached(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+            for s in range(0, len(pdf), 256):
+                some = pdf.iloc[s:s + 256]
+                yield some, *lists_to_read(_as_matrix(some["_qv"], dim), *shared.value, k, metric)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = np.zeros(len(names), np.int64)
+            for pdf in batches:
+                for _, _, near in reached(pdf):
+                    n += np.bincount(near, minlength=len(names))
+            yield pd.DataFrame({"_list": names[n > 0], "n": n[n > 0]})
+
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not pdf.empty:
-                    who, near = lists_to_read(_as_matrix(pdf["_qv"], dim), *shared.value, k, metric)
-                    yield pd.DataFrame({qid: pdf[qid].to_numpy()[who], "_qv": pdf["_qv"].to_numpy()[who], "_list": names[near]})
+                for some, who, near in reached(pdf):
+                    yield pd.DataFrame({qid: some[qid].to_numpy()[who], "_qv": some["_qv"].to_numpy()[who], "_list": names[near]})
 
-        asked = questions.select(F.col(qid), F.col(qvec).alias("_qv")).where(F.col("_qv").isNotNull())
-        probes = materialize(asked.mapInPandas(probe, T.StructType([
-            qid_field, T.StructField("_qv", questions.schema[qvec].dataType), T.StructField("_list", T.IntegerType())])))
-        per_list = {r["_list"]: r["n"] for r in probes.groupBy("_list").agg(F.count(F.lit(1)).alias("n")).collect()}
+        asked = materialize(questions.select(F.col(qid), F.col(qvec).alias("_qv")).where(F.col("_qv").isNotNull()))
+        per_list = {r["_list"]: r["n"] for r in asked.mapInPandas(count, "_list int, n long").groupBy("_list").agg(
+            F.sum("n").alias("n")).collect()}
         read = [r for r in table if r["_list"] in per_list]
         self.last_read = Read(len(read), len(table), sum(r["files"] for r in read), sum(r["files"] for r in table),
                               sum(r["rows"] for r in read), sum(r["rows"] for r in table))
         rows = (self.spark.read.parquet(f"{self.path}/v={version}/rows").where(F.col("_list").isin(sorted(per_list)))
                 .select(self.id_col, "_cv", "_list"))
         if sum(per_list.values()) * dim * 8 <= self.max_broadcast_bytes:
+            probes = asked.mapInPandas(probe, T.StructType([
+                qid_field, T.StructField("_qv", questions.schema[qvec].dataType), T.StructField("_list", T.IntegerType())]))
             found = self._scan(rows, probes, qid, qid_field, dim, k)
         else:
-            found = meet(rows, probes, qid, self.id_col, qid_field, rows.schema[self.id_col], dim, metric, k,
-                         max_group_rows, max_group_questions)
+            found = meet_lists(rows, asked, qid, self.id_col, (names, *about), dim, metric, k, max_group_rows, max_group_questions)
         return _global_topk(found, qid, self.id_col, k).select(qid, self.id_col, "rank", "distance")
 
     def _scan(self, rows: DataFrame, probes: DataFrame, qid: str, qid_field: T.StructField, dim: int, k: int) -> DataFrame:
