@@ -30,6 +30,9 @@ TOKEN_RE = r"[\p{L}\p{N}]+"
 
 EmbedFn = Callable[[pd.Series], list]
 
+MEMO_TOKENS = 200_000   # of a task, some 30 MB
+SLICE_ROWS = 512        # embedded and handed on at once, so that Python holds few texts twice
+
 
 class _BucketMemo(dict):
     """token -> bucket; computes (md5) only for tokens not seen in this task."""
@@ -40,7 +43,7 @@ class _BucketMemo(dict):
 
     def __missing__(self, tok: str) -> int:
         b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:6], 16) % self.dim
-        if len(self) < 2_000_000:
+        if len(self) < MEMO_TOKENS:
             self[tok] = b
         return b
 
@@ -70,7 +73,7 @@ def _embed_batches(make: Callable[[], EmbedFn], text_col: str, dim: int | None,
                    model: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make()
-        for pdf in batches:
+        for pdf in (batch.iloc[s:s + SLICE_ROWS] for batch in batches for s in range(0, len(batch), SLICE_ROWS)):
             texts = pdf[text_col]
             try:
                 vecs = fn(texts)
@@ -134,8 +137,11 @@ def hash_embed_sql(df: DataFrame, key: str, text_col: str = "text", dim: int = 6
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_RE), 0)
     buckets = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: hash_bucket(t, dim))
-    marked = df.select(F.col(key), F.array_sort(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim).cast("long"))))
+    marked = df.select(F.col(key), F.sort_array(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim).cast("long"))))
                        .alias("_sorted"))
-    placed = marked.select(key, F.array(*[F.array_position("_sorted", i) for i in range(dim + 1)]).alias("_at"))
-    vec = F.array(*[(F.get("_at", i + 1) - F.get("_at", i) - 1).cast("float") for i in range(dim)])
+    # every bucket is there, so the places where the value changes are those of the buckets in order
+    starts = F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1),
+                      lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
+    placed = marked.select(key, starts.alias("_at"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.get("_at", i + 1) - F.get("_at", i) - 1).cast("float"))
     return placed.select(key, vec.alias("embedding"))
