@@ -36,16 +36,26 @@ HIT_BYTES = 256  # of a hit: two ids of 64 characters, rank, distance, row overh
 GRID_BYTES = 32 << 20  # of one side of a group of the grid
 _CELLS = 1 << 20  # distance-matrix cells per numpy step (8 MiB of doubles)
 _STEP = 1 << 10  # questions per numpy step
-_PAIRS = 1 << 14  # exact distances per numpy step
+_PAIRS = 1 << 14  # exact distances per numpy step, fewer if their vectors have more than _CELLS elements
 _TOL = 1e-9
 
 
-def _as_matrix(col: pd.Series, dim: int) -> np.ndarray:
+def _element(vectors: T.ArrayType) -> type:
+    """The type that holds the elements of a column of vectors without loss."""
+    return np.float32 if isinstance(vectors.elementType, T.FloatType) else np.float64
+
+
+def group_rows(rows: int, dim: int) -> int:
+    """Rows of a side of a group: at most so many, and no more than fit ``GRID_BYTES``."""
+    return max(1, min(rows, GRID_BYTES // (8 * max(1, dim))))
+
+
+def _as_matrix(col: pd.Series, dim: int, dtype: type = np.float64) -> np.ndarray:
     if len(col) == 0:
-        return np.zeros((0, dim), dtype=np.float64)
-    m = np.empty((len(col), dim), dtype=np.float64)
+        return np.zeros((0, dim), dtype=dtype)
+    m = np.empty((len(col), dim), dtype=dtype)
     for s in range(0, len(col), 4096):  # no second copy of the whole
-        part = np.stack([np.asarray(v, dtype=np.float64) for v in col.values[s:s + 4096]])
+        part = np.stack([np.asarray(v, dtype=dtype) for v in col.values[s:s + 4096]])
         if part.shape[1] != dim:
             raise ValueError(f"vector dimension {part.shape[1]} != {dim}")
         m[s:s + 4096] = part
@@ -53,13 +63,16 @@ def _as_matrix(col: pd.Series, dim: int) -> np.ndarray:
 
 
 class _Questions:
-    """Question matrix with the per-metric precomputations."""
+    """Question matrix with the per-metric precomputations.  It is held as it came; ``wide`` is it in doubles."""
 
     def __init__(self, ids: np.ndarray, mat: np.ndarray, metric: str):
         self.ids = ids
         self.mat = mat
         self.metric = metric
-        self.sq = (mat * mat).sum(axis=1)
+        self.sq = np.empty(len(mat))
+        for s in range(0, len(mat), _STEP):
+            part = mat[s:s + _STEP].astype(np.float64, copy=False)
+            self.sq[s:s + _STEP] = (part * part).sum(axis=1)
         self.norm = np.sqrt(self.sq)
 
     @property
@@ -72,6 +85,13 @@ class _Questions:
         part.ids, part.mat, part.sq, part.norm = self.ids[which], self.mat[which], self.sq[which], self.norm[which]
         return part
 
+    def wide(self) -> _Questions:
+        if self.mat.dtype == np.float64:
+            return self
+        part = self.some(slice(None))
+        part.mat = self.mat.astype(np.float64)
+        return part
+
 
 def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
     """Row-wise exact distances of aligned pairs."""
@@ -132,7 +152,7 @@ class _Nearest:
 
     def add(self, ids: np.ndarray, x: np.ndarray, only: np.ndarray | None = None) -> None:
         """Rows for all questions of the block, or for those at ``only``."""
-        q = self.q if only is None else self.q.some(only)
+        q = (self.q if only is None else self.q.some(only)).wide()
         at = np.arange(len(self.q.ids)) if only is None else only
         approx, t = _approx(q, x)
         tol = self.tol[at] = np.maximum(self.tol[at], t)
@@ -153,12 +173,13 @@ class _Nearest:
         if not len(qi):
             return
         exact = np.empty(len(qi))
-        for s in range(0, len(qi), _PAIRS):  # also a chunk of equal rows is no matrix of all its pairs' vectors
-            some = slice(s, s + _PAIRS)
+        step = max(1, min(_PAIRS, _CELLS // max(1, x.shape[1])))
+        for s in range(0, len(qi), step):  # also a chunk of equal rows is no matrix of all its pairs' vectors
+            some = slice(s, s + step)
             exact[some] = _exact(q.mat[qi[some]], x[xj[some]], q.metric)
         self.kept.append(pd.DataFrame({"_qi": at[qi], "id": ids[xj], "distance": exact}))
         self.held += len(qi)
-        if self.held > 4 * self.k * len(self.q.ids) + 4096:  # also after one chunk of equal rows
+        if self.held > 2 * self.k * len(self.q.ids) + 4096:  # also after one chunk of equal rows
             self.kept = [_prune(pd.concat(self.kept, ignore_index=True), self.k)]
             self.held = len(self.kept[0])
 
@@ -181,23 +202,33 @@ class _TopK:
         widest = max((len(b.q.ids) if a is None else len(a) for a, b in zip(asked, self.blocks)), default=0)
         rows = max(1, _CELLS // max(1, widest))
         for s in range(0, x.shape[0], rows):
-            xs, ids = x[s:s + rows], xids[s:s + rows]
+            xs, ids = x[s:s + rows].astype(np.float64, copy=False), xids[s:s + rows]
             for block, some in zip(self.blocks, asked):
                 if some is None or len(some):
                     block.add(ids, xs, some)
 
+    def results(self) -> Iterator[pd.DataFrame]:
+        """What was found block by block; a block is let go with what it held."""
+        for i, s in enumerate(self.starts):
+            found, self.blocks[i] = self.blocks[i].result(), None
+            if found is not None:
+                yield found.assign(_qi=found["_qi"] + s)
+
     def result(self) -> pd.DataFrame:
-        found = [(s, b.result()) for s, b in zip(self.starts, self.blocks)]
-        parts = [r.assign(_qi=r["_qi"] + s) for s, r in found if r is not None]
+        parts = [*self.results()]
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"_qi": [], "id": [], "distance": []})
 
 
-def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
-    """Local top-k (ties included) of every question over the rows of a task."""
+def _scanned(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> _TopK:
     nearest = _TopK(q, k)
     for xids, x in batches:
         nearest.add(xids, x)
-    return nearest.result()
+    return nearest
+
+
+def _scan_topk(q: _Questions, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """Local top-k (ties included) of every question over the rows of a task."""
+    return _scanned(q, batches, k).result()
 
 
 def _no_rows(qid: str, id_col: str) -> pd.DataFrame:
@@ -254,13 +285,14 @@ def topk(questions: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "l2s
 
 def _broadcast_scan(spark, qsel, csel, qid, id_col, dim, k, metric, out) -> DataFrame:
     qpdf = qsel.toPandas()  # size checked by the caller
-    bq = spark.sparkContext.broadcast((qpdf[qid].to_numpy(), _as_matrix(qpdf["_qv"], dim)))
+    bq = spark.sparkContext.broadcast((qpdf[qid].to_numpy(), _as_matrix(qpdf["_qv"], dim, _element(qsel.schema["_qv"].dataType))))
+    of_rows = _element(csel.schema["_cv"].dataType)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, mat = bq.value
         q = _Questions(ids, mat, metric)
-        res = _scan_topk(q, ((b[id_col].to_numpy(), _as_matrix(b["_cv"], dim)) for b in batches), k)
-        if len(res):  # a task without corpus rows emits nothing
+        nearest = _scanned(q, ((b[id_col].to_numpy(), _as_matrix(b["_cv"], dim, of_rows)) for b in batches), k)
+        for res in nearest.results():  # a task without corpus rows emits nothing
             yield pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],
                                 id_col: res["id"].to_numpy(), "distance": res["distance"].to_numpy()})
 
@@ -270,20 +302,22 @@ def _broadcast_scan(spark, qsel, csel, qid, id_col, dim, k, metric, out) -> Data
 def _grid_scan(qsel, csel, qid, id_col, dim, k, metric, out, qblocks, cblocks) -> DataFrame:
     corpus_rep = csel.select(
         "*",
-        F.pmod(F.xxhash64(id_col), F.lit(cblocks)).cast("int").alias("_cb"),
+        F.pmod(F.xxhash64(id_col, "_cv"), F.lit(cblocks)).cast("int").alias("_cb"),
         F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("_qb"),
     )
     q_rep = qsel.select(
         "*",
-        F.pmod(F.xxhash64(qid), F.lit(qblocks)).cast("int").alias("_qb"),
+        F.pmod(F.xxhash64(qid, "_qv"), F.lit(qblocks)).cast("int").alias("_qb"),
         F.explode(F.sequence(F.lit(0), F.lit(cblocks - 1))).alias("_cb"),
     )
 
+    of_rows, of_questions = _element(csel.schema["_cv"].dataType), _element(qsel.schema["_qv"].dataType)
+
     def pair(corp: pd.DataFrame, ques: pd.DataFrame) -> pd.DataFrame:
         if corp.empty or ques.empty:
             return _no_rows(qid, id_col)
-        q = _Questions(ques[qid].to_numpy(), _as_matrix(ques["_qv"], dim), metric)
-        res = _scan_topk(q, iter([(corp[id_col].to_numpy(), _as_matrix(corp["_cv"], dim))]), k)
+        q = _Questions(ques[qid].to_numpy(), _as_matrix(ques["_qv"], dim, of_questions), metric)
+        res = _scan_topk(q, iter([(corp[id_col].to_numpy(), _as_matrix(corp["_cv"], dim, of_rows))]), k)
         return pd.DataFrame({qid: q.ids[res["_qi"].to_numpy(dtype=np.int64)],
                              id_col: res["id"].to_numpy(), "distance": res["distance"].to_numpy()})
 

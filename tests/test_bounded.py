@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from chatlore.config import Params
 from chatlore.operators import embed as E
 from chatlore.operators import history as H
-from chatlore.operators import ivf
+from chatlore.operators import ivf, knn
 from chatlore.operators.answer import Messages, given, on_requests
 from chatlore.session import materialize
 
@@ -81,3 +83,25 @@ def test_a_question_goes_to_a_bundle_once(spark, monkeypatch):
     vecs = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "id long, embedding array<double>")
     found = ivf.topk_ivf(vecs.withColumnRenamed("id", "question_id"), vecs, k=50, n_lists=8)
     assert found.count() == 60 * 50 and kept[-1].count() == 60
+
+
+def test_questions_are_held_as_they_came_and_blocks_let_go(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(1 << 15, 64)).astype(np.float32)
+    tracemalloc.start()
+    q = knn._Questions(np.arange(len(m)), m, "l2sq")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert q.mat.dtype == np.float32 and peak < m.nbytes / 2         # no second copy of the matrix
+    some, rows = q.some(slice(0, 3_000)), m[:500]
+    nearest = knn._TopK(some, 5)
+    nearest.add(np.arange(500), rows)
+    found = pd.concat([r for k, r in enumerate(nearest.results()) if nearest.blocks[k] is None], ignore_index=True)
+    wide = knn._Questions(some.ids, some.mat.astype(np.float64), "l2sq")
+    assert found.equals(knn._scan_topk(wide, iter([(np.arange(500), rows.astype(np.float64))]), 5))
+
+    kept, as_matrix = [], knn._as_matrix
+    monkeypatch.setattr(knn, "_as_matrix", lambda *a: kept.append(as_matrix(*a)) or kept[-1])
+    vecs = spark.createDataFrame([(i, [float(i % 7), i / 3]) for i in range(60)], "id long, embedding array<float>")
+    assert knn.topk(vecs.withColumnRenamed("id", "question_id"), vecs).count() == 300
+    assert [k.dtype for k in kept] == [np.float32]                   # what is broadcast
