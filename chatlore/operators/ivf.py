@@ -10,7 +10,7 @@
 * small lists are bundled and a list holding many rows is split by a salt, and
   the questions probing a bundle are cut into blocks, so each ``cogroup`` group
   holds at most about ``max_group_rows`` corpus rows and ``max_group_questions``
-  questions whatever the skew; a question goes to a bundle once (``meet_lists``);
+  questions, and no more of either than fit ``knn.GRID_BYTES``, whatever the skew; a question goes to a bundle once (``meet_lists``);
 * each group keeps its local top-k per question (numpy), a
   ``row_number() <= k`` window keeps the global top-k.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlore.operators.knn import _CELLS, _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk, _TopK
+from chatlore.operators.knn import _CELLS, _as_matrix, _global_topk, _no_rows, _Questions, _scan_topk, _TopK, group_rows
 from chatlore.session import materialize
 
 
@@ -160,6 +160,7 @@ def meet_lists(rows: DataFrame, asked: DataFrame, qid: str, id_col: str,
     """
     spark = rows.sparkSession
     names, centroids, radius, size = table
+    max_group_rows, max_group_questions = group_rows(max_group_rows, dim), group_rows(max_group_questions, dim)
     bundle = bundles(size, max_group_rows)
     shared = spark.sparkContext.broadcast((names, centroids, radius, size, bundle))
     qid_field, id_field = asked.schema[qid], rows.schema[id_col]
@@ -193,9 +194,9 @@ def meet_lists(rows: DataFrame, asked: DataFrame, qid: str, id_col: str,
     place = spark.createDataFrame(list(zip(names.tolist(), bundle.tolist())), "_list int, _g int")
     plan, place = F.broadcast(plan), F.broadcast(place)     # at most a row a list
     corpus_g = (rows.select(id_col, "_cv", "_list").join(place, "_list").join(plan, "_g")
-                .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.col("_s")).cast("int"))
+                .withColumn("_salt", F.pmod(F.xxhash64(id_col, "_cv"), F.col("_s")).cast("int"))
                 .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_s", "_b"))
-    ques_g = (sent.join(plan, "_g").withColumn("_blk", F.pmod(F.xxhash64(qid), F.col("_b")).cast("int"))
+    ques_g = (sent.join(plan, "_g").withColumn("_blk", F.pmod(F.xxhash64(qid, "_qv"), F.col("_b")).cast("int"))
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s", "_b"))
 
     def pair(corp: pd.DataFrame, ques: pd.DataFrame) -> pd.DataFrame:
@@ -223,6 +224,7 @@ def meet(assigned: DataFrame, probes: DataFrame, qid: str, id_col: str, qid_fiel
          dim: int, metric: str, k: int, max_group_rows: int, max_group_questions: int) -> DataFrame:
     """Local top-k of the questions that probe a list (``_list``, ``_qv``) over its rows (``_list``, ``_cv``),
     in ``cogroup`` groups of bounded size."""
+    max_group_rows, max_group_questions = group_rows(max_group_rows, dim), group_rows(max_group_questions, dim)
     # per-list fan-out: salts for big lists, question blocks for popular lists
     csize = assigned.groupBy("_list").agg(F.count("*").alias("_nc"))
     qsize = probes.groupBy("_list").agg(F.count("*").alias("_nq"))
@@ -234,11 +236,11 @@ def meet(assigned: DataFrame, probes: DataFrame, qid: str, id_col: str, qid_fiel
     plan = F.broadcast(plan)  # at most n_lists rows
 
     corpus_g = (assigned.join(plan, "_list")
-                .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.col("_s")).cast("int"))
+                .withColumn("_salt", F.pmod(F.xxhash64(id_col, "_cv"), F.col("_s")).cast("int"))
                 .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
                 .drop("_s", "_b"))
     ques_g = (probes.join(plan, "_list")
-              .withColumn("_blk", F.pmod(F.xxhash64(qid), F.col("_b")).cast("int"))
+              .withColumn("_blk", F.pmod(F.xxhash64(qid, "_qv"), F.col("_b")).cast("int"))
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
               .drop("_s", "_b"))
 

@@ -105,3 +105,20 @@ def test_questions_are_held_as_they_came_and_blocks_let_go(spark, monkeypatch):
     vecs = spark.createDataFrame([(i, [float(i % 7), i / 3]) for i in range(60)], "id long, embedding array<float>")
     assert knn.topk(vecs.withColumnRenamed("id", "question_id"), vecs).count() == 300
     assert [k.dtype for k in kept] == [np.float32]                   # what is broadcast
+
+
+def test_groups_are_bounded_in_bytes_also_with_one_id(spark, monkeypatch):
+    def sizes(q, batches, k):
+        (ids, x), = batches
+        return pd.DataFrame({"_qi": [0], "id": ids[:1], "distance": [float(max(len(ids), len(q.ids)))]})
+
+    monkeypatch.setattr(ivf, "_scan_topk", sizes)
+    monkeypatch.setattr(knn, "_scan_topk", sizes)
+    monkeypatch.setattr(knn, "GRID_BYTES", 50 * 2 * 8)               # 50 rows of two doubles
+    data = [(7, [float(i), float(i % 9)], 3) for i in range(200)]
+    rows = spark.createDataFrame(data, "id long, _cv array<double>, _list int")
+    asked = spark.createDataFrame(data, "q long, _qv array<double>, _list int")
+    met = ivf.meet(rows, asked, "q", "id", asked.schema["q"], rows.schema["id"], 2, "l2sq", 5, 100_000, 20_000)
+    assert met.agg(F.max("distance")).first()[0] < 100 and met.count() == 16
+    grid = knn.topk(asked, rows, 5, qid="q", qvec="_qv", vec="_cv", max_broadcast_bytes=50 * 2 * 8)
+    assert grid.agg(F.max("distance")).first()[0] < 100
