@@ -1,6 +1,7 @@
 """N-gram join, line dedup, substring dedup, decontamination: brute force and edge rows."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -70,6 +71,46 @@ def test_ngram_join_prefix_tokens_are_whole_hashes(spark):
         assert len(set(r.prefix)) == len(r.prefix) == r.n - (-(-80 * r.n // 100)) + 1 and set(r.prefix) <= tokens
 
 
+def test_ngram_join_moves_and_keeps_some_bytes_a_token(spark, monkeypatch):
+    """What is written for the search of pairs is less than the prefix tokens as they are."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(400)) for _ in range(600)]
+    texts += [t + " end" for t in texts[:50]]
+    sizes, real = {}, ngram_join.written
+
+    def sized(df, name):
+        out = real(df, name)
+        sizes[name] = sizes.get(name, 0) + sum(os.path.getsize(f.replace("file://", "").replace("file:", "")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", sized)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = {x.doc_id: x.component_id for x in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: i if i < 600 else i - 600 for i in range(650)}
+    tokens = sum(len(t.split()) // 5 for t in texts)
+    assert sizes["profiles"] < 8 * tokens
+
+
+@pytest.mark.parametrize("few, run, bucket", [(32, 300, 100), (3, 200, 50), (2, 1_000_000, 10)])
+def test_ngram_join_over_many_runs_and_buckets(spark, monkeypatch, few, run, bucket):
+    for name, value in (("FEW", few), ("RUN_TOKENS", run), ("BUCKET_TOKENS", bucket)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = copies_and_variants(7)
+    rows += [(5000 + i, t) for i, (_, t) in enumerate(rows[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == ngram_join.brute_force(rows)
+
+
+def test_ngram_join_packs_without_loss():
+    r = np.random.default_rng(1)
+    for values in (r.integers(0, 2**64, 999, np.uint64), np.arange(7, dtype=np.uint32), np.empty(0, np.uint16)):
+        assert (ngram_join.unpacked(ngram_join.packed(values), values.dtype) == values).all()
+    for tokens in (0, 10, 10**9, 10**13):
+        bits, bucket_bits = ngram_join.token_bits(tokens)
+        assert bucket_bits <= bits <= 64 and (tokens * 0.2) / 2.0**bits <= 2.0**-ngram_join.SPARE_BITS
+
+
 def test_one_of_each_keeps_every_column_and_always_the_same_row(spark):
     text = "one two three four five six seven"
     rows = [(1, text, "de", 5, 7, {"a": 1}), (1, text, "en", 6, 8, {"a": 2}), (2, text, "fr", 7, 9, None)]
