@@ -5,6 +5,7 @@ import time
 import uuid
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from chatlore import schemas
@@ -231,6 +232,38 @@ def test_replayed_reply_batch_replaces_its_folder(spark):
     assert {r.event_id: r.text for r in S.read_replies(spark, out).collect()} == {1: "a", 2: "b", 3: "c", 4: "whole"}
 
 
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_turns_and_replies_name_long_texts_that_repeat(spark, monkeypatch, broadcast_bytes):
+    """Contexts and answers are kept once a question, also where they don't fit a broadcast, with a generator or without."""
+    def _length_of_request():
+        return lambda history, instruction: f"{len(history)} {len(instruction)}"
+
+    monkeypatch.setattr(S.knn, "DEFAULT_BROADCAST_BYTES", broadcast_bytes)
+    rows = [(i, "message", "D1", "im", f"{100 + i}.000000", None, f"U{i % 3}", None, "hi" if i == 5 else f"what is {i % 2}?") for i in range(40)]
+    docs = [(f"d{k}", f"what is {k}? " + f"long text {k} " * 500, {"author": "Ann", "slack_url": None, "channel_id": "C", "timestamp": "1"}) for k in range(2)]
+    index = P.E.embed(spark.createDataFrame(docs, "id string, text string, metadata struct<author:string,slack_url:string,channel_id:string,"
+                                                  "timestamp:string>"), "text").drop("embed_status", "embed_error")
+    events = ev(spark, rows)
+    want = {r.event_id: (r.text, r.status, r.history_len) for r in P.chat_batch(events, index).collect()}
+    assert max(len(t) for t, *_ in want.values()) > 5000
+    lengths = {r.qkey: len(r.instruction) for r in P.answer_distinct(EV.prepare(events), index).collect()}
+    queries = {r.event_id: r.qkey for r in EV.prepare(events).withColumn("qkey", S.question_key(F.col("query"))).collect()}
+    for make in (None, _length_of_request):
+        work = scratch_path(spark, f"test-texts-{uuid.uuid4().hex}")
+        for low in (0, 20):
+            events.where((F.col("event_id") >= low) & (F.col("event_id") < low + 20)).coalesce(1).write.mode("append").parquet(f"{work}/events")
+            _, _, out = S.start(spark, f"{work}/events", lambda: index, work, history_generator=make)
+        got = {r.event_id: (r.text, r.status, r.history_len) for r in S.read_replies(spark, out).collect()}
+        if make is not None:
+            want = {i: (f"{n} {lengths[queries[i]]}" if state == "ok" else text, state, n) for i, (text, state, n) in want.items()}
+        assert got == want
+        stored = spark.read.parquet(f"{work}/turns").where(F.col("event_id") != S.CLOCK)
+        assert stored.agg(F.max(F.length(F.concat_ws("", "instruction", "answer")))).first()[0] < 1000      # greetings only
+        total = {r.metric: r.value for r in S.run_totals(S.read_metrics(spark, work)).collect()}
+        assert total["instruction_chars"] == sum(lengths[queries[i]] for i in queries if i != 5)
+        assert total["response_chars"] == sum(len(t) for t, *_ in got.values())
+
+
 def brute_expiring(rows, timeout):
     """event_id -> history_len of (event_id, ts, session, status) in order of ts; greetings none."""
     memory, last, out = {}, {}, {}
